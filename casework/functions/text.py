@@ -10,7 +10,8 @@ WHITESPACE = (
 )
 WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-NUMBER = rf"^[{WS}]*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[{WS}]*$"
+# What reads as a number; Spark's cast alone would also take endings such as the d of 1d.
+NUMBER = rf"^[{WS}]*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf(?:inity)?))[{WS}]*$"
 
 
 def strip(c: Column) -> Column:

@@ -236,13 +236,15 @@ def length_stats(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
     stats = _measured(df, column, by).groupBy(*by, "measure").agg(
         F.sum("n").alias("rows"),
         F.sum(F.col("length") * F.col("n")).alias("total_length"),
-        F.sum((v * v * n).cast("decimal(38,0)")).cast("double").alias("_squares"),
+        F.sum((v * v * n).cast("decimal(38,0)")).cast("decimal(38,0)").alias("_squares"),
         quantile("length", 0.5).alias("median"),
         F.min("length").alias("min"),
         F.max("length").alias("max"),
     )
     mean = F.col("total_length") / F.col("rows")
-    variance = F.col("_squares") / F.col("rows") - mean * mean
+    rows, total = F.col("rows").cast("decimal(20,0)"), F.col("total_length").cast("decimal(38,0)")
+    spread = (F.col("_squares") * rows).cast("decimal(38,0)") - (total * total).cast("decimal(38,0)")
+    variance = spread.cast("double") / F.col("rows") / F.col("rows")
     return stats.select(
         *by,
         "measure",
@@ -252,7 +254,7 @@ def length_stats(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
         "median",
         "min",
         "max",
-        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std"),
+        F.sqrt(variance).alias("std"),
     )
 
 
@@ -265,7 +267,7 @@ def length_bands(
     band = F.lit(labels[-1])
     for cut, label in reversed(list(zip(cuts, labels))):
         band = F.when(F.col("_words") < cut, F.lit(label)).otherwise(band)
-    words = df.select(*by, word_count(F.col(column)).alias("_words"))
+    words = df.select(*by, F.coalesce(word_count(F.col(column)), F.lit(0)).alias("_words"))
     labelled = words.select(*by, band.alias("_band"))
     counts = labelled.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_total"),

@@ -16,9 +16,11 @@ SALTS = 32
 PRUNED_LIMIT = 1000
 
 
-def _null_safe(left: DataFrame, right: DataFrame, names: list[str], part: str) -> Column:
-    same = [left[name].eqNullSafe(right[name]) for name in names]
-    return reduce(lambda a, b: a & b, same, left[part] == right[part])
+def _with_offsets(rows: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
+    """Join each row to its range's offsets; NULL is a group of its own."""
+    offsets = _offsets(sizes, by).withColumnsRenamed({name: f"_of_{name}" for name in [*by, "_part"]})
+    same = [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in by]
+    return rows.join(offsets, reduce(lambda a, b: a & b, same, F.col("_part") == F.col("_of__part")))
 
 
 def _offsets(sizes: DataFrame, by: list[str]) -> DataFrame:
@@ -50,10 +52,8 @@ def ranked_rows(df: DataFrame, order: list[str], by: list[str] = ()) -> DataFram
     sizes = cut.groupBy(*by, "_part").agg(
         F.count(F.lit(1)).alias("_size"), F.min("_row").alias("_first")
     )
-    offsets = _offsets(sizes, by)
-    joined = cut.join(offsets, _null_safe(cut, offsets, by, "_part"))
-    return joined.select(
-        *[cut[name] for name in df.columns],
+    return _with_offsets(cut, sizes, by).select(
+        *df.columns,
         (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("rank"),
         F.col("_total").alias("group_size"),
     )
@@ -66,16 +66,15 @@ def ranked_values(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     ranged = counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id())
     cut = checkpoint(ranged)
-    offsets = _offsets(cut.groupBy(*by, "_part").agg(F.sum("n").alias("_size")), by)
+    sizes = cut.groupBy(*by, "_part").agg(F.sum("n").alias("_size"))
     inside = (
         Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
     local = cut.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    joined = local.join(offsets, _null_safe(local, offsets, by, "_part"))
-    return joined.select(
-        *[local[name] for name in by],
-        local[value],
-        local["n"],
+    return _with_offsets(local, sizes, by).select(
+        *by,
+        value,
+        "n",
         (F.col("_before") + F.col("_inside")).alias("below"),
         F.col("_total").alias("total"),
     )

@@ -6,6 +6,8 @@ from casework.operators.ranking import first_rows, first_rows_per_group, ranked_
 
 # Hex digits of the hash that the first cut of a large sample looks at.
 CUT_DIGITS = 4
+# Above this size a sample is numbered in ranges, not in one task.
+LARGE_SAMPLE = 1_000_000
 
 
 def sample_key(seed: int, key: str) -> Column:
@@ -36,11 +38,11 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """``min(n, N)`` rows without replacement, the same for the same ``seed`` however the rows are
     partitioned. ``key`` is unique. Adds ``case_num`` 1..n."""
     near = _smallest_hashes(df, F.lit(n), seed, key, [])
-    ranked = near.withColumn(
-        "case_num", F.row_number().over(Window.orderBy("_hash", key)).cast("long")
-    )
-    if n > 1_000_000:
+    if n > LARGE_SAMPLE:
         ranked = ranked_rows(near, ["_hash", key]).drop("group_size").withColumnRenamed("rank", "case_num")
+    else:
+        place = F.row_number().over(Window.orderBy("_hash", key))
+        ranked = near.withColumn("case_num", place.cast("long"))
     return ranked.where(F.col("case_num") <= n).drop("_hash")
 
 
