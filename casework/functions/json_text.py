@@ -1,7 +1,7 @@
 """Strict reading of JSON text with Spark's own JSON reader.
 
-``from_json`` accepts text after the value. A value is taken as valid only if it stays a single value
-both as the only item of a list and as the only field of an object.
+``from_json`` accepts text after the value, so text that closes a wrapper early would pass for a value. The
+wrapper used here ends in a mark, the hash of the text, which must be there after the value.
 """
 
 from pyspark.sql import Column, functions as F
@@ -10,11 +10,25 @@ STRICT = {"allowSingleQuotes": "false"}
 LENIENT = {"allowSingleQuotes": "true"}
 
 
-def _wrapped(c: Column, kind: str, options: dict) -> tuple[Column, Column]:
-    item = F.from_json(F.concat(F.lit("["), c, F.lit("]")), f"array<{kind}>", options)
-    field = F.from_json(F.concat(F.lit('{"v":'), c, F.lit("}")), f"map<string,{kind}>", options)
-    single = F.coalesce((F.size(item) == 1) & (F.size(field) == 1), F.lit(False))
-    return single, F.get(item, F.lit(0))
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once per row, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _single(c: Column, kind: str, options: dict, body) -> Column:
+    """``body(value)`` where ``c`` is exactly one JSON value, else NULL."""
+    mark = F.xxhash64(c).cast("string")
+    wrapped = F.concat(F.lit('[{"v":'), c, F.lit('},{"'), mark, F.lit('":null}]'))
+    read = F.struct(
+        F.from_json(wrapped, f"array<map<string,{kind}>>", options).alias("parts"), mark.alias("mark")
+    )
+
+    def checked(r: Column) -> Column:
+        value, end = F.get(r["parts"], F.lit(0)), F.get(r["parts"], F.lit(1))
+        whole = (F.size(r["parts"]) == 2) & (F.size(value) == 1) & F.array_contains(F.map_keys(end), r["mark"])
+        return F.when(whole, body(F.try_element_at(value, F.lit("v"))))
+
+    return bind(read, checked)
 
 
 def strict_json(c: Column) -> Column:
@@ -22,17 +36,15 @@ def strict_json(c: Column) -> Column:
 
     Text values come without their quotes and a JSON null as the text ``null``.
     """
-    single, value = _wrapped(c, "string", STRICT)
-    return F.when(single, F.coalesce(value, F.lit("null")))
+    return _single(c, "string", STRICT, lambda value: F.coalesce(value, F.lit("null")))
 
 
-def one_list(c: Column, options: dict) -> Column:
-    """``c`` as ``array<string>`` where it is exactly one list, else NULL.
+def one_list(c: Column, options: dict, items: str = "string") -> Column:
+    """``c`` as an array where it is exactly one list, else NULL.
 
-    Items that are lists or objects arrive as JSON text.
+    As ``string`` items, lists and objects inside arrive as JSON text.
     """
-    single, value = _wrapped(c, "array<string>", options)
-    return F.when(single, value)
+    return _single(c, f"array<{items}>", options, lambda value: value)
 
 
 def object_or_null(c: Column, kind: str) -> Column:

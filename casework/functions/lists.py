@@ -5,9 +5,9 @@ A list that holds tuples, ``None`` or a trailing comma is not readable and count
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from casework.functions.json_text import LENIENT, STRICT, one_list
+from casework.functions.json_text import LENIENT, STRICT, bind, one_list
 
-PAIR = "array<string>"
+ITEMS = "array<struct<is_list:boolean,parts:array<string>>>"
 
 
 def parse_list(c: Column, mode: str) -> Column:
@@ -34,58 +34,81 @@ def parse_error(parsed: Column, source: Column) -> Column:
     return F.when(parsed.isNull() & source.isNotNull(), F.lit("not a list"))
 
 
-def _is_pair(item: Column) -> Column:
-    return item.startswith("[")
+def differential_items(c: Column, mode: str) -> Column:
+    """A differential cell as ``array<struct<is_list,parts>>``, read as in ``parse_list``.
+
+    Cells that hold only lists, the usual form, are read in one go; only others are read item by item.
+    """
+    options = STRICT if mode == "json" else LENIENT
+    only_lists = bind(
+        one_list(c, options, "array<string>"),
+        lambda nested: F.when(
+            ~F.exists(nested, lambda parts: parts.isNull()),
+            F.transform(nested, lambda parts: _item(F.lit(True), parts)),
+        ),
+    )
+
+    def any_item(item: Column) -> Column:
+        inner = F.when(item.startswith("["), F.from_json(item, "array<string>", STRICT))
+        return bind(
+            inner,
+            lambda parts: F.when(parts.isNotNull(), _item(F.lit(True), parts)).otherwise(
+                _item(F.lit(False), F.array(item))
+            ),
+        )
+
+    if mode == "safe":
+        read = F.transform(parse_list(c, "literal"), any_item)
+        whole_text = F.array(_item(F.lit(False), F.array(F.coalesce(c, F.lit("None")))))
+        return F.coalesce(only_lists, read, whole_text)
+    return F.coalesce(only_lists, F.transform(parse_list(c, mode), any_item))
 
 
-def _pair(item: Column) -> Column:
-    return F.from_json(item, PAIR, STRICT)
+def _item(is_list: Column, parts: Column) -> Column:
+    return F.struct(is_list.alias("is_list"), parts.alias("parts"))
+
+
+def _first(item: Column) -> Column:
+    return F.get(item["parts"], F.lit(0))
 
 
 def differential_pairs(items: Column) -> Column:
     """D4a on parsed items: ``array<struct<disease,probability>>``; a bare name has no probability."""
     return F.transform(
         items,
-        lambda item: F.when(
-            _is_pair(item),
-            F.struct(
-                F.get(_pair(item), F.lit(0)).alias("disease"),
-                F.get(_pair(item), F.lit(1)).try_cast("double").alias("probability"),
-            ),
-        ).otherwise(
-            F.struct(item.alias("disease"), F.lit(None).cast("double").alias("probability"))
+        lambda item: F.struct(
+            _first(item).alias("disease"),
+            F.get(item["parts"], F.lit(1)).try_cast("double").alias("probability"),
         ),
     )
 
 
 def parse_differential(c: Column, mode: str = "json") -> Column:
     """A differential cell as pairs; failure gives an empty list in ``json`` mode."""
-    return differential_pairs(parse_list(c, mode))
+    return differential_pairs(differential_items(c, mode))
+
+
+def listed_names(items: Column) -> Column:
+    """The first entry of the items that are lists; other items are dropped."""
+    return F.transform(F.filter(items, lambda item: item["is_list"]), _first)
 
 
 def differential_names(items: Column, truth: Column) -> Column:
-    """D4b on items parsed in ``literal`` mode: lists of two or more give their first entry, bare names
+    """D4b on items read in ``literal`` mode: lists of two or more give their first entry, bare names
     themselves, other items are dropped, the truth is appended if absent. NULL items give ``[truth]``."""
-    kept = F.filter(items, lambda item: ~_is_pair(item) | (F.size(_pair(item)) >= 2))
-    names = F.transform(
-        kept, lambda item: F.when(_is_pair(item), F.get(_pair(item), F.lit(0))).otherwise(item)
-    )
-    has_truth = F.coalesce(F.array_contains(names, truth), F.lit(False))
-    only_truth = F.array(truth)
-    return (
-        F.when(items.isNull(), only_truth)
-        .when(has_truth, names)
-        .otherwise(F.concat(names, only_truth))
+    kept = F.filter(items, lambda item: ~item["is_list"] | (F.size(item["parts"]) >= 2))
+    return bind(
+        F.transform(F.coalesce(kept, F.array().cast(ITEMS)), _first),
+        lambda names: F.when(
+            F.coalesce(F.array_contains(names, truth), F.lit(False)), names
+        ).otherwise(F.concat(names, F.array(truth))),
     )
 
 
 def clean_differential(c: Column) -> Column:
     """The first entry of each non-empty list, else the item's own text; never fails."""
     return F.transform(
-        parse_list(c, "safe"),
-        lambda item: F.coalesce(
-            F.when(_is_pair(item), F.get(_pair(item), F.lit(0)).cast("string")), item
-        ),
+        differential_items(c, "safe"), lambda item: F.coalesce(_first(item), F.lit("[]"))
     )
 
 

@@ -47,8 +47,12 @@ def decode_question(
 
 
 def _listed(df: DataFrame, codes: str, key: str, cap: int) -> DataFrame:
-    """One row per code, at most ``cap`` per case."""
-    return df.select(key, F.posexplode(F.slice(codes, 1, cap)).alias("_pos", "_code"))
+    """One row per code, at most ``cap`` per case.
+
+    The outer form keeps Spark from testing the list, and so parsing it, once more before the explode.
+    """
+    rows = df.select(key, F.posexplode_outer(F.slice(codes, 1, cap)).alias("_pos", "_code"))
+    return rows.where(F.col("_pos").isNotNull())
 
 
 def _regrouped(items: DataFrame, key: str, out: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from casework import fixed_values as fixed
 from casework.functions.text import strip, to_number
+from casework.operators.totals import totals
 
 # Outcome columns of ``passk_flags`` and their names in the outcome table.
 FAILURES = ("fail_wrong_dx", "fail_severe_not_referred", "fail_low_conf_not_referred")
@@ -123,7 +124,7 @@ def decision_breakdown(df: DataFrame) -> DataFrame:
     sides = df.groupBy("is_referral").agg(
         F.count(F.lit(1)).alias("cases"), F.count_if("correct").alias("correct")
     )
-    total = sides.agg(F.sum("cases")).scalar()
+    total = totals(sides, total=F.sum("cases"))["total"]
     return sides.select(
         "is_referral",
         "cases",
@@ -144,7 +145,7 @@ def refer_reasons(df: DataFrame, order_key: str = "case_id") -> DataFrame:
         F.count_if(counted).alias("cases"),
         F.min(F.when(counted, F.col(order_key))).alias("_first"),
     )
-    total = reasons.agg(F.sum("_all")).scalar()
+    total = totals(reasons, total=F.sum("_all"))["total"]
     return (
         reasons.where(F.col("cases") > 0)
         .orderBy(F.desc("cases"), "_first")

@@ -8,6 +8,7 @@ from casework import fixed_values as fixed
 from casework.functions.lists import normalise_evidence
 from casework.functions.text import is_blank, strip, substring_occurrences, word_count
 from casework.operators.ranking import first_rows, quantile, ranked_values
+from casework.operators.totals import totals
 
 
 def _falsy(c: Column) -> Column:
@@ -17,7 +18,7 @@ def _falsy(c: Column) -> Column:
 def split_sizes(df: DataFrame, split: str = "split") -> DataFrame:
     """Q1: rows, rows in all and percentage per split."""
     sizes = df.groupBy(split).agg(F.count(F.lit(1)).alias("rows"))
-    total = sizes.agg(F.sum("rows")).scalar()
+    total = totals(sizes, total=F.sum("rows"))["total"]
     return sizes.withColumn("total", total).withColumn(
         "share_pct", F.col("rows") / F.col("total") * 100
     )
@@ -66,18 +67,16 @@ def value_counts(df: DataFrame, column: str, order_key: str, k: int | None = Non
     """Q3: values by falling count, ties by first appearance, with share of all rows and the number of
     distinct values; the first ``k`` of them if given."""
     counts = frequencies(df, column, order_key)
-    whole = counts.agg(
-        F.struct(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct_values"))
-    ).scalar()
-    ranked = counts.orderBy(F.desc("n"), "_first")
-    if k is not None:
-        ranked = ranked.limit(k)
-    return ranked.withColumn("_whole", whole).select(
+    whole = totals(counts, total=F.sum("n"), distinct_values=F.count(F.lit(1)))
+    shares = counts.withColumn("_whole", whole).select(
         "value",
         "n",
         (F.col("n") / F.col("_whole.total") * 100).alias("share_pct"),
         F.col("_whole.distinct_values").alias("distinct_values"),
+        "_first",
     )
+    ranked = shares.orderBy(F.desc("n"), "_first")
+    return (ranked if k is None else ranked.limit(k)).drop("_first")
 
 
 def balance_top(df: DataFrame, column: str, limit_pct: float = 10.0) -> DataFrame:
@@ -123,7 +122,9 @@ def evidence_counts(
     rows = df.select(order_key, normalise_evidence(df, column).alias("_list"))
     if n is not None:
         rows = first_rows(rows, n, [order_key])
-    return value_counts(rows.select(order_key, F.explode("_list").alias("_item")), "_item", order_key, k)
+    # The outer form keeps Spark from testing the list, and so parsing it, once more before the explode.
+    items = rows.select(order_key, F.posexplode_outer("_list").alias("_pos", "_item"))
+    return value_counts(items.where(F.col("_pos").isNotNull()), "_item", order_key, k)
 
 
 def _approximate(column: str, q: float) -> Column:
@@ -154,15 +155,16 @@ def numeric_stats(
 
 def category_share(df: DataFrame, column: str, denominator: str = "all") -> DataFrame:
     """Q7: rows and percentage per non-empty value, of all rows or of the shown ones."""
-    counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    shown = ~_falsy(F.col("value").cast("string"))
-    if denominator == "all":
-        base = counts.agg(F.sum("n")).scalar()
-    elif denominator == "shown":
-        base = counts.agg(F.sum(F.when(shown, F.col("n")))).scalar()
-    else:
+    shown = ~_falsy(F.col(column).cast("string"))
+    counts = df.groupBy(F.col(column).alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(shown).alias("_shown")
+    )
+    if denominator not in ("all", "shown"):
         raise ValueError(f"unknown denominator {denominator!r}")
-    return counts.where(shown).select("value", "n", (F.col("n") / base * 100).alias("share_pct"))
+    base = totals(counts, base=F.sum("n" if denominator == "all" else "_shown"))["base"]
+    return counts.where(F.col("_shown") > 0).select(
+        "value", "n", (F.col("n") / base * 100).alias("share_pct")
+    )
 
 
 def completeness(

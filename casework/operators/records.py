@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from casework import fixed_values as fixed
 from casework.functions.lists import (
-    clean_differential, differential_names, list_column, option_text, parse_differential, parse_list,
+    clean_differential, differential_items, differential_names, list_column, listed_names, option_text,
 )
 from casework.functions.text import fill, strip
 from casework.operators.decision import dynamic_threshold
@@ -18,7 +18,7 @@ def prepare_cases(df: DataFrame, code_map: DataFrame, max_rows: int = MAX_ROWS)
     differential leaves the truth as the only option with threshold 1.
     """
     codes = list_column(df, "EVIDENCES", "literal")
-    items = list_column(df, "DIFFERENTIAL_DIAGNOSIS", "literal")
+    items = differential_items(F.col("DIFFERENTIAL_DIAGNOSIS"), "literal")
     parsed = df.withColumns({"codes": codes, "_items": items})
     parsed = parsed.withColumn("options", differential_names(F.col("_items"), F.col("PATHOLOGY")))
     count = F.size("options")
@@ -86,7 +86,7 @@ def training_record_a(df: DataFrame, code_map: DataFrame, max_rows: int = MAX_RO
     parsed = df.withColumns(
         {
             "_codes": list_column(df, "EVIDENCES", "json"),
-            "_items": list_column(df, "DIFFERENTIAL_DIAGNOSIS", "json"),
+            "_items": differential_items(F.col("DIFFERENTIAL_DIAGNOSIS"), "json"),
         }
     )
     decoded = decode_list(parsed, code_map, "_codes", 15, "_texts", max_rows=max_rows)
@@ -95,8 +95,7 @@ def training_record_a(df: DataFrame, code_map: DataFrame, max_rows: int = MAX_RO
         F.array_join(F.slice("_texts", 1, 10), ", "),
         F.when(more > 0, fill(fixed.QUESTION_RECORD_MORE, more=more)).otherwise(F.lit("")),
     )
-    first = F.filter(F.slice("_items", 1, 3), lambda item: item.startswith("["))
-    names = F.transform(first, lambda item: F.get(F.from_json(item, "array<string>"), F.lit(0)))
+    names = listed_names(F.slice("_items", 1, 3))
     differential = F.when(
         F.size("_items") > 0,
         fill(fixed.QUESTION_RECORD_DIFFERENTIAL, names=F.array_join(names, ", ")),

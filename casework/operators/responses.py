@@ -32,11 +32,6 @@ def _field(entry: Column, name: str) -> Column:
     return F.try_element_at(entry, F.lit(name))
 
 
-def _with_default(entry: Column, name: str, default: Column) -> Column:
-    """The field where the key is there, even with a null; else the default."""
-    return F.when(F.map_contains_key(entry, name), _field(entry, name)).otherwise(default)
-
-
 def parse_response(df: DataFrame, column: str = "raw_model_response") -> DataFrame:
     """R2: adds ``predicted_disease``, ``model_confidence``, ``final_reason``, ``top_3`` (list of maps),
     ``parse_ok``, ``parse_error`` and ``parsed_model_json``.
@@ -61,39 +56,46 @@ def parse_response(df: DataFrame, column: str = "raw_model_response") -> DataFra
         }
     )
     final, first = F.col("_final"), F.get("_top", F.lit(0))
-    has_final = F.coalesce(F.size(final) > 0, F.lit(False))
-    final_is_odd = final.isNull() & F.coalesce(~final_text.isin(list(FALSY)), F.lit(False))
-    has_top = F.coalesce(~top_text.isin(list(FALSY)), F.lit(False))
-    top_is_odd = ~has_final & has_top & first.isNull()
-    is_object = F.col("_fields").isNotNull() & ~final_is_odd & ~top_is_odd
-    valid = F.col("_json").isNotNull()
+    said_final = F.coalesce(~final_text.isin(list(FALSY)), F.lit(False))
+    opened = opened.withColumns(
+        {
+            "_has_final": F.coalesce(F.size(final) > 0, F.lit(False)),
+            "_has_top": F.coalesce(~top_text.isin(list(FALSY)), F.lit(False)),
+            "_first": first,
+        }
+    )
+    # Something else in the place of an object is not what is expected.
+    odd = (final.isNull() & said_final) | (
+        ~F.col("_has_final") & F.col("_has_top") & F.col("_first").isNull()
+    )
+    opened = opened.withColumn("_is_object", F.col("_fields").isNotNull() & ~odd)
+    is_object = F.col("_is_object")
+    source = F.when(F.col("_has_final"), final).when(F.col("_has_top"), F.col("_first"))
+    opened = opened.withColumn("_source", F.when(is_object, source))
+    chosen = F.col("_source")
     disease = (
         F.when(~is_object, F.substring(F.substring_index(raw, "\n", 1), 1, 50))
-        .when(has_final, _with_default(final, "disease", head))
-        .when(has_top, _with_default(first, "disease", head))
+        .when(F.map_contains_key(chosen, "disease"), _field(chosen, "disease"))
         .otherwise(head)
     )
-    unset = F.lit("0.5")
-    confidence = (
-        F.when(~is_object, unset)
-        .when(has_final, _with_default(final, "confidence", unset))
-        .when(has_top, _with_default(first, "confidence", unset))
-        .otherwise(unset)
-    )
-    answered = raw.isNotNull()
+    confidence = F.when(
+        F.map_contains_key(chosen, "confidence"), _field(chosen, "confidence").try_cast("double")
+    ).otherwise(F.lit(0.5))
     return opened.withColumns(
         {
-            "predicted_disease": F.when(answered, disease),
-            "model_confidence": F.when(answered, confidence.try_cast("double")),
+            "predicted_disease": disease,
+            "model_confidence": F.when(raw.isNotNull(), confidence),
             "final_reason": F.when(is_object, _field(final, "reason")),
             "top_3": F.when(is_object, F.col("_top")),
-            "parse_ok": valid,
-            "parse_error": F.when(~valid, F.lit("not valid JSON")).when(
+            "parse_ok": F.col("_json").isNotNull(),
+            "parse_error": F.when(F.col("_json").isNull(), F.lit("not valid JSON")).when(
                 ~is_object, F.lit("not the expected JSON object")
             ),
             "parsed_model_json": F.coalesce(F.col("_json"), F.lit("{}")),
         }
-    ).drop("_json", "_fields", "_final", "_top")
+    ).drop(
+        "_json", "_fields", "_final", "_top", "_has_final", "_has_top", "_first", "_is_object", "_source"
+    )
 
 
 def flatten_top3(parsed: DataFrame) -> DataFrame:

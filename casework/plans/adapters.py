@@ -6,7 +6,7 @@ each row its own lists, so that all branches of the operators occur.
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from casework.functions.lists import differential_names, option_text, parse_list
+from casework.functions.lists import differential_items, differential_names, option_text
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
@@ -19,121 +19,88 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = N
     return df
 
 
-def _nation(j: int | Column) -> Column:
-    place = F.col("o_orderkey") * 3 + F.col("o_custkey") + j * 7
-    return F.concat(F.lit("NATION_"), (place % 25).cast("string"))
+def _nation(j: int | str) -> str:
+    return f"concat('NATION_', (o_orderkey * 3 + o_custkey + {j} * 7) % 25)"
 
 
-def _quoted(mark: str, text: Column) -> Column:
-    return F.concat(F.lit(mark), text, F.lit(mark))
+def _part(i: int | str) -> str:
+    return f"(o_orderkey * 7 + o_custkey * {i}) % 2200"
 
 
-def _list_text(items: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
-
-
-def _part(i: Column | int) -> Column:
-    return (F.col("o_orderkey") * 7 + F.col("o_custkey") * i) % 2200
+def _list_text(items: str) -> str:
+    return f"concat('[', array_join({items}, ', '), ']')"
 
 
 def case_columns() -> dict[str, Column]:
-    """A case from a row of ``orders``."""
-    key = F.col("o_orderkey")
-    # From 0, which is then dropped: sequence(1, 0) would count down.
-    numbers = F.filter(F.sequence(F.lit(0), key % 23), lambda i: i > 0)
-    ranks = F.filter(F.sequence(F.lit(0), (key + F.col("o_custkey")) % 6), lambda j: j > 0)
-
-    def code(i: Column) -> Column:
-        value = F.concat(F.lit("_@_V_"), ((_part(i) + i) % 7 + 1).cast("string"))
-        plain = (_part(i) + i) % 3 == 0
-        return F.concat(
-            F.lit("E_"), _part(i).cast("string"), F.when(plain, F.lit("")).otherwise(value)
-        )
-
-    def entry(mark: str):
-        def pair(j: Column) -> Column:
-            share = F.concat(F.lit("0."), (40 - j * 6).cast("string"))
-            return F.concat(F.lit("["), _quoted(mark, _nation(j)), F.lit(", "), share, F.lit("]"))
-
-        return pair
+    """A case from a row of ``orders``. Lists count from 0, which is then dropped: sequence(1, 0) would
+    count down."""
+    numbers = "filter(sequence(0L, o_orderkey % 23), i -> i > 0)"
+    ranks = "filter(sequence(0L, (o_orderkey + o_custkey) % 6), j -> j > 0)"
+    plain = f"({_part('i')} + i) % 3 = 0"
+    value = f"concat('_@_V_', ({_part('i')} + i) % 7 + 1)"
+    code = f"concat('E_', {_part('i')}, if({plain}, '', {value}))"
 
     def evidences(mark: str) -> Column:
-        listed = _list_text(F.transform(numbers, lambda i: _quoted(mark, code(i))))
-        return F.when(key % 43 == 42, F.lit("n/a")).otherwise(listed)
+        listed = _list_text(f"transform({numbers}, i -> concat({mark}, {code}, {mark}))")
+        return F.expr(f"if(o_orderkey % 43 = 42, 'n/a', {listed})")
 
     def differential(mark: str) -> Column:
-        listed = _list_text(F.transform(ranks, entry(mark)))
-        return F.when(key % 41 == 40, F.lit("not a list")).otherwise(listed)
+        pair = f"concat('[', {mark}, {_nation('j')}, {mark}, ', 0.', 40 - j * 6, ']')"
+        return F.expr(
+            f"if(o_orderkey % 41 = 40, 'not a list', {_list_text(f'transform({ranks}, j -> {pair})')})"
+        )
 
-    own = F.concat(F.lit("NATION_"), (F.col("o_custkey") % 25).cast("string"))
+    one, two = "chr(39)", "chr(34)"
     return {
-        "case_id": key,
-        "split": F.when(key % 10 == 0, F.lit("test"))
-        .when(key % 10 == 1, F.lit("validate"))
-        .otherwise(F.lit("train")),
-        "AGE": (key % 90).cast("int"),
-        "SEX": F.when(F.col("o_custkey") % 2 == 0, F.lit("M")).otherwise(F.lit("F")),
-        "INITIAL_EVIDENCE": F.when(
-            key % 23 > 0, F.concat(F.lit("E_"), _part(1).cast("string"))
+        "case_id": F.col("o_orderkey"),
+        "split": F.expr("case o_orderkey % 10 when 0 then 'test' when 1 then 'validate' else 'train' end"),
+        "AGE": F.expr("cast(o_orderkey % 90 as int)"),
+        "SEX": F.expr("if(o_custkey % 2 = 0, 'M', 'F')"),
+        "INITIAL_EVIDENCE": F.expr(f"if(o_orderkey % 23 > 0, concat('E_', {_part(1)}), null)"),
+        "EVIDENCES": evidences(one),
+        "EVIDENCES_JSON": evidences(two),
+        "DIFFERENTIAL_DIAGNOSIS": differential(one),
+        "DIFFERENTIAL_JSON": differential(two),
+        "PATHOLOGY": F.expr(
+            f"if(o_orderkey % 3 = 0, concat('NATION_', o_custkey % 25), {_nation(1)})"
         ),
-        "EVIDENCES": evidences("'"),
-        "EVIDENCES_JSON": evidences('"'),
-        "DIFFERENTIAL_DIAGNOSIS": differential("'"),
-        "DIFFERENTIAL_JSON": differential('"'),
-        "PATHOLOGY": F.when(key % 3 == 0, own).otherwise(_nation(1)),
     }
 
 
-def _hundredths(n: Column) -> Column:
-    return F.concat(
-        F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0")
-    )
-
-
 def response_column() -> Column:
     """A model response from a row of ``orders``, in eleven forms by key."""
-    key = F.col("o_orderkey")
-    first = (key * 37) % 101
-    second, third = F.floor(first / 2), F.floor(first / 4)
-    severe = (key * 3 + F.col("o_custkey") + 7) % 25 % 5 == 0
-    reason = (
-        F.when(severe, F.lit("severity")).when(first < 40, F.lit("low_confidence")).otherwise(F.lit("none"))
-    )
-    final = F.when(reason == "none", _nation(1)).otherwise(F.lit("Refer to specialist"))
-    surety = F.when(key % 2 == 0, _hundredths(first)).otherwise(_quoted('"', _hundredths(first)))
+    first = "o_orderkey * 37 % 101"
+    sure = [first, f"({first}) div 2", f"({first}) div 4"]
 
-    def rank(n: int, sure: Column) -> Column:
-        return F.concat(
-            F.lit(f'{{"rank": {n}, "disease": "'), _nation(n), F.lit('", "confidence": '),
-            _hundredths(sure), F.lit("}"),
-        )
+    def hundredths(n: str) -> str:
+        return f"concat(({n}) div 100, '.', lpad(({n}) % 100, 2, '0'))"
 
-    top = F.concat(
-        F.lit('{"top_3_predictions": ['), rank(1, first), F.lit(", "), rank(2, second), F.lit(", "),
-        rank(3, third), F.lit("]"),
-    )
-    whole = F.concat(
-        top, F.lit(', "final_prediction": {"disease": "'), final, F.lit('", "reason": "'), reason,
-        F.lit('", "confidence": '), surety, F.lit("}}"),
+    ranks = ", ', ', ".join(
+        f"""'{{"rank": {n}, "disease": "', {_nation(n)}, '", "confidence": ', {hundredths(sure[n - 1])}, '}}'"""
+        for n in (1, 2, 3)
     )
-    prose = F.concat(F.lit("I think it is "), _nation(1), F.lit(".\nPlease see a doctor."))
-    forms = [
-        whole,
-        F.concat(F.lit("Here it is:\n```json\n"), whole, F.lit("\n```\nTake care.")),
-        F.concat(F.lit("```\n"), whole, F.lit("\n```")),
-        prose,
-        F.concat(top, F.lit("}")),
-        F.concat(whole, F.lit(" That is all.")),
-        F.lit(None).cast("string"),
-        F.concat(F.lit("{'final_prediction': {'disease': '"), _nation(1), F.lit("'}}")),
-        F.lit("[1, 2]"),
-        F.concat(top, F.lit(', "final_prediction": {}}')),
-        F.concat(top, F.lit(', "final_prediction": {"disease": null, "confidence": 0.7}}')),
-    ]
-    text = forms[0]
-    for n, form in enumerate(forms[1:], 1):
-        text = F.when(key % len(forms) == n, form).otherwise(text)
-    return text
+    top = f"""concat('{{"top_3_predictions": [', {ranks}, ']')"""
+    reason = f"""case when (o_orderkey * 3 + o_custkey + 7) % 25 % 5 = 0 then 'severity'
+        when {first} < 40 then 'low_confidence' else 'none' end"""
+    final = f"if(({reason}) = 'none', {_nation(1)}, 'Refer to specialist')"
+    quote = "if(o_orderkey % 2 = 0, '', chr(34))"
+    whole = f"""concat({top}, ', "final_prediction": {{"disease": "', {final}, '", "reason": "', {reason},
+        '", "confidence": ', {quote}, {hundredths(first)}, {quote}, '}}}}')"""
+    # The forms that hold the whole answer, as what comes before and after it.
+    return F.expr(f"""case o_orderkey % 11
+        when 3 then concat('I think it is ', {_nation(1)}, '.\\nPlease see a doctor.')
+        when 4 then concat({top}, '}}')
+        when 6 then null
+        when 7 then concat('{{\\'final_prediction\\': {{\\'disease\\': \\'', {_nation(1)}, '\\'}}}}')
+        when 8 then '[1, 2]'
+        when 9 then concat({top}, ', "final_prediction": {{}}}}')
+        when 10 then concat({top}, ', "final_prediction": {{"disease": null, "confidence": 0.7}}}}')
+        else concat(
+            case o_orderkey % 11 when 1 then 'Here it is:\\n```json\\n' when 2 then '```\\n' else '' end,
+            {whole},
+            case o_orderkey % 11 when 1 then '\\n```\\nTake care.' when 2 then '\\n```'
+                when 5 then ' That is all.' else '' end)
+        end""")
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,8 +254,8 @@ def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         columns["case_id"].alias("case_id"),
         (columns["case_id"] + 1).alias("case_num"),
         columns["PATHOLOGY"].alias("true_diagnosis"),
-        parse_list(columns["DIFFERENTIAL_DIAGNOSIS"], "literal").alias("_items"),
+        columns["DIFFERENTIAL_DIAGNOSIS"].alias("_cell"),
         response_column().alias("raw_model_response"),
     )
-    names = differential_names(F.col("_items"), F.col("true_diagnosis"))
-    return rows.withColumn("diagnosis_options", option_text(names)).drop("_items")
+    names = differential_names(differential_items(F.col("_cell"), "literal"), F.col("true_diagnosis"))
+    return rows.withColumn("diagnosis_options", option_text(names)).drop("_cell")

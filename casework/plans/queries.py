@@ -145,7 +145,7 @@ def d4a_parse_differential(spark, sf_dir):
 def d4b_differential_names(spark, sf_dir):
     """Options, their count, the numbered text and the threshold."""
     df = adapters.literal_cases(spark, sf_dir)
-    items = lists.parse_list(F.col("DIFFERENTIAL_DIAGNOSIS"), "literal")
+    items = lists.differential_items(F.col("DIFFERENTIAL_DIAGNOSIS"), "literal")
     df = df.select("case_id", "PATHOLOGY", items.alias("items"))
     df = df.withColumn("names", lists.differential_names(F.col("items"), F.col("PATHOLOGY")))
     threshold = F.when(F.col("items").isNull(), F.lit(1.0)).otherwise(
