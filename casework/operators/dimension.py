@@ -27,5 +27,6 @@ def join_dimension(
     if fits_in_memory(dim, max_rows):
         return df.join(F.broadcast(dim), key, "left")
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    copies = dim.withColumn("_salt", F.explode(salts))
     return salted.join(copies, [key, "_salt"], "left").drop("_salt")
