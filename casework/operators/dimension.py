@@ -1,4 +1,6 @@
-"""Joins to small dimensions: broadcast below a checked size, salted shuffle join above it."""
+"""Joins to small tables: broadcast below a checked size, shuffle join above it."""
+
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,3 +32,18 @@ def join_dimension(
     salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
     copies = dim.withColumn("_salt", F.explode(salts))
     return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+
+
+def join_groups(
+    df: DataFrame, groups: DataFrame, by: list[str], max_rows: int = MAX_ROWS
+) -> DataFrame:
+    """Inner join of rows to what is known of their group, NULL keys included.
+
+    ``groups`` should come from a checkpoint, as it is measured first. Above the size limit it is left to a
+    shuffle join, whose hot keys adaptive execution splits.
+    """
+    right = groups.withColumnsRenamed({name: f"_of_{name}" for name in by})
+    if fits_in_memory(right, max_rows):
+        right = F.broadcast(right)
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_of_{n}")) for n in by])
+    return df.join(right, same).drop(*[f"_of_{name}" for name in by])

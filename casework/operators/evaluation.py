@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from casework import fixed_values as fixed
 from casework.functions.text import strip, to_number
@@ -17,17 +17,31 @@ def truthy(c: Column) -> Column:
     return F.coalesce(strip(c.cast("string")).isin(list(fixed.TRUTHY)), F.lit(False))
 
 
+def _mark(df: DataFrame, name: str) -> Column:
+    if isinstance(df.schema[name].dataType, T.BooleanType):
+        return F.coalesce(F.col(name), F.lit(False))
+    return truthy(F.col(name))
+
+
+def _number(df: DataFrame, name: str) -> Column:
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        value = F.col(name).cast("double")
+        return F.when(~F.isnan(value), value)
+    return to_number(F.col(name))
+
+
 def normalise_scored(df: DataFrame) -> DataFrame:
-    """Marks to boolean, numbers to double with NaN as NULL, ``action`` to ``is_referral``."""
+    """Marks to boolean, numbers to double with NaN as NULL, ``action`` to ``is_referral``. Columns that
+    have these types already are not read as text."""
     action = F.upper(strip(F.col("action").cast("string")))
     return df.withColumns(
         {
-            "correct": truthy(F.col("correct")),
-            "confidence": to_number(F.col("confidence")),
-            "num_options": to_number(F.col("num_options")),
+            "correct": _mark(df, "correct"),
+            "confidence": _number(df, "confidence"),
+            "num_options": _number(df, "num_options"),
             "is_referral": F.coalesce(action == "REFER", F.lit(False)),
-            "is_severe": truthy(F.col("is_severe")),
-            "high_confidence": truthy(F.col("high_confidence")),
+            "is_severe": _mark(df, "is_severe"),
+            "high_confidence": _mark(df, "high_confidence"),
         }
     )
 

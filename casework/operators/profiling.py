@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from casework import fixed_values as fixed
 from casework.functions.lists import normalise_evidence
 from casework.functions.text import is_blank, strip, substring_occurrences, word_count
+from casework.operators.dimension import join_groups
 from casework.operators.ranking import first_rows, quantile, ranked_values
 from casework.operators.totals import totals
+from casework.session import checkpoint
 
 
 def _falsy(c: Column) -> Column:
@@ -127,10 +129,6 @@ def evidence_counts(
     return value_counts(items.where(F.col("_pos").isNotNull()), "_item", order_key, k)
 
 
-def _approximate(column: str, q: float) -> Column:
-    return F.percentile_approx(column, q)
-
-
 def numeric_stats(
     df: DataFrame, column: str, by: list[str] = (), approx: bool = False
 ) -> DataFrame:
@@ -140,7 +138,7 @@ def numeric_stats(
     if approx:
         return df.groupBy(*by).agg(
             F.avg(column).alias("mean"),
-            _approximate(column, 0.5).cast("double").alias("median"),
+            F.percentile_approx(column, 0.5).cast("double").alias("median"),
             F.min(column).alias("min"),
             F.max(column).alias("max"),
         )
@@ -406,10 +404,10 @@ def corpus_quality(
 def histogram(df: DataFrame, column: str, bins: int, by: list[str] = ()) -> DataFrame:
     """Q17: equal-width bins over the range of each group, the last one closed; empty bins show 0.
 
-    Equal values are counted first; what is binned has one row per distinct value.
+    Equal values are counted first; what is written once and binned has one row per distinct value.
     """
     by = list(by)
-    values = (
+    values = checkpoint(
         df.select(*by, F.col(column).cast("double").alias("_v"))
         .where(F.col("_v").isNotNull())
         .groupBy(*by, "_v")
@@ -423,7 +421,7 @@ def histogram(df: DataFrame, column: str, bins: int, by: list[str] = ()) -> Data
         F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"),
     )
     if by:
-        ranged = values.join(edges, by)
+        ranged = join_groups(values, edges, by)
     else:
         ends = edges.select(F.struct("_lo", "_hi").alias("_e")).scalar()
         ranged = values.withColumn("_e", ends).select("_v", "_n", "_e.*")
@@ -451,37 +449,27 @@ def histogram(df: DataFrame, column: str, bins: int, by: list[str] = ()) -> Data
     )
 
 
-def box_summary(df: DataFrame, column: str, by: list[str], approx: bool = False) -> DataFrame:
+def box_summary(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Q18: quartiles, whiskers at the furthest value within 1.5 times the box, and the number of values
     beyond them, per group."""
     by = list(by)
-    if approx:
-        values = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        quartiles = df.groupBy(*by).agg(
-            *[_approximate(column, q).cast("double").alias(name)
-              for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
-        )
-    else:
-        values = ranked_values(df.select(*by, column), column, by)
-        quartiles = values.groupBy(*by).agg(
-            quantile(column, 0.25).alias("q1"),
-            quantile(column, 0.5).alias("median"),
-            quantile(column, 0.75).alias("q3"),
-        )
+    values = ranked_values(df.select(*by, column), column, by)
+    quartiles = values.groupBy(*by).agg(
+        quantile(column, 0.25).alias("q1"),
+        quantile(column, 0.5).alias("median"),
+        quantile(column, 0.75).alias("q3"),
+    )
     reach = (F.col("q3") - F.col("q1")) * 1.5
     v, n = F.col(column), F.col("n")
     low_side = v >= F.col("q1") - reach
     high_side = v <= F.col("q3") + reach
-    boxed = values.join(quartiles, by)
-    inside = boxed.groupBy(*by, "q1", "median", "q3").agg(
+    boxed = join_groups(values, quartiles, by)
+    return boxed.groupBy(*by, "q1", "median", "q3").agg(
         F.least(F.min(F.when(low_side, v)), F.col("q1")).alias("whisker_low"),
         F.greatest(F.max(F.when(high_side, v)), F.col("q3")).alias("whisker_high"),
         F.coalesce(F.sum(F.when(~low_side | ~high_side, n)), F.lit(0)).alias("outliers"),
         F.sum("n").alias("rows"),
     )
-    return inside
 
 
 def load_rates(docs: DataFrame, failures: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -5,10 +5,9 @@ task ranks its own range; the ranges' sizes, one row per range and group, give t
 rows are checkpointed once, because the range bounds are sampled and both uses must see the same ranges.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from casework.operators.dimension import join_groups
 from casework.session import checkpoint
 
 SALTS = 32
@@ -16,13 +15,6 @@ SALTS = 32
 PRUNED_LIMIT = 1000
 
 
-def _with_offsets(rows: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
-    """Join each row to its range's offsets; NULL is a group of its own."""
-    offsets = _offsets(sizes, by).withColumnsRenamed({name: f"_of_{name}" for name in [*by, "_part"]})
-    same = [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in by]
-    return rows.join(offsets, reduce(lambda a, b: a & b, same, F.col("_part") == F.col("_of__part")))
-
-
 def _offsets(sizes: DataFrame, by: list[str]) -> DataFrame:
     """Rows before each range, and rows in all, per group. ``sizes`` has one row per (group, range)."""
     whole = Window.partitionBy(*by)
@@ -52,7 +44,7 @@ def ranked_rows(df: DataFrame, order: list[str], by: list[str] = ()) -> DataFram
     sizes = cut.groupBy(*by, "_part").agg(
         F.count(F.lit(1)).alias("_size"), F.min("_row").alias("_first")
     )
-    return _with_offsets(cut, sizes, by).select(
+    return join_groups(cut, _offsets(sizes, by), [*by, "_part"]).select(
         *df.columns,
         (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("rank"),
         F.col("_total").alias("group_size"),
@@ -71,7 +63,7 @@ def ranked_values(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
         Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
     local = cut.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return _with_offsets(local, sizes, by).select(
+    return join_groups(local, _offsets(sizes, by), [*by, "_part"]).select(
         *by,
         value,
         "n",

@@ -29,7 +29,9 @@ def _smallest_hashes(df: DataFrame, wanted: Column, seed: int, key: str, by: lis
     filled = counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
     cut = filled.where(F.col("_before") < wanted).groupBy(*by).agg(F.max("_prefix").alias("_cut"))
     if by:
-        return hashed.join(cut, by).where(F.col("_prefix") <= F.col("_cut")).drop("_prefix", "_cut")
+        # One row per wanted split.
+        near = hashed.join(F.broadcast(cut), by).where(F.col("_prefix") <= F.col("_cut"))
+        return near.drop("_prefix", "_cut")
     last = cut.scalar()
     return hashed.where(F.col("_prefix") <= last).drop("_prefix")
 

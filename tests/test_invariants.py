@@ -8,7 +8,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from casework.operators import decision, evaluation, profiling, ranking, responses, sampling
+from casework.operators import decision, dimension, evaluation, profiling, ranking, responses, sampling
 from casework.plans import adapters
 from conftest import SMALL
 
@@ -122,6 +122,24 @@ def test_histogram_sums(spark, values, bins):
         assert found == [places.count(b) for b in range(bins)]
 
 
+def test_null_groups_are_groups(spark):
+    data = [(None, v) for v in (1, 2, 9)] + [("a", v) for v in (5, 6)]
+    df = spark.createDataFrame(data, "g string, v long")
+    stats = {r["g"]: (r["median"], r["max"]) for r in profiling.numeric_stats(df, "v", ["g"]).collect()}
+    assert stats == {None: (2.0, 9), "a": (5.5, 6)}
+    boxes = {r["g"]: r["rows"] for r in profiling.box_summary(df, "v", ["g"]).collect()}
+    bins = profiling.histogram(df, "v", 2, ["g"]).groupBy("g").agg(F.sum("n")).collect()
+    assert boxes == dict(map(tuple, bins)) == {None: 3, "a": 2}
+
+
+def test_groups_beyond_the_size_limit(spark, monkeypatch):
+    data = [(f"g{i % 5}", i) for i in range(100)]
+    df = spark.createDataFrame(data, "g string, v long")
+    small = rows(profiling.box_summary(df, "v", ["g"]))
+    monkeypatch.setattr(dimension, "fits_in_memory", lambda *args: False)
+    assert rows(profiling.box_summary(df, "v", ["g"])) == small
+
+
 def test_numeric_stats(spark):
     values = [3.5, -1.0, 8.25, None, 8.25, 2.0]
     df = spark.createDataFrame([(v,) for v in values], "v double")
