@@ -26,15 +26,14 @@ def _cell(value):
     return value
 
 
-def _kind(values):
-    kinds = {type(v).__name__ for v in values if v is not None}
-    return kinds.pop() if len(kinds) == 1 else sorted(kinds)
+TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def differences(df, con, sql):
     """An empty list when the two results agree."""
     result = con.execute(sql)
     names = [column[0] for column in result.description]
+    kinds = {column[0]: str(column[1]) for column in result.description}
     theirs = [tuple(_cell(v) for v in row) for row in result.fetchall()]
     if sorted(df.columns) != sorted(names):
         return [f"columns {sorted(df.columns)} and {sorted(names)}"]
@@ -43,10 +42,10 @@ def differences(df, con, sql):
     theirs = sorted((tuple(row[p] for p in places) for row in theirs), key=repr)
     ours = sorted((tuple(_cell(v) for v in row) for row in df.select(*order).collect()), key=repr)
     found = []
-    for i, name in enumerate(order):
-        a, b = _kind([r[i] for r in ours]), _kind([r[i] for r in theirs])
-        if a != b:
-            found.append(f"type of {name}: {a} and {b}")
+    for field in df.schema:
+        kind = TYPES.get(field.dataType.simpleString(), field.dataType.simpleString())
+        if kind != kinds[field.name]:
+            found.append(f"type of {field.name}: {kind} and {kinds[field.name]}")
     if len(ours) != len(theirs):
         found.append(f"{len(ours)} and {len(theirs)} rows")
     wrong = [(a, b) for a, b in zip(ours, theirs) if a != b]
