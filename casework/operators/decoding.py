@@ -46,19 +46,32 @@ def decode_question(
     return _decode_one(df, code_map, column, out, key, "question", max_rows)
 
 
-def _listed(df: DataFrame, codes: str, key: str, cap: int) -> DataFrame:
-    """One row per code, at most ``cap`` per case.
+def _listed(df: DataFrame, codes: str, key: str, cap: int, carried: list[str]) -> DataFrame:
+    """One row per code, at most ``cap`` per case; a case without codes keeps one row.
 
-    The outer form keeps Spark from testing the list, and so parsing it, once more before the explode.
+    The outer form also keeps Spark from testing the list, and so parsing it, once more.
     """
-    rows = df.select(key, F.posexplode_outer(F.slice(codes, 1, cap)).alias("_pos", "_code"))
-    return rows.where(F.col("_pos").isNotNull())
+    return df.select(key, *carried, F.posexplode_outer(F.slice(codes, 1, cap)).alias("_pos", "_code"))
 
 
-def _regrouped(items: DataFrame, key: str, out: str) -> DataFrame:
-    """At most ``cap`` texts per case, back in list order."""
-    pairs = F.array_sort(F.collect_list(F.struct("_pos", "_text")))
-    return items.groupBy(key).agg(F.transform(pairs, lambda p: p["_text"]).alias(out))
+def _regrouped(items: DataFrame, key: str, out: str, carried: list[str]) -> DataFrame:
+    """One row per case: at most ``cap`` texts, back in list order."""
+    pair = F.when(F.col("_text").isNotNull(), F.struct("_pos", "_text"))
+    pairs = F.array_sort(F.collect_list(pair))
+    return items.groupBy(key).agg(
+        F.transform(pairs, lambda p: p["_text"]).alias(out), *[F.first(name).alias(name) for name in carried]
+    )
+
+
+def listed_texts(
+    df: DataFrame, code_map: DataFrame, codes: str, cap: int, out: str, key: str = "case_id",
+    variant: str = "question", carried: list[str] = (), max_rows: int = MAX_ROWS,
+) -> DataFrame:
+    """D6c without the other columns: (key, ``out``, what is ``carried``), one row per case."""
+    texts = code_texts(code_map, variant).withColumnRenamed("code", "_code")
+    items = join_dimension(_listed(df, codes, key, cap, carried), texts, "_code", key, max_rows)
+    items = items.select(key, *carried, "_pos", F.coalesce("_text", "_code").alias("_text"))
+    return _regrouped(items, key, out, carried)
 
 
 def decode_list(
@@ -67,17 +80,14 @@ def decode_list(
 ) -> DataFrame:
     """The first ``cap`` codes of a list column as texts, and ``<out>_more``, the number left out.
 
-    ``key`` is unique. Where ``df`` is partitioned (or bucketed) by it, nothing but ``code_map`` moves.
+    ``key`` is unique. Where ``df`` is partitioned (or bucketed) by it, nothing but ``code_map`` moves. The
+    list is needed on one side of the join back only, so that it is read and parsed once.
     """
-    texts = code_texts(code_map, variant).withColumnRenamed("code", "_code")
-    items = join_dimension(_listed(df, codes, key, cap), texts, "_code", key, max_rows)
-    items = items.select(key, "_pos", F.coalesce("_text", "_code").alias("_text"))
-    empty = F.array().cast("array<string>")
-    return df.join(_regrouped(items, key, out), key, "left").select(
-        *df.columns,
-        F.coalesce(out, empty).alias(out),
-        F.greatest(F.coalesce(F.size(codes), F.lit(0)) - cap, F.lit(0)).alias(f"{out}_more"),
-    )
+    more = f"{out}_more"
+    left = F.greatest(F.coalesce(F.size(codes), F.lit(0)) - cap, F.lit(0))
+    listed = df.select(key, codes, left.alias(more))
+    texts = listed_texts(listed, code_map, codes, cap, out, key, variant, [more], max_rows)
+    return df.join(texts, key).select(*df.columns, out, more)
 
 
 def _without(text: Column, words: tuple[str, ...]) -> Column:
@@ -108,6 +118,25 @@ def code_phrases(code_map: DataFrame) -> DataFrame:
     )
 
 
+def symptom_lines(
+    df: DataFrame, code_map: DataFrame, codes: str = "codes", cap: int = fixed.SYMPTOM_CAP,
+    out: str = "symptoms", key: str = "case_id", carried: list[str] = (), max_rows: int = MAX_ROWS,
+) -> DataFrame:
+    """D7 without the other columns: (key, ``out``, what is ``carried``), one row per case."""
+    items = _listed(df, codes, key, cap, carried).select(
+        key,
+        *carried,
+        "_pos",
+        F.substring_index("_code", fixed.CODE_SEPARATOR, 1).alias("_base"),
+        F.split_part("_code", F.lit(fixed.CODE_SEPARATOR), F.lit(2)).alias("_value"),
+    )
+    said = F.coalesce("_statement", F.try_element_at("_by_value", F.col("_value")))
+    items = join_dimension(items, code_phrases(code_map), "_base", key, max_rows)
+    lines = _regrouped(items.withColumn("_text", said), key, "_texts", carried)
+    line = F.when(F.size("_texts") > 0, F.array_join("_texts", ", "))
+    return lines.select(key, *carried, F.coalesce(line, F.lit(fixed.DEFAULT_COMPLAINT)).alias(out))
+
+
 def decode_symptoms(
     df: DataFrame, code_map: DataFrame, codes: str = "codes", cap: int = fixed.SYMPTOM_CAP,
     out: str = "symptoms", key: str = "case_id", max_rows: int = MAX_ROWS,
@@ -117,20 +146,8 @@ def decode_symptoms(
     Codes without a known question or a meaningful text say nothing; a case in which no code says
     anything gets a fixed complaint. ``key`` is unique.
     """
-    items = _listed(df, codes, key, cap).select(
-        key,
-        "_pos",
-        F.substring_index("_code", fixed.CODE_SEPARATOR, 1).alias("_base"),
-        F.split_part("_code", F.lit(fixed.CODE_SEPARATOR), F.lit(2)).alias("_value"),
-    )
-    said = join_dimension(items, code_phrases(code_map), "_base", key, max_rows).select(
-        key, "_pos", F.coalesce("_statement", F.try_element_at("_by_value", F.col("_value"))).alias("_text")
-    )
-    lines = _regrouped(said.where(F.col("_text").isNotNull()), key, "_texts")
-    return df.join(lines, key, "left").select(
-        *df.columns,
-        F.coalesce(F.array_join("_texts", ", "), F.lit(fixed.DEFAULT_COMPLAINT)).alias(out),
-    )
+    lines = symptom_lines(df.select(key, codes), code_map, codes, cap, out, key, max_rows=max_rows)
+    return df.join(lines, key).select(*df.columns, out)
 
 
 def sex_text(c: Column) -> Column:

@@ -5,29 +5,37 @@ from pyspark.sql import Column, DataFrame, functions as F
 from casework import fixed_values as fixed
 from casework.functions.lists import (
     clean_differential, differential_items, differential_names, list_column, listed_names, option_text,
+    parse_error,
 )
 from casework.functions.text import fill, strip
 from casework.operators.decision import dynamic_threshold
-from casework.operators.decoding import MAX_ROWS, decode_list, decode_symptoms, sex_text
+from casework.operators.decoding import MAX_ROWS, listed_texts, sex_text, symptom_lines
 
 
 def prepare_cases(df: DataFrame, code_map: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Parse each list cell once and decode the symptoms: the columns that prompts and results use.
 
+    The evidences are read on one side of a join by ``case_id`` and the rest on the other.
+
     An unreadable evidence list counts as empty and is told in ``evidence_error``. An unreadable
     differential leaves the truth as the only option with threshold 1.
     """
-    codes = list_column(df, "EVIDENCES", "literal")
+    listed = df.select(
+        "case_id", "EVIDENCES", list_column(df, "EVIDENCES", "literal").alias("codes")
+    ).withColumns(
+        {
+            "num_evidences": F.coalesce(F.size("codes"), F.lit(0)),
+            "evidence_error": parse_error(F.col("codes"), F.col("EVIDENCES")),
+        }
+    )
+    told = ["num_evidences", "evidence_error"]
+    lines = symptom_lines(listed, code_map, carried=told, max_rows=max_rows)
     items = differential_items(F.col("DIFFERENTIAL_DIAGNOSIS"), "literal")
-    parsed = df.withColumns({"codes": codes, "_items": items})
+    parsed = df.withColumn("_items", items)
     parsed = parsed.withColumn("options", differential_names(F.col("_items"), F.col("PATHOLOGY")))
     count = F.size("options")
     parsed = parsed.withColumns(
         {
-            "evidence_error": F.when(
-                F.col("codes").isNull() & F.col("EVIDENCES").isNotNull(), F.lit("not a list")
-            ),
-            "num_evidences": F.coalesce(F.size("codes"), F.lit(0)),
             "sex_text": sex_text(F.col("SEX")),
             "diagnosis_options": option_text(F.col("options")),
             "num_diagnosis_options": count,
@@ -36,7 +44,7 @@ def prepare_cases(df: DataFrame, code_map: DataFrame, max_rows: int = MAX_ROWS)
             ),
         }
     ).drop("_items")
-    return decode_symptoms(parsed, code_map, max_rows=max_rows)
+    return parsed.join(lines, "case_id")
 
 
 def _case_fields() -> dict[str, Column]:
@@ -83,13 +91,10 @@ def to_messages(df: DataFrame, roles: dict[str, Column], out: str = "messages")
 
 def training_record_a(df: DataFrame, code_map: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """question records. Up to 15 codes are decoded, 10 of them are named, the rest counted."""
-    parsed = df.withColumns(
-        {
-            "_codes": list_column(df, "EVIDENCES", "json"),
-            "_items": differential_items(F.col("DIFFERENTIAL_DIAGNOSIS"), "json"),
-        }
-    )
-    decoded = decode_list(parsed, code_map, "_codes", 15, "_texts", max_rows=max_rows)
+    listed = df.select("case_id", list_column(df, "EVIDENCES", "json").alias("_codes"))
+    texts = listed_texts(listed, code_map, "_codes", 15, "_texts", max_rows=max_rows)
+    items = differential_items(F.col("DIFFERENTIAL_DIAGNOSIS"), "json")
+    decoded = df.withColumn("_items", items).join(texts, "case_id")
     more = F.size("_texts") - 10
     symptoms = F.concat(
         F.array_join(F.slice("_texts", 1, 10), ", "),

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from casework import fixed_values as fixed
 from casework.functions.json_text import STRICT, object_or_null, strict_json
 from casework.functions.text import WS, first_line, strip  # noqa: F401  (R9 is first_line)
+from casework.session import checkpoint
 
 FENCE = "```"
 JSON_FENCE = "```json"
@@ -41,7 +42,8 @@ def parse_response(df: DataFrame, column: str = "raw_model_response") -> DataFra
     """
     raw = F.col(column)
     head = F.substring(raw, 1, 50)
-    opened = df.withColumn("_json", strict_json(strip(strip_fence(raw))))
+    opened = df.withColumn("_body", strip(strip_fence(raw)))
+    opened = opened.withColumn("_json", strict_json(F.col("_body")))
     fields = object_or_null(
         F.col("_json"), "struct<top_3_predictions:string,final_prediction:string>"
     )
@@ -94,7 +96,7 @@ def parse_response(df: DataFrame, column: str = "raw_model_response") -> DataFra
             "parsed_model_json": F.coalesce(F.col("_json"), F.lit("{}")),
         }
     ).drop(
-        "_json", "_fields", "_final", "_top", "_has_final", "_has_top", "_first", "_is_object", "_source"
+        "_body", "_json", "_fields", "_final", "_top", "_has_final", "_has_top", "_first", "_is_object", "_source"
     )
 
 
@@ -201,13 +203,14 @@ def running_accuracy(
 ) -> DataFrame:
     """(cases, correct, accuracy) after each full block of ``every`` cases; ``order`` counts from 1.
 
-    Blocks are summed first, then spans of blocks; only the span totals, one row per
+    Blocks are summed and written once, then spans of blocks; only the span totals, one row per
     ``every * blocks_per_span`` cases, are added up in one task.
     """
     block = F.floor((F.col(order) - 1) / every)
-    blocks = df.groupBy(block.alias("block")).agg(
+    counted = df.groupBy(block.alias("block")).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col(right)).alias("_right")
-    ).withColumn("_span", F.floor(F.col("block") / blocks_per_span))
+    )
+    blocks = checkpoint(counted.withColumn("_span", F.floor(F.col("block") / blocks_per_span)))
     before = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     spans = blocks.groupBy("_span").agg(F.sum("_n").alias("_sn"), F.sum("_right").alias("_sr"))
     spans = spans.select(
