@@ -57,12 +57,13 @@ def shuffle_take(
         wanted = F.when(F.col(split) == name, F.lit(n)).otherwise(wanted)
     named = df.where(F.col(split).isin(list(takes)))
     near = _smallest_hashes(named, wanted, seed, key, [split])
-    inside = Window.partitionBy(split).orderBy("_hash", key)
-    return (
-        near.withColumn("position", F.row_number().over(inside).cast("long"))
-        .where(F.col("position") <= wanted)
-        .drop("_hash")
-    )
+    if max(takes.values()) > LARGE_SAMPLE:
+        ranked = ranked_rows(near, ["_hash", key], [split]).drop("group_size")
+        ranked = ranked.withColumnRenamed("rank", "position")
+    else:
+        inside = Window.partitionBy(split).orderBy("_hash", key)
+        ranked = near.withColumn("position", F.row_number().over(inside).cast("long"))
+    return ranked.where(F.col("position") <= wanted).drop("_hash")
 
 
 def take_first(df: DataFrame, n: int, order_key: str) -> DataFrame:

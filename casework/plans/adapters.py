@@ -180,6 +180,21 @@ def code_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def code_entry_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary as (code, JSON text of the entry)."""
+    codes = code_map(spark, sf_dir)
+    entry = F.to_json(F.struct("name", "question_en", "data_type", "value_meaning"))
+    return codes.select("code", F.coalesce("entry_text", entry).alias("entry_text"))
+
+
+def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as files (path, content); the content of every 29th is no UTF-8."""
+    broken = F.expr("if(doc_id % 29 = 28, unhex('FF'), unhex(''))")
+    return corpus(spark, sf_dir).select(
+        "path", F.concat(F.col("text").cast("binary"), broken).alias("content")
+    )
+
+
 def severe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nations of one region as severe set."""
     nation = table(spark, sf_dir, "nation")

@@ -275,6 +275,22 @@ LABEL_INPUT = prompt(
     differential="CASE WHEN dx_ok THEN array_to_string(dx[1:8], ', ') ELSE 'not a list' END",
 )
 
+RESULTS = f"""SELECT case_num, case_id AS original_test_index, s.age, sex_text AS sex, symptoms, num_evidences,
+  s.truth AS true_diagnosis, {OPTIONS.replace('names', 's.names')} AS diagnosis_options,
+  len(s.names) AS num_diagnosis_options, threshold::double AS confidence_threshold,
+  {SEVERE_TEXT} AS severe_disease_list,
+  rank1 AS rank1_disease, CASE WHEN is_object THEN s1 / 100 END AS rank1_confidence,
+  CASE WHEN is_object THEN n2 END AS rank2_disease, CASE WHEN is_object THEN s2 / 100 END AS rank2_confidence,
+  CASE WHEN is_object THEN n3 END AS rank3_disease, CASE WHEN is_object THEN s3 / 100 END AS rank3_confidence,
+  predicted AS final_prediction, confidence AS final_confidence, final_reason,
+  coalesce(predicted = '{fixed.REFER}', false) AS final_is_referral, judged AS diagnosis_for_accuracy,
+  CASE WHEN is_correct THEN '✓' ELSE '✗' END AS diagnostic_correct,
+  CASE WHEN is_correct THEN '✓' ELSE '✗' END AS correct,
+  form IN (0, 1, 2, 4, 8, 9, 10) AS parse_ok,
+  CASE WHEN form = 8 THEN 'not the expected JSON object' WHEN form IN (3, 5, 6, 7) THEN 'not valid JSON' END
+    AS parse_error
+FROM sampled s JOIN asked USING (case_id)"""
+
 ORACLES: dict[str, str] = {
     "s1_load_cases": f"""WITH {CASES}
 SELECT case_id, split, age AS "AGE", sex AS "SEX", initial AS "INITIAL_EVIDENCE",
@@ -414,24 +430,22 @@ SELECT case_id, disease AS predicted_rank1_disease, confidence AS predicted_rank
     "r6_is_referral": f"""WITH {PARSED}
 SELECT case_id, coalesce(predicted = '{fixed.REFER}', false) AS is_referral FROM parsed""",
     "r7_assemble_results": f"""WITH {PARSED}, {CODES}, {SAID}, {SEVERE},
+sampled AS (SELECT *, case_id + 1 AS case_num FROM marked)
+{RESULTS}""",
+    "a1_sampled_run": f"""WITH {PARSED}, {CODES}, {SAID}, {SEVERE},
 sampled AS (
   SELECT *, row_number() OVER (ORDER BY {HASH}, case_id) AS case_num FROM marked QUALIFY case_num <= 1000
 )
-SELECT case_num, case_id AS original_test_index, s.age, sex_text AS sex, symptoms, num_evidences,
-  s.truth AS true_diagnosis, {OPTIONS.replace('names', 's.names')} AS diagnosis_options,
-  len(s.names) AS num_diagnosis_options, threshold::double AS confidence_threshold,
-  {SEVERE_TEXT} AS severe_disease_list,
-  rank1 AS rank1_disease, CASE WHEN is_object THEN s1 / 100 END AS rank1_confidence,
-  CASE WHEN is_object THEN n2 END AS rank2_disease, CASE WHEN is_object THEN s2 / 100 END AS rank2_confidence,
-  CASE WHEN is_object THEN n3 END AS rank3_disease, CASE WHEN is_object THEN s3 / 100 END AS rank3_confidence,
-  predicted AS final_prediction, confidence AS final_confidence, final_reason,
-  coalesce(predicted = '{fixed.REFER}', false) AS final_is_referral, judged AS diagnosis_for_accuracy,
-  CASE WHEN is_correct THEN '✓' ELSE '✗' END AS diagnostic_correct,
-  CASE WHEN is_correct THEN '✓' ELSE '✗' END AS correct,
-  form IN (0, 1, 2, 4, 8, 9, 10) AS parse_ok,
-  CASE WHEN form = 8 THEN 'not the expected JSON object' WHEN form IN (3, 5, 6, 7) THEN 'not valid JSON' END
-    AS parse_error
-FROM sampled s JOIN asked USING (case_id)""",
+{RESULTS}""",
+    "s2_code_entries": f"""WITH {CODES}
+SELECT code, name, question AS question_en, kind AS data_type, CASE WHEN NOT plain THEN p_brand || '-1' END AS first_value,
+  CASE WHEN plain THEN p_name END AS entry_text
+FROM codes""",
+    "s5_split_corpus_docs": f"""WITH {CORPUS}
+SELECT path, category, doc_id || '.txt' AS filename, text FROM corpus
+WHERE doc_id % 29 <> 28 AND {words('text')} > 0""",
+    "s5_split_corpus_failures": f"""WITH {CORPUS}
+SELECT path, 'text is not valid UTF-8' AS error FROM corpus WHERE doc_id % 29 = 28""",
     "r8_running_accuracy": f"""WITH {PARSED},
 running AS (
   SELECT case_id + 1 AS cases, count(*) FILTER (is_correct) OVER (ORDER BY case_id) AS correct FROM marked)

@@ -11,6 +11,7 @@ from casework.operators import (
     decision, decoding, evaluation, profiling, records, responses as resp, sampling,
 )
 from casework.plans import adapters, scoring_run
+from casework.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +45,27 @@ def s1_load_cases(spark, sf_dir):
     return _long(adapters.cases(spark, sf_dir), "AGE")
 
 
+@query
+def s2_code_entries(spark, sf_dir):
+    entries = readers.code_entries(adapters.code_entry_texts(spark, sf_dir))
+    said = F.try_element_at(F.try_element_at("value_meaning", F.lit("V_1")), F.lit("en"))
+    return entries.select(
+        "code", "name", "question_en", "data_type", said.alias("first_value"), "entry_text"
+    )
+
+
+@query
+def s5_split_corpus_docs(spark, sf_dir):
+    docs, _ = readers.split_corpus(adapters.corpus_files(spark, sf_dir))
+    return docs
+
+
+@query
+def s5_split_corpus_failures(spark, sf_dir):
+    _, failures = readers.split_corpus(adapters.corpus_files(spark, sf_dir))
+    return failures
+
+
 # Sampling
 
 
@@ -339,17 +361,33 @@ def r6_is_referral(spark, sf_dir):
     return parsed.select("case_id", resp.is_referral(F.col("predicted_disease")).alias("is_referral"))
 
 
+def _results(asked, spark, sf_dir):
+    """The results table without the cells that repeat its input."""
+    results = scoring_run.score_run(asked, adapters.responses(spark, sf_dir))
+    return _long(results, "age", "num_evidences", "num_diagnosis_options").drop(
+        "raw_evidences", "raw_differential_diagnosis", "raw_model_response", "parsed_model_json"
+    )
+
+
 @query
 def r7_assemble_results(spark, sf_dir):
-    """Entry A: all cases asked and scored; the 30-column table without the cells that repeat its input."""
+    """Every case asked and scored."""
+    prepared = records.prepare_cases(
+        adapters.literal_cases(spark, sf_dir), adapters.code_map(spark, sf_dir)
+    )
+    text = scoring_run.severe_text(adapters.severe(spark, sf_dir))
+    asked = prepared.withColumn("severe_disease_list", text).withColumn("case_num", F.col("case_id") + 1)
+    return _results(asked, spark, sf_dir)
+
+
+@query
+def a1_sampled_run(spark, sf_dir):
+    """Entry A: sample 1,000 cases, ask them with the rules, score them."""
     asked = scoring_run.prompts(
         adapters.literal_cases(spark, sf_dir), adapters.code_map(spark, sf_dir), n=1000, rules=True,
         severe=adapters.severe(spark, sf_dir),
     )
-    results = scoring_run.score_run(asked, adapters.responses(spark, sf_dir))
-    return _long(results, "age", "num_evidences", "num_diagnosis_options").drop(
-        "raw_evidences", "raw_differential_diagnosis", "raw_model_response", "parsed_model_json"
-    )
+    return _results(asked, spark, sf_dir)
 
 
 @query

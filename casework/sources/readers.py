@@ -26,15 +26,11 @@ def load_cases(
     return reduce(DataFrame.unionByName, parts)
 
 
-def load_code_map(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of code -> entry as one row per code.
+def code_entries(entries: DataFrame) -> DataFrame:
+    """S2 on rows of (code, entry_text): the fields of each entry.
 
     Entries that are no objects keep their text in ``entry_text`` only.
     """
-    whole = spark.read.text(path, wholetext=True)
-    entries = whole.select(
-        F.explode(F.from_json("value", "map<string,string>", STRICT)).alias("code", "entry_text")
-    )
     is_object = F.col("entry_text").startswith("{")
     entry = F.when(is_object, F.from_json("entry_text", schema.CODE_ENTRY, STRICT))
     return entries.withColumn("entry", entry).select(
@@ -47,6 +43,13 @@ def load_code_map(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def load_code_map(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON object of code -> entry as one row per code."""
+    whole = spark.read.text(path, wholetext=True)
+    entries = F.explode(F.from_json("value", "map<string,string>", STRICT))
+    return code_entries(whole.select(entries.alias("code", "entry_text")))
+
+
 def load_qa(spark: SparkSession, paths: dict[str, str], form: str = "parquet") -> DataFrame:
     """S3: multiple-choice questions with an option map, per split."""
     return load_cases(spark, paths, form, schema.QA)

@@ -11,6 +11,11 @@ from casework.session import build_session  # noqa: E402
 SMALL = "/root/testdata/sf0.001"
 
 
+def interpret(session, on):
+    session.conf.set("spark.sql.codegen.wholeStage", str(not on).lower())
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN" if on else "FALLBACK")
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(
@@ -20,6 +25,8 @@ def spark(tmp_path_factory):
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoint")),
     )
     session.sparkContext.setLogLevel("ERROR")
+    # Compiling code for a handful of rows takes longer than reading them; test_oracles turns it on again.
+    interpret(session, True)
     yield session
     session.stop()
 

@@ -50,7 +50,10 @@ def test_sample_size_and_seed(cases):
 
 def test_large_sample_is_numbered_alike(cases, monkeypatch):
     small = rows(sampling.sample_n(cases, 200, 42, "case_id"))
+    takes = {"train": 50, "test": 10}
+    taken = rows(sampling.shuffle_take(cases, takes, 42, "case_id"))
     monkeypatch.setattr(sampling, "LARGE_SAMPLE", 10)
+    assert rows(sampling.shuffle_take(cases, takes, 42, "case_id")) == taken
     assert rows(sampling.sample_n(cases, 200, 42, "case_id")) == small
 
 

@@ -4,12 +4,14 @@ import pytest
 
 import __spark_entry__ as driver
 from compare import connect, differences
-from conftest import SMALL
+from conftest import SMALL, interpret
 
 
 @pytest.fixture(scope="module")
-def con():
-    return connect(SMALL)
+def con(spark):
+    interpret(spark, False)
+    yield connect(SMALL)
+    interpret(spark, True)
 
 
 def test_every_query_has_sql():

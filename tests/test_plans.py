@@ -10,7 +10,7 @@ from conftest import SMALL
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas")
 # Windows over rows whose number does not grow with the data: range sizes, spans of blocks, and the few
 # rows that a hash cut leaves of a sample.
-SINGLE_TASK_WINDOWS = {"p1_sample_n", "r7_assemble_results", "r8_running_accuracy"}
+SINGLE_TASK_WINDOWS = {"p1_sample_n", "a1_sampled_run", "r8_running_accuracy"}
 
 
 def plan(spark, name):
