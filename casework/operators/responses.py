@@ -143,17 +143,26 @@ def score_match(
 
 def extract_regex(df: DataFrame, column: str = "raw_model_response") -> DataFrame:
     """``predicted_rank1_disease`` and ``predicted_rank1_confidence``, both or neither."""
-    raw = F.col(column)
-    number = F.when(raw.rlike(CONFIDENCE), F.regexp_extract(raw, CONFIDENCE, 1).try_cast("double"))
-    disease = F.when(raw.rlike(DISEASE), F.regexp_extract(raw, DISEASE, 1))
-    found = df.withColumns({"_number": number, "_disease": disease})
+    # The long text is searched once per pattern; the groups are read from what was found.
+    hits = df.withColumns(
+        {
+            "_sure": F.regexp_substr(F.col(column), F.lit(CONFIDENCE)),
+            "_named": F.regexp_substr(F.col(column), F.lit(DISEASE)),
+        }
+    )
+    found = hits.withColumns(
+        {
+            "_number": F.regexp_extract("_sure", CONFIDENCE, 1).try_cast("double"),
+            "_disease": F.when(F.col("_named").isNotNull(), F.regexp_extract("_named", DISEASE, 1)),
+        }
+    )
     both = F.col("_number").isNotNull() & F.col("_disease").isNotNull()
     return found.withColumns(
         {
             "predicted_rank1_disease": F.when(both, F.col("_disease")),
             "predicted_rank1_confidence": F.when(both, F.col("_number")),
         }
-    ).drop("_number", "_disease")
+    ).drop("_sure", "_named", "_number", "_disease")
 
 
 def is_referral(c: Column) -> Column:

@@ -44,7 +44,10 @@ def code_entries(entries: DataFrame) -> DataFrame:
 
 
 def load_code_map(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of code -> entry as one row per code."""
+    """A JSON object of code -> entry as one row per code.
+
+    One JSON object is read by one task; a dictionary too large for that comes as rows, for ``code_entries``.
+    """
     whole = spark.read.text(path, wholetext=True)
     entries = F.explode(F.from_json("value", "map<string,string>", STRICT))
     return code_entries(whole.select(entries.alias("code", "entry_text")))
@@ -56,7 +59,10 @@ def load_qa(spark: SparkSession, paths: dict[str, str], form: str = "parquet") -
 
 
 def load_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON catalog ``{"categories": {name: [path, ...]}}`` as (category, pos, path)."""
+    """A JSON catalog ``{"categories": {name: [path, ...]}}`` as (category, pos, path).
+
+    One JSON object is read by one task; it holds names only, no texts.
+    """
     whole = spark.read.text(path, wholetext=True)
     catalog = F.from_json("value", "categories map<string,array<string>>")
     return whole.select(F.explode(catalog["categories"]).alias("category", "paths")).select(
