@@ -45,24 +45,37 @@ def parse_response(df: DataFrame, column: str = "raw_model_response") -> DataFra
     opened = df.withColumn("_body", strip(strip_fence(raw)))
     opened = opened.withColumn("_json", strict_json(F.col("_body")))
     fields = object_or_null(
-        F.col("_json"), "struct<top_3_predictions:string,final_prediction:string>"
+        F.col("_json"),
+        "struct<top_3_predictions:array<map<string,string>>,final_prediction:map<string,string>>",
     )
     opened = opened.withColumn("_fields", fields)
-    final_text, top_text = F.col("_fields.final_prediction"), F.col("_fields.top_3_predictions")
+    final, top = F.col("_fields.final_prediction"), F.col("_fields.top_3_predictions")
+    # Looked at only where a field is missing or is not of the expected form.
     opened = opened.withColumns(
         {
-            "_final": object_or_null(final_text, "map<string,string>"),
-            "_top": F.when(
-                top_text.startswith("["), F.from_json(top_text, "array<map<string,string>>", STRICT)
+            "_final_text": F.when(final.isNull(), F.get_json_object("_json", "$.final_prediction")),
+            "_top_text": F.when(top.isNull(), F.get_json_object("_json", "$.top_3_predictions")),
+        }
+    )
+    final_text, top_text = F.col("_final_text"), F.col("_top_text")
+    opened = opened.withColumns(
+        {
+            "_final": F.coalesce(final, object_or_null(final_text, "map<string,string>")),
+            "_top": F.coalesce(
+                top,
+                F.when(
+                    top_text.startswith("["), F.from_json(top_text, "array<map<string,string>>", STRICT)
+                ),
             ),
         }
     )
     final, first = F.col("_final"), F.get("_top", F.lit(0))
     said_final = F.coalesce(~final_text.isin(list(FALSY)), F.lit(False))
+    said_top = F.coalesce(F.size(top) > 0, ~top_text.isin(list(FALSY)), F.lit(False))
     opened = opened.withColumns(
         {
             "_has_final": F.coalesce(F.size(final) > 0, F.lit(False)),
-            "_has_top": F.coalesce(~top_text.isin(list(FALSY)), F.lit(False)),
+            "_has_top": said_top,
             "_first": first,
         }
     )
@@ -96,7 +109,8 @@ def parse_response(df: DataFrame, column: str = "raw_model_response") -> DataFra
             "parsed_model_json": F.coalesce(F.col("_json"), F.lit("{}")),
         }
     ).drop(
-        "_body", "_json", "_fields", "_final", "_top", "_has_final", "_has_top", "_first", "_is_object", "_source"
+        "_body", "_json", "_fields", "_final_text", "_top_text", "_final", "_top", "_has_final", "_has_top",
+        "_first", "_is_object", "_source",
     )
 
 
