@@ -1,6 +1,6 @@
-"""Session settings and the shared checkpoint folder."""
+"""Session settings, the shared folder and tables written to it."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +12,7 @@ def build_session(app: str = "casework", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -20,19 +21,33 @@ def build_session(app: str = "casework", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written rows.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a session that runs on
-    one machine and names none gets a folder of its own.
+    It is the one the cluster names in ``spark.checkpoint.dir``; where none is named, a folder of the
+    warehouse, which is shared as well. It is never a machine's own temporary folder.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_casework"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the written rows."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            named = tempfile.mkdtemp(prefix="casework-checkpoint-")
-        context.setCheckpointDir(named)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to the shared folder and read again, and its path."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/casework-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``written`` that no later step reads."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
