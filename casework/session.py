@@ -1,5 +1,6 @@
 """Session settings, the shared folder and tables written to it."""
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,3 +52,12 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of ``written`` that no later step reads."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Let Python workers find this package where it lies on the driver's path only.
+
+    On a cluster it is installed, or sent with ``--py-files``; then this changes nothing.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
