@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from casework.llm import language
 from casework.llm import toxicity as toxic
+from casework.llm.embeddings import near_vectors
+from casework.llm.mixing import mix
 from casework.llm.packing import pack
 from casework.llm.sampling import remainder
 from casework.llm.simhash import near_duplicates
 from casework.llm.token_counts import token_counts
+from casework.llm.topk import top_k
+from casework.llm.warc import round_trip
 from casework.session import let_workers_import
 
 
@@ -49,12 +53,71 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3)
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_place", "in_mix")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("page", "page_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_simhash": op5_simhash,
+    "op6_top_k": op6_top_k,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op9_source_mixing": op9_source_mixing,
+    "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_top_k": """
+        WITH q AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM q AS a JOIN q AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+        ) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+    "op7_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, x -> x <> 0)) > 0
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+        ), reached(a, b) AS (
+            SELECT a, b FROM l UNION SELECT r.a, l.b FROM reached AS r JOIN l ON r.b = l.a
+        ), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a
+        ), c AS (SELECT a, min(b) AS low FROM reached GROUP BY a)
+        SELECT e.vec_id, coalesce(n_links, 0) AS n_links, least(e.vec_id, coalesce(low, e.vec_id)) AS component_id,
+            e.vec_id <= coalesce(low, e.vec_id) AS kept
+        FROM embeddings AS e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
+    """,
+    "op10_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f
+    """,
+}
