@@ -10,6 +10,7 @@ from casework.llm import toxicity as toxic
 from casework.llm.embeddings import near_vectors
 from casework.llm.mixing import mix
 from casework.llm.packing import pack
+from casework.llm.passages import digests, repeated_spans
 from casework.llm.sampling import remainder
 from casework.llm.simhash import near_duplicates
 from casework.llm.token_counts import token_counts
@@ -61,6 +62,10 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_place", "in_mix")
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_top_k": op6_top_k,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_warc": op10_warc,
 }
