@@ -38,9 +38,14 @@ def gray_rank(code: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """The index of a set of codes; ``order`` sorts them by Gray rank."""
+    """The index of a set of codes; ``order`` sorts them by Gray rank.
 
-    def __init__(self, codes: np.ndarray):
+    With ``wide``, codes are parts of wider ones, rows of words, and only pairs within ``wide_limit``
+    differing bits of those are joined.
+    """
+
+    def __init__(self, codes: np.ndarray, wide: np.ndarray | None = None, wide_limit: int = 0):
+        self.wide, self.wide_limit = wide, wide_limit
         self.order = np.argsort(gray_rank(codes), kind="stable")
         self.codes = codes[self.order]
         self.levels = []  # from the lowest up: starts, mask, pattern
@@ -68,7 +73,15 @@ class GrayIndex:
             out.append(np.where(low == high, low, -1))
         return out
 
-    def search(self, queries: np.ndarray, limit: int, forest: Forest, rows: np.ndarray, members: np.ndarray):
+    def search(
+        self,
+        queries: np.ndarray,
+        limit: int,
+        forest: Forest,
+        rows: np.ndarray,
+        members: np.ndarray,
+        wide: np.ndarray | None = None,
+    ):
         """Join in ``forest`` every query row with every member within ``limit`` differing bits.
 
         ``rows`` and ``members`` are the forest rows of queries and codes. A group that is already
@@ -78,13 +91,14 @@ class GrayIndex:
         done = 0
         while done < len(queries):
             part = slice(done, done + width)
-            if self._search(queries[part], limit, forest, rows[part], members) or width == 1:
+            some = None if wide is None else wide[part]
+            if self._search(queries[part], limit, forest, rows[part], members, some) or width == 1:
                 done += width
                 width = min(4096, width * 2)
             else:
                 width = max(1, width // 8)
 
-    def _search(self, queries, limit, forest, rows, members) -> bool:
+    def _search(self, queries, limit, forest, rows, members, wide) -> bool:
         """False, and nothing joined, if more than ``HELD`` partial searches came up at once."""
         known = forest.label[members]
         same = self.uniform(known)
@@ -112,7 +126,11 @@ class GrayIndex:
             there = m < len(self.codes)
             q, m = q[there], m[there]
             near = np.bitwise_count(queries[q] ^ self.codes[m]) <= limit
-            forest.link(rows[q[near]], members[self.order[m[near]]])
+            q, m = q[near], self.order[m[near]]
+            if wide is not None:
+                near = np.bitwise_count(wide[q] ^ self.wide[m]).sum(1, dtype=np.int64) <= self.wide_limit
+                q, m = q[near], m[near]
+            forest.link(rows[q], members[m])
         return True
 
 

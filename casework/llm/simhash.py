@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,36 +11,46 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from casework.llm.components import components
-from casework.llm.gray_index import hamming_links
+from casework.llm.forest import Forest
+from casework.llm.gray_index import GrayIndex, gray_rank, hamming_links
 from casework.session import written
 
 SEED = 42
 #: Shingles whose bits are added up at once.
 BLOCK = 1 << 16
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Of the wide fingerprint: lanes, documents that a task's node should hold, bits of a node's prefix, and
+#: share of the pairs at the asked similarity that the tables find.
+LANES, NODE, PREFIX, FOUND = 4, 512, (8, 24), 0.98
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """The fingerprint of one text: a bit is 1 if it is set in over half of its shingles' hashes.
+def fingerprint(text: str | None, words: int, lanes: int = 1) -> list[int]:
+    """The fingerprint of one text, in lanes of 64 bits: a bit is 1 if over half of its shingles' hashes set it.
 
     A-Z are lower-cased; words are parted by blanks and control characters 9 to 13; a text of fewer words
-    than a shingle has is one shingle; a text without words (or null) has fingerprint 0.
+    than a shingle has is one shingle; a text without words (or null) has fingerprint 0. The first lane takes
+    the hashes themselves, each further one their next mixing.
     """
     found = (text or "").encode().lower().split()
     if not found:
-        return 0
+        return [0] * lanes
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     first, last = starts[: len(found) - words + 1], ends[words - 1 :]
     if len(found) < words:
         first, last = starts[:1], ends[-1:]
-    total = np.zeros(64, np.int64)
+    total = np.zeros((lanes, 64), np.int64)
     for at in range(0, len(first), BLOCK):
         spans = zip(first[at : at + BLOCK].tolist(), last[at : at + BLOCK].tolist(), strict=True)
         hashes = np.array([xxh64_intdigest(joined[i:j], SEED) for i, j in spans], "<u8")
-        ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += ones.sum(0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(first), bitorder="little").view("<u8")[0])
+        for lane in range(lanes):
+            if lane:
+                hashes = (hashes ^ (hashes >> np.uint64(29))) * MIX + np.uint64(lane)
+                hashes ^= hashes >> np.uint64(32)
+            ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total[lane] += ones.sum(0, dtype=np.int64)
+    return np.packbits(total * 2 > len(first), axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
 def fingerprints(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -46,7 +58,7 @@ def fingerprints(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str
 
     def run(batches):
         for batch in batches:
-            codes = [fingerprint(x, words) for x in batch.column(1).to_pylist()]
+            codes = [fingerprint(x, words)[0] for x in batch.column(1).to_pylist()]
             yield pa.record_batch(
                 [batch.column(0), pa.array(np.array(codes, np.uint64).view(np.int64))], names=[key, "code"]
             )
@@ -76,3 +88,73 @@ def near_duplicates(
     return prints.join(named, "code", "left").select(
         key, F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def _tables(similarity: float, count: int) -> tuple[int, int, int, int]:
+    """Prefix bits, tables, and the limits of a word and of all bits, for a similarity of shingle sets."""
+    cosine = 2 * similarity / (1 + similarity)
+    differ = math.acos(min(1.0, cosine)) / math.pi  # the share of bits expected to differ
+    bits = min(PREFIX[1], max(PREFIX[0], math.ceil(math.log2(max(1, count) / NODE))))
+    tables = math.ceil(math.log(1 - FOUND) / math.log(1 - (1 - differ) ** bits)) if differ else 1
+
+    def limit(n, deviations):
+        return math.floor(n * differ + deviations * math.sqrt(n * differ * (1 - differ)))
+
+    return bits, max(1, tables), limit(64, 3), limit(64 * LANES, 1.6)
+
+
+def similar_documents(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``key, component_id`` of documents, linked where their shingle sets are about ``similarity`` alike.
+
+    Fingerprints have LANES * 64 bits, enough to tell the similarity: documents link if no more bits differ
+    than at ``similarity``, give or take 1.6 deviations. Each of several tables takes 64 other bits of them as
+    its word, sorted in Gray order under its first bits, and searches the hierarchical index with a limit
+    that three deviations would not pass. Tables are as many as find a share FOUND of the pairs at the
+    limit itself; pairs more alike are found more surely. Equal fingerprints are one node; nulls, empty
+    texts and repeated rows are as in ``near_duplicates``.
+    """
+    lanes = [f"f{i}" for i in range(LANES)]
+
+    def prints_of(batches):
+        for batch in batches:
+            codes = [fingerprint(x, words, LANES) for x in batch.column(1).to_pylist()]
+            codes = np.array(codes, np.uint64).reshape(-1, LANES).view(np.int64)
+            yield pa.record_batch([batch.column(0), *map(pa.array, codes.T.copy())], names=[key, *lanes])
+
+    prints = docs.select(key, text).mapInArrow(prints_of, f"`{key}` long, {', '.join(f'{c} long' for c in lanes)}")
+    prints, _ = written(prints, "prints")
+    nodes = prints.where(F.col(key).isNotNull()).groupBy(*lanes).agg(F.min(key).alias("node"))
+    nodes, _ = written(nodes, "codes")
+    bits, tables, word_limit, limit = _tables(similarity, nodes.count())
+
+    def deal(batches):
+        rng = np.random.default_rng(SEED)
+        chosen = [rng.permutation(64 * LANES)[:64] for _ in range(tables)]
+        for batch in batches:
+            wide = np.column_stack([batch.column(i).to_numpy().view(np.uint64) for i in range(LANES)])
+            set_ = np.unpackbits(wide.view(np.uint8).reshape(len(wide), -1), axis=1, bitorder="little")
+            for table, places in enumerate(chosen):
+                word = np.packbits(np.ascontiguousarray(set_[:, places]), axis=1).view(">u8").ravel().astype(np.uint64)
+                at = (gray_rank(word) >> np.uint64(64 - bits)).astype(np.int64) | table << 32
+                columns = [pa.array(at), pa.array(word.view(np.int64)), *batch.columns]
+                yield pa.record_batch(columns, names=["at", "word", *lanes, "node"])
+
+    def search(table: pa.Table) -> pa.Table:
+        word = table.column("word").to_numpy().view(np.uint64)
+        wide = np.column_stack([table.column(c).to_numpy().view(np.uint64) for c in lanes])
+        node = table.column("node").to_numpy()
+        forest, rows = Forest(len(word)), np.arange(len(word))
+        if len(word) > 1:
+            index = GrayIndex(word, wide, limit)
+            index.search(word[index.order], word_limit, forest, rows[index.order], rows, wide[index.order])
+        a, b = forest.edges()
+        return pa.table({"a": node[a], "b": node[b]})
+
+    dealt = nodes.select(*lanes, "node").mapInArrow(
+        deal, f"at long, word long, {', '.join(f'{c} long' for c in lanes)}, node long"
+    )
+    found = components(dealt.groupBy("at").applyInArrow(search, "a long, b long"))
+    named = nodes.join(found, "node", "left").select(*lanes, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, lanes, "left").select(key, "component_id")
