@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from casework.llm.sampling import bounded
 
 #: Rows that the frequencies are learned from at most, about; words and n-grams kept, the commonest ones.
-FIT_ROWS, WORDS, GRAMS = 20_000, 100_000, 100_000
+FIT_ROWS, WORDS, GRAMS = 5_000, 100_000, 100_000
 LONGEST = 5
 #: Counts held before they are passed on; unseen words remembered; letters of a longer word are parted.
 HELD, REMEMBERED, WORD_LETTERS = 200_000, 200_000, 64
