@@ -202,6 +202,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, key: str = "doc_id", text
     rows = docs.select(bytes_.alias("bytes"), *ids)
     segs = rows.mapInArrow(_segment_rows(length), "anchor long, segment long, text_id long, place long")
     often = segs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Written, so that the join is one of two shuffles, of which a hot anchor's part can be split.
+    often, _ = written(often, "anchors")
     shared, _ = written(segs.join(often, "anchor"), "segments")
 
     distinct = shared.groupBy("anchor", "segment").agg(
