@@ -55,7 +55,8 @@ def field_profile(df: DataFrame, order_key: str) -> DataFrame:
                 keys.alias("keys"),
             )
         )
-    return first_rows(df, 1, [order_key]).select(F.explode(F.array(*cells)).alias("f")).select("f.*")
+    first = df.agg(F.min_by(F.struct("*"), order_key).alias("_row")).where("_row is not null").select("_row.*")
+    return first.select(F.explode(F.array(*cells)).alias("f")).select("f.*")
 
 
 def frequencies(df: DataFrame, column: str, order_key: str) -> DataFrame:
@@ -126,7 +127,9 @@ def evidence_counts(
         rows = first_rows(rows, n, [order_key])
     # The outer form keeps Spark from testing the list, and so parsing it, once more before the explode.
     items = rows.select(order_key, F.posexplode_outer("_list").alias("_pos", "_item"))
-    return value_counts(items.where(F.col("_pos").isNotNull()), "_item", order_key, k)
+    # First appearance is the case, then the place in its list.
+    items = items.where(F.col("_pos").isNotNull()).withColumn("_at", F.struct(order_key, "_pos"))
+    return value_counts(items, "_item", "_at", k)
 
 
 def numeric_stats(
@@ -404,15 +407,11 @@ def corpus_quality(
 def histogram(df: DataFrame, column: str, bins: int, by: list[str] = ()) -> DataFrame:
     """Q17: equal-width bins over the range of each group, the last one closed; empty bins show 0.
 
-    Equal values are counted first; what is written once and binned has one row per distinct value.
+    One pass finds the ranges, the next counts per bin before anything moves, so that what is shuffled has one
+    row for each bin and task.
     """
     by = list(by)
-    values = checkpoint(
-        df.select(*by, F.col(column).cast("double").alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .groupBy(*by, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    values = df.select(*by, F.col(column).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     edges = values.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     flat = F.col("_lo") == F.col("_hi")
     edges = edges.select(
@@ -424,12 +423,12 @@ def histogram(df: DataFrame, column: str, bins: int, by: list[str] = ()) -> Data
         ranged = join_groups(values, edges, by)
     else:
         ends = edges.select(F.struct("_lo", "_hi").alias("_e")).scalar()
-        ranged = values.withColumn("_e", ends).select("_v", "_n", "_e.*")
+        ranged = values.withColumn("_e", ends).select("_v", "_e.*")
     width = F.col("_hi") - F.col("_lo")
     place = F.least(F.floor((F.col("_v") - F.col("_lo")) * bins / width) + 1, F.lit(bins))
     counts = (
         ranged.groupBy(*by, place.cast("int").alias("_bin"))
-        .agg(F.sum("_n").alias("_n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_lo").alias("_lo"), F.min("_hi").alias("_hi"))
         .groupBy(*by)
         .agg(
             F.map_from_entries(F.collect_list(F.struct("_bin", "_n"))).alias("_counts"),

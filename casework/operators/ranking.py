@@ -11,8 +11,6 @@ from casework.operators.dimension import join_groups
 from casework.session import checkpoint
 
 SALTS = 32
-# Spark keeps only the best rows of each input partition for limits up to this size.
-PRUNED_LIMIT = 1000
 
 
 def _offsets(sizes: DataFrame, by: list[str]) -> DataFrame:
@@ -86,11 +84,8 @@ def quantile(value: str, q: float) -> Column:
 
 
 def first_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """The first ``n`` rows by ``order``; pruned per salt before the rows meet in one task."""
-    if n > PRUNED_LIMIT:
-        ranked = ranked_rows(df, order)
-        return ranked.where(F.col("rank") <= n).select(*df.columns)
-    return _pruned(df, n, order, []).orderBy(*order).limit(n)
+    """The first ``n`` rows by ``order``; each task keeps ``n`` rows before they meet."""
+    return df.orderBy(*order).limit(n)
 
 
 def _pruned(df: DataFrame, n: int, order: list[str], by: list[str]) -> DataFrame:
@@ -105,8 +100,6 @@ def _pruned(df: DataFrame, n: int, order: list[str], by: list[str]) -> DataFrame
 
 def first_rows_per_group(df: DataFrame, n: int, order: list[str], by: list[str]) -> DataFrame:
     """The first ``n`` rows of each group, with their ``rank``; a hot group is pruned per salt first."""
-    if n > PRUNED_LIMIT:
-        return ranked_rows(df, order, by).where(F.col("rank") <= n).select(*df.columns, "rank")
     inside = Window.partitionBy(*by).orderBy(*order)
     return (
         _pruned(df, n, order, by)

@@ -5,7 +5,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from casework import fixed_values as fixed
 from casework.functions.json_text import STRICT, object_or_null, strict_json
 from casework.functions.text import WS, first_line, strip  # noqa: F401  (R9 is first_line)
-from casework.session import checkpoint
 
 FENCE = "```"
 JSON_FENCE = "```json"
@@ -30,18 +29,21 @@ def strip_fence(c: Column) -> Column:
 
 
 def _field(entry: Column, name: str) -> Column:
-    return F.try_element_at(entry, F.lit(name))
+    """The value of a key, its last one where the key repeats."""
+    named = F.filter(F.map_entries(entry), lambda e: e["key"] == name)
+    return F.try_element_at(named, F.lit(-1))["value"]
 
 
-def parse_response(df: DataFrame, column: str = "raw_model_response") -> DataFrame:
+def parse_response(df: DataFrame, column: str = "raw_model_response", head_chars: int = 50) -> DataFrame:
     """R2: adds ``predicted_disease``, ``model_confidence``, ``final_reason``, ``top_3`` (list of maps),
     ``parse_ok``, ``parse_error`` and ``parsed_model_json``.
 
     The final prediction comes first, then the first of the top three, then the head of the text. Text
-    that is no JSON object falls back to its first line.
+    that is no JSON object falls back to its first line. White space around the response does not count; of
+    keys that repeat in an object the last counts. ``head_chars`` is how much text a prediction may take.
     """
-    raw = F.col(column)
-    head = F.substring(raw, 1, 50)
+    raw = strip(F.col(column))
+    head = F.substring(raw, 1, head_chars)
     opened = df.withColumn("_body", strip(strip_fence(raw)))
     opened = opened.withColumn("_json", strict_json(F.col("_body")))
     fields = object_or_null(
@@ -89,7 +91,7 @@ def parse_response(df: DataFrame, column: str = "raw_model_response") -> DataFra
     opened = opened.withColumn("_source", F.when(is_object, source))
     chosen = F.col("_source")
     disease = (
-        F.when(~is_object, F.substring(F.substring_index(raw, "\n", 1), 1, 50))
+        F.when(~is_object, F.substring(F.substring_index(raw, "\n", 1), 1, head_chars))
         .when(F.map_contains_key(chosen, "disease"), _field(chosen, "disease"))
         .otherwise(head)
     )
@@ -224,16 +226,17 @@ def running_accuracy(
     df: DataFrame, order: str = "case_num", right: str = "is_correct", every: int = 50,
     blocks_per_span: int = 10_000,
 ) -> DataFrame:
-    """(cases, correct, accuracy) after each full block of ``every`` cases; ``order`` counts from 1.
+    """(cases, correct, accuracy) after each block of ``every`` case numbers; ``order`` counts from 1.
 
-    Blocks are summed and written once, then spans of blocks; only the span totals, one row per
-    ``every * blocks_per_span`` cases, are added up in one task.
+    A block holds the cases whose numbers are in it, however many are missing; the last may be unfinished.
+    Blocks are summed, then spans of blocks; only the span totals, one row per ``every * blocks_per_span``
+    case numbers, are added up in one task.
     """
     block = F.floor((F.col(order) - 1) / every)
-    counted = df.groupBy(block.alias("block")).agg(
+    blocks = df.groupBy(block.alias("block")).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col(right)).alias("_right")
     )
-    blocks = checkpoint(counted.withColumn("_span", F.floor(F.col("block") / blocks_per_span)))
+    blocks = blocks.withColumn("_span", F.floor(F.col("block") / blocks_per_span))
     before = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     spans = blocks.groupBy("_span").agg(F.sum("_n").alias("_sn"), F.sum("_right").alias("_sr"))
     spans = spans.select(
@@ -242,10 +245,7 @@ def running_accuracy(
         F.coalesce(F.sum("_sr").over(before), F.lit(0)).alias("_right_before"),
     )
     upto = Window.partitionBy("_span").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    running = blocks.join(spans, "_span").select(
+    return blocks.join(spans, "_span").select(
         (F.col("_n_before") + F.sum("_n").over(upto)).alias("cases"),
         (F.col("_right_before") + F.sum("_right").over(upto)).alias("correct"),
-    )
-    return running.where(F.col("cases") % every == 0).withColumn(
-        "accuracy", F.col("correct") / F.col("cases") * 100
-    )
+    ).withColumn("accuracy", F.col("correct") / F.col("cases") * 100)

@@ -4,10 +4,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casework.operators.ranking import first_rows, first_rows_per_group, ranked_rows
 
-# Hex digits of the hash that the first cut of a large sample looks at.
+# Hex digits of the hash by which rows are counted, and numbered apart from each other.
 CUT_DIGITS = 4
-# Above this size a sample is numbered in ranges, not in one task.
-LARGE_SAMPLE = 1_000_000
 
 
 def sample_key(seed: int, key: str) -> Column:
@@ -15,37 +13,30 @@ def sample_key(seed: int, key: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
 
 
-def _smallest_hashes(df: DataFrame, wanted: Column, seed: int, key: str, by: list[str]) -> DataFrame:
-    """Rows that can be among the ``wanted`` smallest hashes of their group, with ``_hash``.
+def _numbered(df: DataFrame, wanted: Column, seed: int, key: str, by: list[str], number: str) -> DataFrame:
+    """The ``wanted`` rows of each group with the smallest hashes, numbered from 1.
 
-    Counts per hash prefix tell which prefix completes the sample; only rows up to it go on. Hashes are
-    evenly spread, so about one row in 16**CUT_DIGITS more than wanted is left.
+    Counts per hash prefix tell how many rows come before each prefix, so the rows of a prefix are numbered
+    on their own, whatever the size of the sample; rows of later prefixes go no further than the scan.
     """
     hashed = df.withColumn("_hash", sample_key(seed, key)).withColumn(
         "_prefix", F.substring("_hash", 1, CUT_DIGITS)
     )
     counts = hashed.groupBy(*by, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    # At most 16 ** CUT_DIGITS rows per wanted group.
     upto = Window.partitionBy(*by).orderBy("_prefix")
     filled = counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
-    cut = filled.where(F.col("_before") < wanted).groupBy(*by).agg(F.max("_prefix").alias("_cut"))
-    if by:
-        # One row per wanted split.
-        near = hashed.join(F.broadcast(cut), by).where(F.col("_prefix") <= F.col("_cut"))
-        return near.drop("_prefix", "_cut")
-    last = cut.scalar()
-    return hashed.where(F.col("_prefix") <= last).drop("_prefix")
+    started = filled.where(F.col("_before") < wanted).drop("_n")
+    near = hashed.join(F.broadcast(started), [*by, "_prefix"])
+    inside = Window.partitionBy(*by, "_prefix").orderBy("_hash", key)
+    numbered = near.withColumn(number, F.col("_before") + F.row_number().over(inside))
+    return numbered.where(F.col(number) <= wanted).select(*df.columns, number)
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """``min(n, N)`` rows without replacement, the same for the same ``seed`` however the rows are
     partitioned. ``key`` is unique. Adds ``case_num`` 1..n."""
-    near = _smallest_hashes(df, F.lit(n), seed, key, [])
-    if n > LARGE_SAMPLE:
-        ranked = ranked_rows(near, ["_hash", key]).drop("group_size").withColumnRenamed("rank", "case_num")
-    else:
-        place = F.row_number().over(Window.orderBy("_hash", key))
-        ranked = near.withColumn("case_num", place.cast("long"))
-    return ranked.where(F.col("case_num") <= n).drop("_hash")
+    return _numbered(df, F.lit(n), seed, key, [], "case_num")
 
 
 def shuffle_take(
@@ -56,14 +47,7 @@ def shuffle_take(
     for name, n in takes.items():
         wanted = F.when(F.col(split) == name, F.lit(n)).otherwise(wanted)
     named = df.where(F.col(split).isin(list(takes)))
-    near = _smallest_hashes(named, wanted, seed, key, [split])
-    if max(takes.values()) > LARGE_SAMPLE:
-        ranked = ranked_rows(near, ["_hash", key], [split]).drop("group_size")
-        ranked = ranked.withColumnRenamed("rank", "position")
-    else:
-        inside = Window.partitionBy(split).orderBy("_hash", key)
-        ranked = near.withColumn("position", F.row_number().over(inside).cast("long"))
-    return ranked.where(F.col("position") <= wanted).drop("_hash")
+    return _numbered(named, wanted, seed, key, [split], "position")
 
 
 def take_first(df: DataFrame, n: int, order_key: str) -> DataFrame:

@@ -9,14 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from casework.functions.lists import differential_items, differential_names, option_text
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """One given table. A table in fewer pieces than there are cores is spread by its key, as parsing and
-    decoding are work for the CPU; on large tables this does nothing."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, spread_by)
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One given table, read as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _nation(j: int | str) -> str:
@@ -83,12 +78,13 @@ def response_column() -> Column:
     reason = f"""case when (o_orderkey * 3 + o_custkey + 7) % 25 % 5 = 0 then 'severity'
         when {first} < 40 then 'low_confidence' else 'none' end"""
     final = f"if(({reason}) = 'none', {_nation(1)}, 'Refer to specialist')"
+    twice = """if(o_orderkey % 3 = 0, '"disease": "said first", ', '')"""
     quote = "if(o_orderkey % 2 = 0, '', chr(34))"
-    whole = f"""concat({top}, ', "final_prediction": {{"disease": "', {final}, '", "reason": "', {reason},
+    whole = f"""concat({top}, ', "final_prediction": {{', {twice}, '"disease": "', {final}, '", "reason": "', {reason},
         '", "confidence": ', {quote}, {hundredths(first)}, {quote}, '}}}}')"""
     # The forms that hold the whole answer, as what comes before and after it.
     return F.expr(f"""case o_orderkey % 11
-        when 3 then concat('I think it is ', {_nation(1)}, '.\\nPlease see a doctor.')
+        when 3 then concat(if(o_orderkey % 2 = 0, '\\n', ''), 'I think it is ', {_nation(1)}, '.\\nPlease see a doctor.')
         when 4 then concat({top}, '}}')
         when 6 then null
         when 7 then concat('{{\\'final_prediction\\': {{\\'disease\\': \\'', {_nation(1)}, '\\'}}}}')
@@ -105,7 +101,7 @@ def response_column() -> Column:
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = case_columns()
-    return table(spark, sf_dir, "orders", "o_orderkey").select(
+    return table(spark, sf_dir, "orders").select(
         *[column.alias(name) for name, column in columns.items()]
     )
 
@@ -138,7 +134,7 @@ def gap_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(case_id, true_diagnosis, raw_model_response)."""
-    return table(spark, sf_dir, "orders", "o_orderkey").select(
+    return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("case_id"),
         case_columns()["PATHOLOGY"].alias("true_diagnosis"),
         response_column().alias("raw_model_response"),
@@ -210,7 +206,7 @@ def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     three = [part for n, letter in enumerate("ABC") for part in (F.lit(letter), option(n))]
     four = [*three, F.lit("D"), option(3)]
-    return table(spark, sf_dir, "documents", "doc_id").select(
+    return table(spark, sf_dir, "documents").select(
         key.alias("qa_id"),
         F.when(key % 9 == 0, F.lit("test")).otherwise(F.lit("train")).alias("split"),
         F.when(key % 31 != 30, F.col("text")).alias("question"),
@@ -223,7 +219,7 @@ def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
-    return table(spark, sf_dir, "documents", "doc_id").select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.concat(F.lit("data/"), F.col("source"), F.lit("/"), key.cast("string"), F.lit(".txt")).alias(
             "path"
@@ -265,7 +261,7 @@ def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run as the decision layer reads it: (case_id, case_num, true_diagnosis, diagnosis_options,
     raw_model_response)."""
     columns = case_columns()
-    rows = table(spark, sf_dir, "orders", "o_orderkey").select(
+    rows = table(spark, sf_dir, "orders").select(
         columns["case_id"].alias("case_id"),
         (columns["case_id"] + 1).alias("case_num"),
         columns["PATHOLOGY"].alias("true_diagnosis"),

@@ -130,7 +130,8 @@ top AS (
   FROM sure
 ),
 wholes AS (
-  SELECT *, head || ', "final_prediction": {{"disease": "' || final || '", "reason": "' || reason ||
+  SELECT *, head || ', "final_prediction": {{' || CASE WHEN k % 3 = 0 THEN '"disease": "said first", ' ELSE '' END ||
+    '"disease": "' || final || '", "reason": "' || reason ||
     '", "confidence": ' || CASE WHEN k % 2 = 0 THEN {hundredths('s1')} ELSE '"' || {hundredths('s1')} || '"' END
     || '}}}}' AS whole
   FROM top
@@ -140,7 +141,7 @@ responses AS (
     WHEN 0 THEN whole
     WHEN 1 THEN 'Here it is:' || chr(10) || '```json' || chr(10) || whole || chr(10) || '```' || chr(10) || 'Take care.'
     WHEN 2 THEN '```' || chr(10) || whole || chr(10) || '```'
-    WHEN 3 THEN 'I think it is ' || n1 || '.' || chr(10) || 'Please see a doctor.'
+    WHEN 3 THEN CASE WHEN k % 2 = 0 THEN chr(10) ELSE '' END || 'I think it is ' || n1 || '.' || chr(10) || 'Please see a doctor.'
     WHEN 4 THEN head || '}}'
     WHEN 5 THEN whole || ' That is all.'
     WHEN 7 THEN '{{''final_prediction'': {{''disease'': ''' || n1 || '''}}}}'
@@ -291,6 +292,15 @@ RESULTS = f"""SELECT case_num, case_id AS original_test_index, s.age, sex_text A
     AS parse_error
 FROM sampled s JOIN asked USING (case_id)"""
 
+# Sums over blocks of 50 case numbers; the last block may be unfinished.
+RUNNING = """
+blocks AS (
+  SELECT case_id // 50 AS block, count(*) AS n, count(*) FILTER (is_correct) AS r FROM marked WHERE {} GROUP BY 1),
+running AS (
+  SELECT cast(sum(n) OVER (ORDER BY block) AS bigint) AS cases, cast(sum(r) OVER (ORDER BY block) AS bigint) AS correct
+  FROM blocks)
+SELECT cases, correct, correct / cases * 100 AS accuracy FROM running"""
+
 ORACLES: dict[str, str] = {
     "s1_load_cases": f"""WITH {CASES}
 SELECT case_id, split, age AS "AGE", sex AS "SEX", initial AS "INITIAL_EVIDENCE",
@@ -298,6 +308,15 @@ SELECT case_id, split, age AS "AGE", sex AS "SEX", initial AS "INITIAL_EVIDENCE"
   {DX_TEXT.format(q=ONE)} AS "DIFFERENTIAL_DIAGNOSIS", {DX_TEXT.format(q=TWO)} AS "DIFFERENTIAL_JSON",
   truth AS "PATHOLOGY"
 FROM cases""",
+    "s1_load_cases_by_position": """
+SELECT o_orderkey AS case_id, o_custkey, year(o_orderdate) AS year, 'all' AS split FROM orders""",
+    "s3_load_qa_by_position": """
+SELECT doc_id AS qa_id, lang, n_chars, 'all' AS split FROM documents""",
+    "s4_catalog_rows": """
+SELECT cast(n_regionkey AS varchar) AS category,
+  cast(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_regionkey || '/' || n_name) - 1 AS integer) AS pos,
+  n_regionkey || '/' || n_name AS path
+FROM nation""",
     "p1_sample_n": f"""WITH {CASES}
 SELECT case_id, split, truth AS "PATHOLOGY", row_number() OVER (ORDER BY {HASH}, case_id) AS case_num
 FROM cases QUALIFY case_num <= 1000""",
@@ -446,10 +465,8 @@ SELECT path, category, doc_id || '.txt' AS filename, text FROM corpus
 WHERE doc_id % 29 <> 28 AND {words('text')} > 0""",
     "s5_split_corpus_failures": f"""WITH {CORPUS}
 SELECT path, 'text is not valid UTF-8' AS error FROM corpus WHERE doc_id % 29 = 28""",
-    "r8_running_accuracy": f"""WITH {PARSED},
-running AS (
-  SELECT case_id + 1 AS cases, count(*) FILTER (is_correct) OVER (ORDER BY case_id) AS correct FROM marked)
-SELECT cases, correct, correct / cases * 100 AS accuracy FROM running WHERE cases % 50 = 0""",
+    "r8_running_accuracy": f"""WITH {PARSED}, {RUNNING.format("true")}""",
+    "r8_running_accuracy_gaps": f"""WITH {PARSED}, {RUNNING.format("(case_id + 1) % 7 <> 3 AND case_id // 50 % 11 <> 5")}""",
     "r9_first_line": f"""WITH {RESPONSES}
 SELECT case_id, split_part(raw, chr(10), 1) AS label FROM responses""",
     "l1_count_options": f"""WITH {CASES}
@@ -634,8 +651,8 @@ shares AS (
   FROM qa GROUP BY split)
 SELECT split, least(a, b, c, d) / n * 100 >= 20 AND greatest(a, b, c, d) / n * 100 <= 30 AS balanced FROM shares""",
     "q5_evidence_counts": f"""WITH {CASES},
-items AS (SELECT case_id, unnest(ev) AS value FROM cases),
-counts AS (SELECT value, count(*) AS n, min(case_id) AS first_seen FROM items GROUP BY value)
+items AS (SELECT case_id, unnest(ev) AS value, generate_subscripts(ev, 1) AS pos FROM cases),
+counts AS (SELECT value, count(*) AS n, min(case_id * 1000 + pos) AS first_seen FROM items GROUP BY value)
 SELECT value, n, n / (SELECT count(*) FROM items) * 100 AS share_pct, (SELECT count(*) FROM counts) AS distinct_values
 FROM counts ORDER BY n DESC, first_seen LIMIT 20""",
     "q6_numeric_stats": """SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS median,

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from casework import fixed_values as fixed
 from casework.functions import lists
@@ -45,6 +45,37 @@ def s1_load_cases(spark, sf_dir):
     return _long(adapters.cases(spark, sf_dir), "AGE")
 
 
+POSITIONED = {
+    "orders": "case_id long, o_custkey long, o_orderdate date",
+    "documents": "qa_id long, lang string, n_chars long",
+}
+
+
+def _by_position(spark, sf_dir, name, load, key):
+    """A given file, which has no such id, by the loader."""
+    declared = T.StructType.fromDDL(POSITIONED[name])
+    return load(spark, {"all": f"{sf_dir}/{name}.parquet"}, declared=declared, key=key)
+
+
+@query
+def s1_load_cases_by_position(spark, sf_dir):
+    rows = _by_position(spark, sf_dir, "orders", readers.load_cases, "case_id")
+    return rows.select("case_id", "o_custkey", F.year("o_orderdate").cast("long").alias("year"), "split")
+
+
+@query
+def s3_load_qa_by_position(spark, sf_dir):
+    return _by_position(spark, sf_dir, "documents", readers.load_qa, "qa_id")
+
+
+@query
+def s4_catalog_rows(spark, sf_dir):
+    """Lists of paths per category, as a catalog holds them, in rows."""
+    nation = adapters.table(spark, sf_dir, "nation")
+    paths = F.sort_array(F.collect_list(F.concat_ws("/", F.col("n_regionkey").cast("string"), "n_name")))
+    return readers.catalog_rows(nation.groupBy(F.col("n_regionkey").cast("string").alias("category")).agg(paths.alias("paths")))
+
+
 @query
 def s2_code_entries(spark, sf_dir):
     entries = readers.code_entries(adapters.code_entry_texts(spark, sf_dir))
@@ -397,6 +428,14 @@ def r8_running_accuracy(spark, sf_dir):
     return resp.running_accuracy(scored.select("case_num", "is_correct"))
 
 
+@query
+def r8_running_accuracy_gaps(spark, sf_dir):
+    """The same over case numbers of which single ones and whole blocks are missing."""
+    run = adapters.run_results(spark, sf_dir).where("case_num % 7 <> 3 and (case_num - 1) div 50 % 11 <> 5")
+    scored = resp.score_match(resp.flatten_top3(resp.parse_response(run)))
+    return resp.running_accuracy(scored.select("case_num", "is_correct"))
+
+
 @query
 def r9_first_line(spark, sf_dir):
     return adapters.responses(spark, sf_dir).select(

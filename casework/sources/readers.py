@@ -1,9 +1,9 @@
 """Loaders (S1-S6). Types are declared, nothing is inferred, and casts happen once here."""
 
+import re
 from functools import reduce
-from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from casework import fixed_values as fixed, schema
 from casework.functions.json_text import STRICT
@@ -12,17 +12,62 @@ from casework.functions.text import is_blank, strip
 CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
 
 
+def _require(found: list[str], wanted: list[str], path: str) -> None:
+    missing = [name for name in wanted if name not in found]
+    if missing:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+
+
+def _by_name(spark: SparkSession, path: str, form: str, declared, optional: tuple = ()) -> DataFrame:
+    """The declared columns of a table by their names, whatever their order; others are left out."""
+    reader = spark.read.options(**CSV) if form == "csv" else spark.read
+    if form == "json":  # read by name already; nested types cannot be told from the rows
+        return reader.schema(declared).json(path)
+    df = reader.format(form).load(path)
+    _require(df.columns, [f.name for f in declared if f.name not in optional], path)
+    columns = []
+    for field in declared:
+        if field.name in df.columns:
+            cell = F.col(f"`{field.name}`")
+            if form == "csv" and field.dataType.simpleString() != "string":
+                cell = strip(cell).try_cast(field.dataType)
+            columns.append(cell.cast(field.dataType).alias(field.name))
+    if form == "parquet":
+        columns += [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    return df.select(*columns)
+
+
+def _numbered(df: DataFrame, key: str) -> DataFrame:
+    """Rows numbered from 0 in the order of files and of rows in them, where ``key`` is not given.
+
+    Only the number of rows before each file, or each read piece of other forms, is added up: one row per file.
+    """
+    if "_file" not in df.columns:
+        place = F.monotonically_increasing_id()
+        df = df.withColumn("_row", place).withColumn("_file", F.shiftright("_row", 33).cast("string"))
+        df = df.withColumn("_row", F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)))
+        df = df.withColumn("_file", F.lpad("_file", 12, "0"))
+    sizes = df.groupBy("_file").agg((F.max("_row") + 1).alias("_size"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_file", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    return df.join(starts, "_file").withColumn(key, F.col("_before") + F.col("_row")).drop("_before")
+
+
 def load_cases(
-    spark: SparkSession, paths: dict[str, str], form: str = "parquet", declared=schema.CASES
+    spark: SparkSession, paths: dict[str, str], form: str = "parquet", declared=schema.CASES, key: str = "case_id"
 ) -> DataFrame:
-    """One table per split, read into one DataFrame with a ``split`` column."""
-    reader = spark.read.schema(declared)
-    if form == "csv":
-        reader = reader.options(**CSV)
-    parts = [
-        reader.format(form).load(path).withColumn("split", F.lit(split))
-        for split, path in paths.items()
-    ]
+    """One table per split, read into one DataFrame with a ``split`` column.
+
+    Columns go by their names; a missing one is an error. Where the files hold no ``key``, it is the row's
+    position in its split, from 0.
+    """
+    names = [field.name for field in declared]
+    parts = []
+    for split, path in paths.items():
+        part = _by_name(spark, path, form, declared, (key,))
+        if key not in part.columns and key in names:
+            part = _numbered(part, key)
+        parts.append(part.select(*[n for n in names if n in part.columns], F.lit(split).alias("split")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -43,19 +88,33 @@ def code_entries(entries: DataFrame) -> DataFrame:
     )
 
 
-def load_code_map(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of code -> entry as one row per code.
+def read_code_entries(spark: SparkSession, path: str) -> DataFrame:
+    """JSON objects of code -> entry as rows of (code, entry_text), all fields kept.
 
-    One JSON object is read by one task; a dictionary too large for that comes as rows, for ``code_entries``.
+    A folder holds lines of one object each, as ``write_code_map`` leaves them, read in many tasks; a file
+    is one object, read by one task.
     """
-    whole = spark.read.text(path, wholetext=True)
-    entries = F.explode(F.from_json("value", "map<string,string>", STRICT))
-    return code_entries(whole.select(entries.alias("code", "entry_text")))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+    objects = spark.read.text(path, wholetext=not folder)
+    return objects.select(F.explode(F.from_json("value", "map<string,string>", STRICT)).alias("code", "entry_text"))
+
+
+def load_code_map(spark: SparkSession, path: str) -> DataFrame:
+    """Code -> entry objects as one row per code."""
+    return code_entries(read_code_entries(spark, path))
+
+
+def load_qa(
+    spark: SparkSession, paths: dict[str, str], form: str = "parquet", declared=schema.QA, key: str = "qa_id"
+) -> DataFrame:
+    """S3: multiple-choice questions with an option map, per split; ids and names as for the cases."""
+    return load_cases(spark, paths, form, declared, key)
 
 
-def load_qa(spark: SparkSession, paths: dict[str, str], form: str = "parquet") -> DataFrame:
-    """S3: multiple-choice questions with an option map, per split."""
-    return load_cases(spark, paths, form, schema.QA)
+def catalog_rows(categories: DataFrame) -> DataFrame:
+    """S4 on rows of (category, paths): (category, pos, path)."""
+    return categories.select("category", F.posexplode("paths").alias("pos", "path"))
 
 
 def load_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -65,15 +124,13 @@ def load_catalog(spark: SparkSession, path: str) -> DataFrame:
     """
     whole = spark.read.text(path, wholetext=True)
     catalog = F.from_json("value", "categories map<string,array<string>>")
-    return whole.select(F.explode(catalog["categories"]).alias("category", "paths")).select(
-        "category", F.posexplode("paths").alias("pos", "path")
-    )
+    return catalog_rows(whole.select(F.explode(catalog["categories"]).alias("category", "paths")))
 
 
 def corpus_path(path: str, root: str) -> F.Column:
-    """A file URI relative to the corpus root."""
-    prefix = urlparse(root).path.rstrip("/") + "/"
-    return F.substring_index(F.url_decode(F.col(path)), prefix, -1)
+    """A file's path below the folder ``root``, which is an absolute path without a scheme."""
+    plain = F.regexp_replace(F.col(path), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.substring(plain, F.lit(len(root.rstrip("/")) + 2), F.length(plain))
 
 
 def split_corpus(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,26 +151,42 @@ def split_corpus(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs, failures
 
 
-def load_corpus(spark: SparkSession, root: str, pattern: str = "*") -> tuple[DataFrame, DataFrame]:
-    """The text files below ``root`` as (path, category, filename, text) and (path, error)."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(root)
-        .select(corpus_path("path", root).alias("path"), "content")
-    )
-    return split_corpus(files)
+def load_corpus(
+    spark: SparkSession, root: str, pattern: str = "*", listed: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The text files below the folder ``root`` as (path, category, filename, text) and (path, error).
+
+    With ``listed``, rows of (path) below the root such as a catalog's, only those files are read, and
+    the ones that are not there are failures. The driver then holds their names, as it does when it lists them.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = system.makeQualified(hadoop).toUri().getPath()
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    files = reader.load(root).withColumn("file", F.col("path")).withColumn("path", corpus_path("file", base))
+    if listed is None:
+        return split_corpus(files.select("path", "content"))
+    wanted = listed.select("path").distinct()
+    there = files.select("path", "file")
+    chosen = [row["file"] for row in there.join(wanted, "path", "left_semi").select("file").collect()]
+    gone = wanted.join(there, "path", "left_anti").select("path", F.lit("no such file").alias("error"))
+    if not chosen:
+        docs, failures = split_corpus(files.where("false").select("path", "content"))
+    else:
+        escaped = [re.sub(r"([\\{}\[\]*?])", r"\\\1", name) for name in chosen]  # globs are on
+        some = reader.load(escaped).withColumn("path", corpus_path("path", base))
+        docs, failures = split_corpus(some.select("path", "content"))
+    return docs, failures.unionByName(gone)
 
 
 def read_results(spark: SparkSession, path: str, declared=schema.RESULTS) -> DataFrame:
-    """A results CSV with quoted multi-line cells; the usual tokens for "missing" become NULL."""
-    text = spark.read.options(**CSV).schema(
-        ", ".join(f"`{field.name}` string" for field in declared)
-    ).csv(path)
+    """A results CSV with quoted multi-line cells, columns by header name; the usual tokens for "missing"
+    become NULL. A missing column is an error."""
+    text = spark.read.options(**CSV).csv(path)
+    _require(text.columns, [field.name for field in declared], path)
     columns = []
     for field in declared:
-        cell = F.col(field.name)
+        cell = F.col(f"`{field.name}`")
         cell = F.when(~cell.isin(list(fixed.MISSING_CELLS)), cell)
         if field.dataType.simpleString() != "string":
             cell = strip(cell).try_cast(field.dataType)

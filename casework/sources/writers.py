@@ -1,6 +1,7 @@
 """Sinks (S7-S9). Each task writes its own file; nothing passes through the driver."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -13,6 +14,17 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def write_code_map(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A code dictionary, one JSON object per code."""
-    write_jsonl(df, path, mode)
+def write_code_map(entries: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A code dictionary from rows of (code, entry_text), with all fields of its entries.
+
+    Each line is an object of one code, so ``load_code_map`` reads it back in as many tasks as there are
+    files. Entries that are no JSON objects become JSON texts.
+    """
+    quoted = F.to_json(F.array("entry_text"))
+    text = F.when(F.col("entry_text").startswith("{"), F.col("entry_text")).otherwise(
+        F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    )
+    code = F.to_json(F.array("code"))
+    code = F.substring(code, F.lit(2), F.length(code) - 2)
+    line = F.concat(F.lit("{"), code, F.lit(": "), F.coalesce(text, F.lit("null")), F.lit("}"))
+    entries.select(line.alias("value")).write.mode(mode).text(path)

@@ -48,21 +48,25 @@ def test_sample_size_and_seed(cases):
     assert rows(sampling.sample_n(cases, 50, 1, "case_id")) != rows(sampling.sample_n(cases, 50, 2, "case_id"))
 
 
-def test_large_sample_is_numbered_alike(cases, monkeypatch):
+def test_samples_are_numbered_alike_however_they_are_cut(cases, monkeypatch):
     small = rows(sampling.sample_n(cases, 200, 42, "case_id"))
     takes = {"train": 50, "test": 10}
     taken = rows(sampling.shuffle_take(cases, takes, 42, "case_id"))
-    monkeypatch.setattr(sampling, "LARGE_SAMPLE", 10)
-    assert rows(sampling.shuffle_take(cases, takes, 42, "case_id")) == taken
-    assert rows(sampling.sample_n(cases, 200, 42, "case_id")) == small
-
-
-def test_large_limits_take_the_ranged_way(cases, monkeypatch):
-    plain = rows(sampling.take_first(cases, 20, "case_id"))
-    grouped = rows(sampling.top_n_per_group(cases, "split", "case_id", 20))
-    monkeypatch.setattr(ranking, "PRUNED_LIMIT", 5)
-    assert rows(sampling.take_first(cases, 20, "case_id")) == plain
-    assert rows(sampling.top_n_per_group(cases, "split", "case_id", 20)) == grouped
+    for digits in (0, 1, 6):
+        monkeypatch.setattr(sampling, "CUT_DIGITS", digits)
+        assert rows(sampling.shuffle_take(cases, takes, 42, "case_id")) == taken
+        assert rows(sampling.sample_n(cases, 200, 42, "case_id")) == small
+
+
+def test_limits_of_any_size(cases):
+    whole = cases.count()
+    for n in (0, 1, 20, 1001, whole + 5):
+        first = rows(cases.orderBy("case_id").limit(n))
+        assert rows(sampling.take_first(cases, n, "case_id")) == first
+    for n in (1, 20, 1001):
+        sizes = cases.groupBy("split").count().collect()
+        taken = sampling.top_n_per_group(cases, "split", "case_id", n).groupBy("split").count().collect()
+        assert dict(taken) == {split: min(n, size) for split, size in sizes}
 
 
 def test_ranks_with_a_hot_group(spark):

@@ -131,23 +131,66 @@ def test_prompts_hold_the_severe_list(spark):
         assert all(f"- {name}" in row["messages"][1]["content"] for name in fixed.SEVERE_DEFAULT)
 
 
-def test_checkpoint_folder_must_be_shared(spark):
-    from casework.session import checkpoint
-
-    class Context:
-        master = "yarn"
-
-        def getCheckpointDir(self):
-            return None
-
-    class Frame:
-        class sparkSession:
-            sparkContext = Context()
-
-            class conf:
-                @staticmethod
-                def get(key, default):
-                    return default
-
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        checkpoint(Frame())
+def test_written_tables_lie_in_the_shared_folder(spark):
+    from casework.session import remove, shared_dir, written
+
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert shared_dir(spark) == named
+    table, path = written(spark.range(3), "three")
+    assert path.startswith(named) and sorted(r.id for r in table.collect()) == [0, 1, 2]
+    remove(spark, path)
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        "PATHOLOGY,AGE,SEX,EVIDENCES,INITIAL_EVIDENCE,DIFFERENTIAL_DIAGNOSIS\nFlu,30,M,[],E_1,[]\nCold,31,F,[],E_2,[]\n"
+    )
+    found = readers.load_cases(spark, {"test": str(tmp_path / "a.csv")}, "csv").orderBy("case_id").collect()
+    assert [(r["case_id"], r["AGE"], r["PATHOLOGY"], r["INITIAL_EVIDENCE"]) for r in found] == [
+        (0, 30, "Flu", "E_1"),
+        (1, 31, "Cold", "E_2"),
+    ]
+    (tmp_path / "b.csv").write_text("case_num,original_test_index,age\n1,77,30\n")
+    with pytest.raises(ValueError, match="lacks"):
+        readers.read_results(spark, str(tmp_path / "b.csv"))
+
+
+def test_parquet_without_ids_is_numbered_by_file_and_row(spark, tmp_path):
+    for part in range(2):
+        rows = [(part * 10 + i, "Flu") for i in range(10)]
+        df = spark.createDataFrame(rows, "AGE int, PATHOLOGY string").coalesce(1)
+        df.write.mode("append").parquet(str(tmp_path / f"t/p={part}"))
+    declared = "case_id long, AGE int, PATHOLOGY string"
+    paths = {"test": str(tmp_path / "t/p=*")}
+    found = readers.load_cases(spark, paths, declared=spark.createDataFrame([], declared).schema)
+    assert sorted((r["case_id"], r["AGE"]) for r in found.collect()) == [(i, i) for i in range(20)]
+    with pytest.raises(ValueError, match="lacks EVIDENCES"):
+        readers.load_cases(spark, paths)
+
+
+def test_corpus_names_stay_as_they_are(spark, tmp_path):
+    root = tmp_path / "data"
+    names = ["data/c/a+b.txt", "data/c/100% sure.txt", "data/data/x y.txt"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    docs, failures = readers.load_corpus(spark, str(root))
+    assert {r["path"]: r["text"] for r in docs.collect()} == {n.removeprefix("data/"): n for n in names}
+    assert failures.isEmpty()
+    listed = spark.createDataFrame([("c/a+b.txt",), ("c/gone.txt",)], "path string")
+    docs, failures = readers.load_corpus(spark, str(root), listed=listed)
+    assert [r["path"] for r in docs.collect()] == ["c/a+b.txt"]
+    assert [tuple(r) for r in failures.collect()] == [("c/gone.txt", "no such file")]
+
+
+def test_dictionary_comes_back_whole(spark, tmp_path):
+    source = tmp_path / "codes.json"
+    source.write_text('{"E_1": {"name": "a", "question_en": "q?", "extra": [1, 2]}, "E_2": "plain"}')
+    entries = readers.read_code_entries(spark, str(source))
+    writers.write_code_map(entries, str(tmp_path / "out"))
+    again = readers.load_code_map(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(
+        map(tuple, readers.load_code_map(spark, str(source)).collect()), key=str
+    )
+    assert "extra" in {r["code"]: r["entry_text"] for r in readers.read_code_entries(spark, str(tmp_path / "out")).collect()}["E_1"]
