@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from casework.llm.sampling import bounded
 
 #: Rows that the frequencies are learned from at most, about; words and n-grams kept, the commonest ones.
-FIT_ROWS, WORDS, GRAMS = 5_000, 100_000, 100_000
+FIT_ROWS, WORDS, GRAMS = 5_000, 50_000, 50_000
 LONGEST = 5
 #: Counts held before they are passed on; unseen words remembered; letters of a longer word are parted.
 HELD, REMEMBERED, WORD_LETTERS = 200_000, 200_000, 64
@@ -87,26 +87,26 @@ class LanguageModel:
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
         self.langs = langs
         self.word_row = {w: i for i, w in enumerate(words)}
-        self.gram_row = {g: i for i, g in enumerate(grams)}
         n = len(langs)
         self.word_logs = self._logs(np.array(list(words.values()), float).reshape(-1, n))
-        self.gram_logs = np.zeros((len(grams), n))
+        gram_logs = np.zeros((len(grams), n))
         lengths = np.array([len(g) for g in grams], int)
         for length in range(1, LONGEST + 1):  # each length is a distribution of its own
             at = lengths == length
-            self.gram_logs[at] = self._logs(np.array(list(grams.values()), float).reshape(-1, n)[at])
+            gram_logs[at] = self._logs(np.array(list(grams.values()), float).reshape(-1, n)[at])
+        self.gram_scores = dict(zip(grams, map(tuple, gram_logs.tolist()), strict=True))
 
     @staticmethod
     def _logs(counts: np.ndarray) -> np.ndarray:
         return np.log((counts + 0.5) / (counts.sum(0) + 0.5 * max(1, len(counts))))
 
-    def unseen(self, word: str) -> np.ndarray:
+    def unseen(self, word: str) -> list[float]:
         """Scores of a word that is not in the table: its longest known n-grams', averaged."""
         for length in range(min(LONGEST, len(word) + 2), 0, -1):
-            rows = [r for r in map(self.gram_row.get, grams_of(word, length)) if r is not None]
-            if rows:
-                return self.gram_logs[rows].mean(0)
-        return np.zeros(len(self.langs))
+            found = [r for r in map(self.gram_scores.get, grams_of(word, length)) if r is not None]
+            if found:
+                return [sum(x) / len(found) for x in zip(*found, strict=True)]
+        return [0.0] * len(self.langs)
 
     def reader(self):
         """A function from text to (language, score)."""
