@@ -46,12 +46,13 @@ def decode_question(
     return _decode_one(df, code_map, column, out, key, "question", max_rows)
 
 
-def _listed(df: DataFrame, codes: str, key: str, cap: int, carried: list[str]) -> DataFrame:
-    """One row per code, at most ``cap`` per case; a case without codes keeps one row.
+def _listed(df: DataFrame, codes: str, key: str, cap: int | None, carried: list[str]) -> DataFrame:
+    """One row per code, at most ``cap`` per case (None: all); a case without codes keeps one row.
 
     The outer form also keeps Spark from testing the list, and so parsing it, once more.
     """
-    return df.select(key, *carried, F.posexplode_outer(F.slice(codes, 1, cap)).alias("_pos", "_code"))
+    kept = F.col(codes) if cap is None else F.slice(codes, 1, cap)
+    return df.select(key, *carried, F.posexplode_outer(kept).alias("_pos", "_code"))
 
 
 def _regrouped(items: DataFrame, key: str, out: str, carried: list[str]) -> DataFrame:

@@ -82,25 +82,39 @@ def system_prompt() -> Column:
 
 
 def to_messages(df: DataFrame, roles: dict[str, Column], out: str = "messages") -> DataFrame:
-    """chat messages from the given role -> text, in order; only the messages and the key stay."""
+    """chat messages from the given role -> text, in order, next to all other columns."""
     parts = [
         F.struct(F.lit(role).alias("role"), text.alias("content")) for role, text in roles.items()
     ]
     return df.withColumn(out, F.array(*parts))
 
 
-def training_record_a(df: DataFrame, code_map: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """question records. Up to 15 codes are decoded, 10 of them are named, the rest counted."""
+def _first(items: Column, n: int | None) -> Column:
+    """The first ``n`` items, or all."""
+    return items if n is None else F.slice(items, 1, n)
+
+
+def training_record_a(
+    df: DataFrame,
+    code_map: DataFrame,
+    max_rows: int = MAX_ROWS,
+    decoded_codes: int | None = 15,
+    named: int | None = 10,
+    diagnoses: int | None = 3,
+) -> DataFrame:
+    """question records. ``decoded_codes`` codes are decoded, ``named`` of them are named and the rest of
+    them counted; ``diagnoses`` of the differential are named. None is all: with ``decoded_codes`` None the
+    rest is counted on the whole list."""
     listed = df.select("case_id", list_column(df, "EVIDENCES", "json").alias("_codes"))
-    texts = listed_texts(listed, code_map, "_codes", 15, "_texts", max_rows=max_rows)
+    texts = listed_texts(listed, code_map, "_codes", decoded_codes, "_texts", max_rows=max_rows)
     items = differential_items(F.col("DIFFERENTIAL_DIAGNOSIS"), "json")
     decoded = df.withColumn("_items", items).join(texts, "case_id")
-    more = F.size("_texts") - 10
+    more = F.size("_texts") - (named if named is not None else F.size("_texts"))
     symptoms = F.concat(
-        F.array_join(F.slice("_texts", 1, 10), ", "),
+        F.array_join(_first(F.col("_texts"), named), ", "),
         F.when(more > 0, fill(fixed.QUESTION_RECORD_MORE, more=more)).otherwise(F.lit("")),
     )
-    names = listed_names(F.slice("_items", 1, 3))
+    names = listed_names(_first(F.col("_items"), diagnoses))
     differential = F.when(
         F.size("_items") > 0,
         fill(fixed.QUESTION_RECORD_DIFFERENTIAL, names=F.array_join(names, ", ")),
@@ -118,8 +132,9 @@ def training_record_a(df: DataFrame, code_map: DataFrame, max_rows: int = MAX_RO
     )
 
 
-def training_record_b(df: DataFrame) -> DataFrame:
-    """label records with raw codes; no join and no shuffle."""
+def training_record_b(df: DataFrame, evidences: int | None = 20, diagnoses: int | None = 8) -> DataFrame:
+    """label records with raw codes, the first ``evidences`` and ``diagnoses`` (None: all); no join and no
+    shuffle."""
 
     def text(name: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit(fixed.UNKNOWN))
@@ -132,9 +147,9 @@ def training_record_b(df: DataFrame) -> DataFrame:
             age=text("AGE"),
             sex=text("SEX"),
             initial=text("INITIAL_EVIDENCE"),
-            evidences=F.array_join(F.slice(list_column(df, "EVIDENCES", "safe"), 1, 20), ", "),
+            evidences=F.array_join(_first(list_column(df, "EVIDENCES", "safe"), evidences), ", "),
             differential=F.array_join(
-                F.slice(clean_differential(F.col("DIFFERENTIAL_DIAGNOSIS")), 1, 8), ", "
+                _first(clean_differential(F.col("DIFFERENTIAL_DIAGNOSIS")), diagnoses), ", "
             ),
         ).alias("input"),
         strip(F.coalesce("PATHOLOGY", F.lit(""))).alias("output"),

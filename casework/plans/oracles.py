@@ -456,6 +456,17 @@ sampled AS (
   SELECT *, row_number() OVER (ORDER BY {HASH}, case_id) AS case_num FROM marked QUALIFY case_num <= 1000
 )
 {RESULTS}""",
+    "a1_messages": f"""WITH {CASES}, {CODES}, {SAID}, {SEVERE},
+sampled AS (
+  SELECT case_id, {prompt(fixed.CASE_PROMPT_WITH_RULES, threshold='threshold::double', severe=SEVERE_TEXT, **CASE_FIELDS)}
+    AS user_prompt
+  FROM asked QUALIFY row_number() OVER (ORDER BY {HASH}, case_id) <= 1000)
+SELECT case_id, n - 1 AS pos, ['system', 'user'][n] AS role, [{literal(fixed.SYSTEM_PROMPT)}, user_prompt][n] AS content
+FROM (SELECT *, unnest(range(1, 3)) AS n FROM sampled)""",
+    "l3b_severe_default": f"""WITH names AS (SELECT [{', '.join(literal(n) for n in sorted(fixed.SEVERE_DEFAULT))}] AS names),
+said AS (
+  SELECT o_orderkey AS case_id, o_orderkey % (len(names) + 3) < len(names) AS is_severe FROM orders, names)
+SELECT case_id, is_severe, CASE WHEN is_severe THEN '{fixed.REFER}' ELSE 'Flu' END AS decision FROM said""",
     "s2_code_entries": f"""WITH {CODES}
 SELECT code, name, question AS question_en, kind AS data_type, CASE WHEN NOT plain THEN p_brand || '-1' END AS first_value,
   CASE WHEN plain THEN p_name END AS entry_text

@@ -392,9 +392,9 @@ def r6_is_referral(spark, sf_dir):
     return parsed.select("case_id", resp.is_referral(F.col("predicted_disease")).alias("is_referral"))
 
 
-def _results(asked, spark, sf_dir):
+def _results(asked, spark, sf_dir, few=False):
     """The results table without the cells that repeat its input."""
-    results = scoring_run.score_run(asked, adapters.responses(spark, sf_dir))
+    results = scoring_run.score_run(asked, adapters.responses(spark, sf_dir), few)
     return _long(results, "age", "num_evidences", "num_diagnosis_options").drop(
         "raw_evidences", "raw_differential_diagnosis", "raw_model_response", "parsed_model_json"
     )
@@ -418,7 +418,20 @@ def a1_sampled_run(spark, sf_dir):
         adapters.literal_cases(spark, sf_dir), adapters.code_map(spark, sf_dir), n=1000, rules=True,
         severe=adapters.severe(spark, sf_dir),
     )
-    return _results(asked, spark, sf_dir)
+    return _results(asked, spark, sf_dir, few=True)
+
+
+@query
+def a1_messages(spark, sf_dir):
+    """The messages of the sampled run, by role."""
+    asked = scoring_run.prompts(
+        adapters.literal_cases(spark, sf_dir), adapters.code_map(spark, sf_dir), n=1000, rules=True,
+        severe=adapters.severe(spark, sf_dir),
+    )
+    said = asked.select("case_id", F.posexplode("messages").alias("pos", "m"))
+    return _long(said.select("case_id", "pos", "m.role", "m.content"), "pos")
+
+
 
 
 @query
@@ -485,6 +498,18 @@ def l4_decide_with_reason(spark, sf_dir):
     return decided.select("case_id", "is_severe", "decision", "refer_reason")
 
 
+@query
+def l3b_severe_default(spark, sf_dir):
+    """Marks against the built-in severe set, for its own names and others."""
+    names = F.array(*[F.lit(name) for name in sorted(decision.SEVERE_DEFAULT)])
+    said = F.get(names, (F.col("case_id") % (len(decision.SEVERE_DEFAULT) + 3)).cast("int"))
+    run = adapters.run_results(spark, sf_dir).select(
+        "case_id", F.coalesce(said, F.lit("Flu")).alias("predicted_rank1_disease"),
+        F.lit(0.9).alias("predicted_rank1_confidence"), F.lit(0.5).alias("threshold"),
+    )
+    return decision.decide_with_reason(run).select("case_id", "is_severe", "decision")
+
+
 @query
 def l5_to_scoring(spark, sf_dir):
     run = adapters.run_results(spark, sf_dir)

@@ -6,6 +6,7 @@ from casework.operators.decision import (
     SEVERE_DEFAULT, Severe, count_options, decide_with_reason, dynamic_threshold, to_scoring,
 )
 from casework.operators.decoding import severe_block
+from casework.operators.dimension import fits_in_memory
 from casework.operators.evaluation import normalise_scored
 from casework.operators.records import (
     prepare_cases, system_prompt, to_messages, user_prompt, user_prompt_rules,
@@ -14,6 +15,7 @@ from casework.operators.responses import (
     assemble_results, extract_regex, flatten_top3, matches, parse_response, score_match,
 )
 from casework.operators.sampling import sample_n
+from casework.session import written
 
 
 def severe_text(severe: Severe) -> Column:
@@ -27,8 +29,11 @@ def prompts(
     cases: DataFrame, code_map: DataFrame, n: int = 1000, seed: int = 42, rules: bool = False,
     severe: Severe = SEVERE_DEFAULT,
 ) -> DataFrame:
-    """Sample ``n`` cases and write their chat messages; everything after the sample is small."""
-    prepared = prepare_cases(sample_n(cases, n, seed, "case_id"), code_map)
+    """Sample ``n`` cases and write their chat messages; everything after the sample is small.
+
+    The sample is written to the shared folder once, as its cells are read on both sides of a join."""
+    sampled, _ = written(sample_n(cases, n, seed, "case_id"), "sample")
+    prepared = prepare_cases(sampled, code_map)
     if rules:
         asked = user_prompt_rules(prepared, severe_text(severe))
         return to_messages(asked, {"system": system_prompt(), "user": F.col("user_prompt")})
@@ -36,10 +41,15 @@ def prompts(
     return to_messages(asked, {"user": F.col("user_prompt")})
 
 
-def score_run(asked: DataFrame, responses: DataFrame) -> DataFrame:
+def score_run(asked: DataFrame, responses: DataFrame, few: bool = False) -> DataFrame:
     """Join responses (case_id, raw_model_response) to the asked cases and build the results table.
 
-    Both sides meet on the unique case id; a case without a response stays, unanswered."""
+    Both sides meet on the unique case id; a case without a response stays, unanswered. With ``few``, such as
+    a sample, the asked ids are measured, and sent to the responses so that only theirs move on."""
+    if few:
+        ids = asked.select("case_id")
+        if fits_in_memory(ids):
+            responses = responses.join(F.broadcast(ids), "case_id", "left_semi")
     answered = asked.join(responses.select("case_id", "raw_model_response"), "case_id", "left")
     answered = answered.withColumn("true_diagnosis", F.col("PATHOLOGY"))
     return assemble_results(score_match(flatten_top3(parse_response(answered))))
