@@ -198,7 +198,7 @@ def near_vectors(
     Centroids and codes are trained on about ``rows`` vectors at most; all vectors are indexed and compared.
     Equal vectors are one class from the start. ``n_links`` counts the other rows linked directly,
     ``component_id`` is the smallest key that links reach, ``kept`` marks it. Rows without a key, null and
-    zero vectors, and those with null or non-finite components link with nothing and stay (``kept`` is null
+    zero vectors, and those with null or non-finite components link with nothing and stay (``kept`` is false
     without a key). Vectors meet only those of their own length. Rows that repeat are vectors of their own;
     further columns are ignored; an empty table gives no rows.
 
@@ -231,5 +231,5 @@ def near_vectors(
     component = F.coalesce("component_id", same)
     return out.select(
         F.col("id").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"), (same == component).alias("kept"),
+        component.alias("component_id"), F.coalesce(same == component, F.lit(False)).alias("kept"),
     )

@@ -88,12 +88,12 @@ class LanguageModel:
         self.langs = langs
         self.word_row = {w: i for i, w in enumerate(words)}
         n = len(langs)
-        self.word_logs = self._logs(np.array(list(words.values()), float).reshape(-1, n))
+        self.word_logs = self._logs(np.array(list(words.values()), float).reshape(len(words), n))
         gram_logs = np.zeros((len(grams), n))
         lengths = np.array([len(g) for g in grams], int)
         for length in range(1, LONGEST + 1):  # each length is a distribution of its own
             at = lengths == length
-            gram_logs[at] = self._logs(np.array(list(grams.values()), float).reshape(-1, n)[at])
+            gram_logs[at] = self._logs(np.array(list(grams.values()), float).reshape(len(grams), n)[at])
         self.gram_scores = dict(zip(grams, map(tuple, gram_logs.tolist()), strict=True))
 
     @staticmethod

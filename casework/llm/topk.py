@@ -91,13 +91,14 @@ def top_k(
 
     Queries are rows whose key is divisible by ``every``; candidates are all rows with another key.
     Components become floor(scale * x). Fewer than k candidates give fewer rows; ties go to the smaller
-    key. Rows that are null, hold a null or non-finite component, or have no key take no part. Vectors
+    key. Rows that are null, empty, hold a null or non-finite component, or have no key take no part. Vectors
     meet only those of their own length. Rows that repeat are candidates each; of a query key that
     repeats, the smallest vector asks. An empty table gives no rows.
 
     Documents are dealt to tasks by a hash of the key, SHARD at a time, and queries go to each in blocks of
     QUERY_BLOCK, so a task is bounded at any size; each passes on k rows a query. Scores are computed in
-    doubles where those are exact, in whole numbers of any size elsewhere.
+    doubles where those are exact, in whole numbers of any size
+    elsewhere; a score beyond 64 bits is an error.
     """
     valid = vectors.where(whole(vector) & F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.size(vector).alias("dim")

@@ -19,4 +19,4 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     """Rows of one length as a matrix of doubles."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)

@@ -9,6 +9,7 @@ import pytest
 
 from casework.llm import passages
 from casework.llm.collection_bwt import columns, suffix_rounds
+from odd_tables import no_docs, odd_texts, workers  # noqa: F401  fixtures
 
 
 def brute(texts, length):

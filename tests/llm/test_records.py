@@ -13,6 +13,7 @@ from casework.llm.mixing import mix, schedule, shares
 from casework.llm.queries import ORACLES, QUERIES
 from compare import connect, differences
 from conftest import SMALL, interpret
+from odd_tables import no_docs, odd_texts, workers  # noqa: F401  fixtures
 
 
 @pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 5, "b": 3, "c": 0.01}, {s: i + 1.5 for i, s in enumerate("abcdefghij")}])
@@ -44,7 +45,8 @@ def test_mixture(spark, no_docs):
         assert len({r["source"] for r in blocks[slot]}) == 1 and all(r["in_mix"] for r in blocks[slot])
         assert all(abs(served[s] - (slot + 1) * w) < 1 for s, w in weights.items())
     assert not any(r["in_mix"] for s, rows in blocks.items() if s >= end for r in rows)
-    assert all(len(rows) == 7 for s, rows in blocks.items() if s < end - 2)
+    short = [rows[0]["source"] for rows in blocks.values() if len(rows) != 7]
+    assert len(short) == len(set(short))  # the last block of a source
     left_out = mix(docs, {"big": 1.0})
     assert left_out.where("in_mix").select("source").distinct().collect() == [("big",)]
     assert left_out.where("mix_slot is null").count() == 1000

@@ -21,6 +21,7 @@ from casework.llm.sampling import remainder
 from casework.llm.simhash import fingerprint, near_duplicates, similar_documents
 from casework.llm.token_counts import token_counts, vocabulary
 from conftest import SMALL
+from odd_tables import no_docs, odd_texts, workers  # noqa: F401  fixtures
 
 
 @pytest.fixture(scope="module")
