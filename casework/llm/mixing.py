@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Slots of a period: the grain of the weights. Sources may not be more.
 PERIOD = 4_096
 #: Documents of a block, and rows of a source that one task numbers, about.
-BLOCK, RANGE = 16, 50_000
+BLOCK, RANGE = 16, 4_096
 
 
 def shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
