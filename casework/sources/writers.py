@@ -1,12 +1,14 @@
 """Sinks (S7-S9). Each task writes its own file; nothing passes through the driver."""
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from casework import schema
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV with a header; quotes and line breaks in cells survive a round trip."""
-    df.write.mode(mode).option("header", "true").option("escape", '"').csv(path)
+    """CSV with a header; quotes, line breaks and outer blanks of cells survive a round trip."""
+    kept = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    df.write.mode(mode).options(header="true", escape='"', **kept).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -15,16 +17,20 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_code_map(entries: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A code dictionary from rows of (code, entry_text), with all fields of its entries.
+    """A code dictionary, each line an object of one code, which ``load_code_map`` reads back in as many
+    tasks as there are files.
 
-    Each line is an object of one code, so ``load_code_map`` reads it back in as many tasks as there are
-    files. Entries that are no JSON objects become JSON texts.
+    Rows of (code, entry_text), as ``read_code_entries`` gives them, keep all fields of their entries. Rows of
+    a code map, whose objects have no text, become objects of the fields they have.
     """
-    quoted = F.to_json(F.array("entry_text"))
-    text = F.when(F.col("entry_text").startswith("{"), F.col("entry_text")).otherwise(
-        F.substring(quoted, F.lit(2), F.length(quoted) - 2)
-    )
-    code = F.to_json(F.array("code"))
-    code = F.substring(code, F.lit(2), F.length(code) - 2)
-    line = F.concat(F.lit("{"), code, F.lit(": "), F.coalesce(text, F.lit("null")), F.lit("}"))
+
+    def quoted(name: str) -> Column:
+        whole = F.to_json(F.array(name))
+        return F.substring(whole, F.lit(2), F.length(whole) - 2)
+
+    text = F.when(F.col("entry_text").startswith("{"), F.col("entry_text")).otherwise(quoted("entry_text"))
+    fields = [F.col(name) for name in schema.CODE_ENTRY.names if name in entries.columns]
+    entry = F.when(F.col("entry_text").isNotNull(), text)
+    entry = F.coalesce(entry, F.to_json(F.struct(*fields)) if fields else F.lit("null"))
+    line = F.concat(F.lit("{"), quoted("code"), F.lit(": "), entry, F.lit("}"))
     entries.select(line.alias("value")).write.mode(mode).text(path)

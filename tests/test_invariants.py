@@ -161,8 +161,17 @@ def test_running_accuracy_over_several_spans(spark):
     marks = [(i + 1, (i * 7) % 3 == 0) for i in range(1234)]
     df = shuffled(spark.createDataFrame(marks, "case_num long, is_correct boolean"), 5)
     found = responses.running_accuracy(df, blocks_per_span=4).orderBy("cases").collect()
-    expected = [(n, sum(ok for _, ok in marks[:n])) for n in range(50, 1235, 50)]
+    expected = [(n, sum(ok for _, ok in marks[:n])) for n in [*range(50, 1234, 50), 1234]]
     assert [(r["cases"], r["correct"]) for r in found] == expected
+    gaps = [m for m in marks if m[0] % 7 != 3 and not 300 < m[0] <= 350]
+    df = shuffled(spark.createDataFrame(gaps, "case_num long, is_correct boolean"), 5)
+    found = responses.running_accuracy(df, blocks_per_span=4).orderBy("cases").collect()
+    told = []
+    for last in [*range(50, 1234, 50), 1234]:
+        upto = [ok for n, ok in gaps if n <= last]
+        if not told or told[-1][0] != len(upto):
+            told.append((len(upto), sum(upto)))
+    assert [(r["cases"], r["correct"]) for r in found] == told
 
 
 def test_duplicates(spark):
