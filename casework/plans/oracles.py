@@ -157,7 +157,7 @@ PARSED = f"""{RESPONSES},
 parsed AS (
   SELECT *, form IN (0, 1, 2, 4, 9, 10) AS is_object,
     CASE WHEN form IN (0, 1, 2) THEN final WHEN form IN (4, 9) THEN n1
-      WHEN form IN (3, 5, 7, 8) THEN substr(split_part(raw, chr(10), 1), 1, 50) END AS predicted,
+      WHEN form IN (3, 5, 7, 8) THEN substr(split_part(ltrim(raw, chr(10)), chr(10), 1), 1, 50) END AS predicted,
     CASE WHEN form IN (0, 1, 2, 4, 9) THEN s1 / 100 WHEN form = 10 THEN 0.7::double
       WHEN form IN (3, 5, 7, 8) THEN 0.5::double END AS confidence,
     CASE WHEN form IN (0, 1, 2) THEN reason END AS final_reason
