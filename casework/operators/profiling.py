@@ -193,9 +193,11 @@ def completeness(
     )
 
 
-def qa_checklist(qa: DataFrame, required=("train", "test"), order_key: str = "qa_id") -> DataFrame:
+def qa_checklist(
+    qa: DataFrame, required=("train", "test"), order_key: str = "qa_id", every_row: bool = False
+) -> DataFrame:
     """Q9: (check, passed) of a loaded question table, and ``all``. The option check looks at the first
-    training row."""
+    training row; ``every_row`` adds one that looks at all of them."""
     has_fields = all(name in qa.columns for name in fixed.QA_FIELDS)
     train = F.col("split") == "train"
     found = qa.agg(
@@ -203,6 +205,9 @@ def qa_checklist(qa: DataFrame, required=("train", "test"), order_key: str = "qa
         F.min_by(F.size("options"), F.when(train, F.col(order_key))).alias("_options")
         if "options" in qa.columns
         else F.lit(None).cast("int").alias("_options"),
+        F.bool_and(F.when(train, F.coalesce(F.size("options") == 4, F.lit(False)))).alias("_every")
+        if "options" in qa.columns
+        else F.lit(False).alias("_every"),
     )
     there = F.size("_splits") == len(required)
     checks = {
@@ -211,6 +216,8 @@ def qa_checklist(qa: DataFrame, required=("train", "test"), order_key: str = "qa
         "required_fields": F.lit(has_fields),
         "four_options": F.coalesce(F.col("_options") == 4, F.lit(False)),
     }
+    if every_row:
+        checks["four_options_every_row"] = F.coalesce("_every", F.lit(False))
     checks["all"] = reduce(lambda a, b: a & b, checks.values())
     cells = F.array(
         *[F.struct(F.lit(name).alias("check"), ok.alias("passed")) for name, ok in checks.items()]

@@ -695,6 +695,16 @@ UNION ALL SELECT 'splits_not_empty', both_splits FROM facts
 UNION ALL SELECT 'required_fields', true FROM facts
 UNION ALL SELECT 'four_options', four FROM facts
 UNION ALL SELECT 'all', both_splits AND four FROM facts""",
+    "q9_qa_checklist_every_row": f"""WITH {QA},
+facts AS (
+  SELECT count(DISTINCT split) = 2 AS both_splits, arg_min(has_four, qa_id) FILTER (split = 'train') AS four,
+    bool_and(has_four) FILTER (split = 'train') AS every FROM qa)
+SELECT 'required_splits' AS "check", both_splits AS passed FROM facts
+UNION ALL SELECT 'splits_not_empty', both_splits FROM facts
+UNION ALL SELECT 'required_fields', true FROM facts
+UNION ALL SELECT 'four_options', four FROM facts
+UNION ALL SELECT 'four_options_every_row', every FROM facts
+UNION ALL SELECT 'all', both_splits AND four AND every FROM facts""",
     "q10_answer_distribution": f"""WITH {QA},
 wide AS (SELECT split, answer_idx, unnest(['A', 'B', 'C', 'D']) AS answer FROM qa)
 SELECT split, answer, count(*) FILTER (answer_idx = answer) AS n,

@@ -700,6 +700,11 @@ def q9_qa_checklist(spark, sf_dir):
     return profiling.qa_checklist(adapters.qa(spark, sf_dir))
 
 
+@query
+def q9_qa_checklist_every_row(spark, sf_dir):
+    return profiling.qa_checklist(adapters.qa(spark, sf_dir), every_row=True)
+
+
 @query
 def q10_answer_distribution(spark, sf_dir):
     return profiling.answer_distribution(adapters.qa(spark, sf_dir))
