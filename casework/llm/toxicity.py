@@ -13,6 +13,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
+from xxhash import xxh64_intdigest
 
 from casework.llm.sampling import STEPS, bounded
 from casework.session import written
@@ -20,7 +21,7 @@ from casework.session import written
 #: Labelled rows that the model is fitted on at most, about; the share of them kept for calibration.
 FIT_ROWS, CALIBRATION = 20_000, 0.3
 #: Entries of the learned lexicon, and labelled toxic texts that an entry has to be in.
-LEXICON, LEAST_TEXTS = 300, 5
+LEXICON, LEAST_TEXTS, LEAST_RATIO = 300, 5, 25.0
 #: Letters of the word beginnings that the lexicon may hold next to whole words.
 STEMS = (4, 5, 6)
 #: Words between a lexicon word and a second person that count as near.
@@ -111,17 +112,35 @@ def _count_entries(batches):
     yield passed()
 
 
+def _signed(batches):
+    """Key, label and signature of labelled texts: the least hash of their three-word shingles."""
+    for batch in batches:
+        signs = []
+        for text in batch.column(1).to_pylist():
+            words = (text or "").encode().lower().split()
+            shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+            signs.append(min(map(xxh64_intdigest, shingles)) >> 1)
+        columns = [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(signs, pa.int64())]
+        yield pa.record_batch(columns, names=["id", "label", "signature"])
+
+
 def lexicon(labelled: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     """The LEXICON entries that tell toxic texts best, with the log of how much commoner they are there.
 
-    Ordered by the log odds over their standard error, so that rare entries do not lead.
+    Ordered by the likelihood ratio of their counts, of which LEAST_RATIO is more than chance gives.
     """
     found = labelled.select("text", "label").mapInArrow(_count_entries, "entry string, toxic long, clean long")
     found = found.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    best = found.where(F.col("toxic") >= LEAST_TEXTS).withColumn("weight", odds).where(F.col("weight") > 1)
-    rows = best.orderBy(F.desc(F.col("weight") / error), "entry").limit(LEXICON).select("entry", "weight").collect()
+    texts, share = F.col("toxic") + F.col("clean"), toxic / (toxic + clean)
+
+    def part(count, expected):
+        return F.when(count > 0, count * F.log(count / expected)).otherwise(0.0)
+
+    ratio = 2 * (part(F.col("toxic"), texts * share) + part(F.col("clean"), texts * (1 - share)))
+    best = found.where(F.col("toxic") >= LEAST_TEXTS).withColumns({"weight": odds, "ratio": ratio})
+    best = best.where((F.col("weight") > 1) & (F.col("ratio") >= LEAST_RATIO))
+    rows = best.orderBy(F.desc("ratio"), "entry").limit(LEXICON).select("entry", "weight").collect()
     return {row["entry"]: row["weight"] for row in rows}
 
 
@@ -181,7 +200,8 @@ def fit(
 ) -> ToxicityModel:
     """A model from labelled documents where ``learn`` (over the key) holds.
 
-    At most about ``rows`` labelled documents are read, chosen by a hash of the key. The trees see
+    At most about ``rows`` labelled documents are read, chosen by a hash of the key; of those that share the
+    least hash of their shingles, as copies do, one teaches, as toxic if one of them is. The trees see
     1 - CALIBRATION of them, the calibration the rest. A document labelled twice is toxic if one label says
     so; null labels and null keys teach nothing. With one label only, the score is that label's rate (0 if
     there is none) for all.
@@ -189,7 +209,12 @@ def fit(
     taught = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & learn)
     taught = taught.groupBy(key).agg(F.max((F.col(label) > 0).cast("int")).alias("label"))
     taught = bounded(taught, key, rows)  # so many rows at most, so it can be sent to all
-    sample = docs.select(key, F.col(text).alias("text")).join(F.broadcast(taught), key)
+    docs = docs.select(key, F.col(text).alias("text"))
+    # Copies teach once, or all words of a text that is copied often would look toxic.
+    marked = docs.join(F.broadcast(taught), key).mapInArrow(_signed, "id long, label int, signature long")
+    taught = marked.groupBy("signature").agg(F.min("id").alias(key), F.max("label").alias("label"))
+    taught, _ = written(taught.drop("signature").coalesce(PARTS), "taught")
+    sample = docs.join(F.broadcast(taught), key)  # no more rows than before
     count = dict(taught.groupBy("label").count().collect())
     toxic, clean = count.get(1, 0), count.get(0, 0)
     if not toxic or not clean:
