@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.session import shared_dir
+from casework.session import scratch_path
 
 #: Bytes of a chunk, and bytes from which equal payloads are kept once.
 CHUNK, LEAST_SHARED = 1 << 20, 100
@@ -220,6 +220,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(pages: DataFrame, chunk: int = CHUNK, least: int = LEAST_SHARED, **columns: str) -> DataFrame:
     """Pages written to archives in the shared folder and read back from them: see both for the rows."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/casework-archives-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "archives")
     write_archives(pages, path, chunk, least, **columns)
     return read_pages(spark, path)
