@@ -40,18 +40,35 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, whatever store it is in."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/casework-{name}-{uuid.uuid4().hex}"
+    place, system = _hadoop(spark, path)
+    system.mkdirs(place.getParent())
+    system.mkdirs(place)  # only what is there can be marked
+    system.deleteOnExit(place)
+    system.delete(place, True)
+    return path
+
+
 def written(df: DataFrame, name: str = "table") -> tuple[DataFrame, str]:
     """``df`` written as Parquet to the shared folder and read again, and its path."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/casework-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of ``written`` that no later step reads."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    place, system = _hadoop(spark, path)
+    system.delete(place, True)
 
 
 def let_workers_import(spark: SparkSession) -> None:
