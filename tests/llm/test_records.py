@@ -2,6 +2,8 @@
 
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
+from itertools import islice
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from casework.llm import warc
 from casework.llm.components import components
-from casework.llm.mixing import mix, schedule, shares
+from casework.llm.mixing import mix, schedule, shares, turns
 from casework.llm.queries import ORACLES, QUERIES
 from compare import connect, differences
 from conftest import SMALL, interpret
@@ -29,6 +31,29 @@ def test_deviation_stays_below_one_block(weights):
     assert served == slots
 
 
+@pytest.mark.parametrize("sources", [20, 500, 5000])
+def test_deviation_from_the_weights_themselves(sources):
+    weights = {"hot": 1 / 3} | {f"s{i}": 2 / 3 / (sources - 1) for i in range(sources - 1)}
+    total = sum(map(Fraction, weights.values()))
+    names = sorted(weights)
+    served = Counter()
+    for i, block, slot in islice(turns(weights, dict.fromkeys(weights, 10**9)), 20_000):
+        assert block == served[names[i]]
+        served[names[i]] += 1
+        # the source served and the hot one; every source now and then
+        for s in names if slot % 1999 == 0 else (names[i], "hot"):
+            assert abs(served[s] - (slot + 1) * Fraction(weights[s]) / total) < 1
+
+
+def test_more_sources_than_a_period(spark, monkeypatch):
+    docs = spark.range(5000).selectExpr("id as doc_id", "cast(id as string) as source")
+    whole = sorted(map(tuple, mix(docs).collect()))
+    assert len({r[3] for r in whole}) == 5000
+    monkeypatch.setattr("casework.llm.mixing.PLANNED", 3000)  # a plan that is written in parts
+    monkeypatch.setattr("casework.llm.mixing.SENT", 0)
+    assert sorted(map(tuple, mix(docs).collect())) == whole
+
+
 def test_mixture(spark, no_docs):
     rows = [(i, "big" if i % 3 else ("small" if i % 2 else None)) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string")
