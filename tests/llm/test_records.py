@@ -168,6 +168,16 @@ def test_components(spark):
         assert sorted(map(tuple, found)) == sorted((x, root(x)) for x in parent)
 
 
+def test_mixing_stage_keeps_every_document(spark):
+    rows = spark.range(140_001).selectExpr("id as doc_id", "if(id = 7, 'one', 'large') as source")
+    assert corpus_pipeline.source_mixing(spark, rows, SMALL).count() == 140_001
+    rows = spark.range(3100).selectExpr("id as doc_id", "if(id < 100, null, 'large') as source")
+    kept = [r["source"] for r in corpus_pipeline.source_mixing(spark, rows, SMALL).collect()]
+    assert Counter(kept) == {None: 100, "large": 3000}
+    share = 100**0.9 / (100**0.9 + 3000**0.9)
+    assert all(abs(kept[: 16 * n].count(None) / 16 - n * share) < 1 for n in range(1, 140))
+
+
 def test_pipeline(spark, odd_texts):
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "simhash_near_dedup", "suffix_array_dedup", "source_mixing", "best_fit_packing"]
