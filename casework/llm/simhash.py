@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from casework.llm.components import components
-from casework.llm.forest import Forest
+from casework.llm.forest import PairForest
 from casework.llm.gray_index import GrayIndex, gray_rank, hamming_links
 from casework.session import written
 
@@ -24,6 +24,23 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 LANES, NODE, PREFIX, FOUND = 4, 512, (8, 24), 0.98
 
 
+def _shingles(text: str | None, words: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of a text, joined by blanks, and where its shingles start and end in that."""
+    found = (text or "").encode().lower().split()
+    joined = b" ".join(found)
+    ends = np.cumsum([len(w) + 1 for w in found], dtype=np.int64) - 1
+    starts = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])[: len(found)]
+    if len(found) < words:
+        return joined, starts[:1], ends[-1:]
+    return joined, starts[: len(found) - words + 1], ends[words - 1 :]
+
+
+def shingle_set(text: str | None, words: int) -> list[int]:
+    """Distinct 64-bit hashes of the shingles that ``fingerprint`` is made of."""
+    joined, first, last = _shingles(text, words)
+    return [*{xxh64_intdigest(joined[i:j], SEED) for i, j in zip(first.tolist(), last.tolist(), strict=True)}]
+
+
 def fingerprint(text: str | None, words: int, lanes: int = 1) -> list[int]:
     """The fingerprint of one text, in lanes of 64 bits: a bit is 1 if over half of its shingles' hashes set it.
 
@@ -31,15 +48,9 @@ def fingerprint(text: str | None, words: int, lanes: int = 1) -> list[int]:
     than a shingle has is one shingle; a text without words (or null) has fingerprint 0. The first lane takes
     the hashes themselves, each further one their next mixing.
     """
-    found = (text or "").encode().lower().split()
-    if not found:
+    joined, first, last = _shingles(text, words)
+    if not len(first):
         return [0] * lanes
-    joined = b" ".join(found)
-    ends = np.cumsum([len(w) + 1 for w in found]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    first, last = starts[: len(found) - words + 1], ends[words - 1 :]
-    if len(found) < words:
-        first, last = starts[:1], ends[-1:]
     total = np.zeros((lanes, 64), np.int64)
     for at in range(0, len(first), BLOCK):
         spans = zip(first[at : at + BLOCK].tolist(), last[at : at + BLOCK].tolist(), strict=True)
@@ -90,8 +101,8 @@ def near_duplicates(
     )
 
 
-def _tables(similarity: float, count: int) -> tuple[int, int, int, int]:
-    """Prefix bits, tables, and the limits of a word and of all bits, for a similarity of shingle sets."""
+def _tables(similarity: float, count: int) -> tuple[int, int, int, int, int]:
+    """Prefix bits, tables, and the limits of a word and of all bits (mean, loose) for a similarity of shingle sets."""
     cosine = 2 * similarity / (1 + similarity)
     differ = math.acos(min(1.0, cosine)) / math.pi  # the share of bits expected to differ
     bits = min(PREFIX[1], max(PREFIX[0], math.ceil(math.log2(max(1, count) / NODE))))
@@ -100,20 +111,38 @@ def _tables(similarity: float, count: int) -> tuple[int, int, int, int]:
     def limit(n, deviations):
         return math.floor(n * differ + deviations * math.sqrt(n * differ * (1 - differ)))
 
-    return bits, max(1, tables), limit(64, 3), limit(64 * LANES, 1.6)
+    return bits, max(1, tables), limit(64, 3), limit(64 * LANES, 0), limit(64 * LANES, 3)
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``a, b`` of the pairs whose shingle sets have at least that Jaccard similarity."""
+
+    def sets_of(batches):
+        for batch in batches:
+            sets = [np.array(shingle_set(x, words), np.uint64).view(np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = docs.join(asked, "node", "left_semi").mapInArrow(sets_of, "node long, shingles array<long>")
+    # Of rows that repeat a key with other texts, any that is alike links.
+    sets, _ = written(sets.distinct(), "shingles")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(F.try_divide(shared, F.size("x") + F.size("y") - shared) >= similarity).select("a", "b")
 
 
 def similar_documents(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``key, component_id`` of documents, linked where their shingle sets are about ``similarity`` alike.
+    """``key, component_id`` of documents, linked where their shingle sets are ``similarity`` alike or more.
 
-    Fingerprints have LANES * 64 bits, enough to tell the similarity: documents link if no more bits differ
-    than at ``similarity``, give or take 1.6 deviations. Each of several tables takes 64 other bits of them as
+    Fingerprints have LANES * 64 bits and only find candidates: pairs with no more differing bits than at
+    ``similarity``, give or take three deviations. Each of several tables takes 64 other bits of them as
     its word, sorted in Gray order under its first bits, and searches the hierarchical index with a limit
-    that three deviations would not pass. Tables are as many as find a share FOUND of the pairs at the
-    limit itself; pairs more alike are found more surely. Equal fingerprints are one node; nulls, empty
-    texts and repeated rows are as in ``near_duplicates``.
+    that three deviations would not pass. Tables are as many as find a share FOUND of the pairs at
+    ``similarity`` itself; pairs more alike are found more surely. A task passes on a forest of candidate pairs,
+    the closer ones first, and a pair links if the Jaccard similarity of its shingle sets says so. Equal
+    fingerprints are one node; nulls, empty texts and repeated rows are as in ``near_duplicates``.
     """
     lanes = [f"f{i}" for i in range(LANES)]
 
@@ -127,7 +156,7 @@ def similar_documents(
     prints, _ = written(prints, "prints")
     nodes = prints.where(F.col(key).isNotNull()).groupBy(*lanes).agg(F.min(key).alias("node"))
     nodes, _ = written(nodes, "codes")
-    bits, tables, word_limit, limit = _tables(similarity, nodes.count())
+    bits, tables, word_limit, close, loose = _tables(similarity, nodes.count())
 
     def deal(batches):
         rng = np.random.default_rng(SEED)
@@ -145,16 +174,19 @@ def similar_documents(
         word = table.column("word").to_numpy().view(np.uint64)
         wide = np.column_stack([table.column(c).to_numpy().view(np.uint64) for c in lanes])
         node = table.column("node").to_numpy()
-        forest, rows = Forest(len(word)), np.arange(len(word))
+        forest, rows = PairForest(len(word)), np.arange(len(word))
         if len(word) > 1:
-            index = GrayIndex(word, wide, limit)
-            index.search(word[index.order], word_limit, forest, rows[index.order], rows, wide[index.order])
+            index = GrayIndex(word, wide, close)
+            for index.wide_limit in (close, loose):
+                index.search(word[index.order], word_limit, forest, rows[index.order], rows, wide[index.order])
         a, b = forest.edges()
         return pa.table({"a": node[a], "b": node[b]})
 
     dealt = nodes.select(*lanes, "node").mapInArrow(
         deal, f"at long, word long, {', '.join(f'{c} long' for c in lanes)}, node long"
     )
-    found = components(dealt.groupBy("at").applyInArrow(search, "a long, b long"))
+    pairs = dealt.groupBy("at").applyInArrow(search, "a long, b long")
+    pairs, _ = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    found = components(_alike(pairs, docs.select(F.col(key).alias("node"), F.col(text).alias("text")), words, similarity))
     named = nodes.join(found, "node", "left").select(*lanes, F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, lanes, "left").select(key, "component_id")

@@ -223,3 +223,22 @@ def test_similar_documents(spark, odd_texts, no_docs):
     assert all(found[i] == i and found[100 + i] == i and found[200 + i] == 200 + i for i in range(30))
     assert similar_documents(odd_texts).count() == odd_texts.count()
     assert similar_documents(no_docs).count() == 0
+
+
+def test_similar_documents_are_verified(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rows, alike = [], {}
+    # words, words changed at the end: similarities of 6/8, 4/6, 36/48 below 0.8; 8/10, 16/20, 90/102 not below
+    for kind, (n, changed) in enumerate([(11, 1), (9, 1), (46, 6), (13, 1), (22, 2), (100, 6)]):
+        shared, own = n - 4 - changed, changed
+        alike[kind] = shared / (shared + 2 * own) >= 0.8
+        for i in range(40):
+            text = [word() for _ in range(n)]
+            at = 1000 * kind + 2 * i
+            rows += [(at, " ".join(text)), (at + 1, " ".join(text[:-changed] + [word() for _ in range(changed)]))]
+    assert alike == {0: False, 1: False, 2: False, 3: True, 4: True, 5: True}
+    found = dict(similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    for kind, right in alike.items():
+        linked = sum(found[1000 * kind + 2 * i + 1] == 1000 * kind + 2 * i for i in range(40))
+        assert linked >= 36 if right else linked == 0, (kind, linked)
