@@ -11,13 +11,16 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casework.llm.sampling import bounded
+from casework.llm.sampling import bounded_each
+from casework.session import written
 
-#: Rows that the frequencies are learned from at most, about; words and n-grams kept, the commonest ones.
-FIT_ROWS, WORDS, GRAMS = 5_000, 50_000, 50_000
+#: Rows that the frequencies are learned from at most, about; words and n-grams kept, the commonest ones. Languages
+#: share these evenly, and each has the LEAST of them where there are many languages.
+FIT_ROWS, WORDS, GRAMS = 20_000, 100_000, 100_000
+LEAST_ROWS, LEAST_ITEMS = 500, 1_000
 LONGEST = 5
 #: Counts held before they are passed on; unseen words remembered; letters of a longer word are parted.
 HELD, REMEMBERED, WORD_LETTERS = 200_000, 200_000, 64
@@ -98,7 +101,9 @@ class LanguageModel:
 
     @staticmethod
     def _logs(counts: np.ndarray) -> np.ndarray:
-        return np.log((counts + 0.5) / (counts.sum(0) + 0.5 * max(1, len(counts))))
+        # An unseen item has one log frequency in all languages, however little of a language was seen.
+        total = np.maximum(counts.sum(0), 0.5)
+        return np.log(counts / total + 0.5 / max(total, default=1.0))
 
     def unseen(self, word: str) -> list[float]:
         """Scores of a word that is not in the table: its longest known n-grams', averaged."""
@@ -155,28 +160,34 @@ def fit(
 ) -> LanguageModel:
     """A model from rows where ``learn`` holds and text and ``lang`` are given.
 
-    At most about ``rows`` of them are read, chosen by a hash of ``key``; the model keeps the WORDS and
-    GRAMS commonest items over all languages, so what the driver and each worker hold is bounded.
+    At most about ``rows`` of them are read, chosen by a hash of ``key``, and the model keeps the WORDS and
+    GRAMS commonest items. Languages have even shares of all three and LEAST_ROWS or LEAST_ITEMS at least,
+    so a rare language is known at any size of the table, and what the driver and each worker hold is
+    bounded by the number of languages.
     """
     labelled = docs.select(key, text, lang).where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sample = bounded(labelled, key, rows).select(text, lang)
+    counts = dict(map(tuple, labelled.groupBy(lang).count().collect()))
+    even = max(1, len(counts))
+    sample = bounded_each(labelled, key, lang, counts, max(LEAST_ROWS, rows // even)).select(text, lang)
     schema = "item string, lang string, n long"
     words = sample.mapInArrow(_count_words, schema).groupBy("item", "lang").agg(F.sum("n").alias("n"))
     grams = words.mapInArrow(_count_grams, schema)
 
     def commonest(items: DataFrame, most: int) -> list:
         by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
-        sums = items.groupBy("item", "lang").agg(F.sum("n").alias("n"))
-        sums = sums.groupBy("item").agg(F.sum("n").alias("all"), by_lang.alias("by"))
-        return sums.orderBy(F.desc("all"), "item").limit(most).collect()
+        sums, _ = written(items.groupBy("item", "lang").agg(F.sum("n").alias("n")), "items")
+        order = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
+        kept = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(LEAST_ITEMS, most // even))
+        sums = sums.join(kept.select("item").distinct(), "item")
+        return sums.groupBy("item").agg(by_lang.alias("by")).orderBy("item").collect()
 
     word_rows, gram_rows = commonest(words, WORDS), commonest(grams, GRAMS)
     langs = sorted({name for row in word_rows for name in row["by"]})
 
-    def counts(found):
+    def by_item(found):
         return {row["item"]: np.array([row["by"].get(name, 0) for name in langs], float) for row in found}
 
-    return LanguageModel(langs, counts(word_rows), counts(gram_rows))
+    return LanguageModel(langs, by_item(word_rows), by_item(gram_rows))
 
 
 def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:

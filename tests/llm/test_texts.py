@@ -108,6 +108,20 @@ def test_language_by_words_then_grams(spark, odd_texts, no_docs):
     assert {r["lang_pred"] for r in language.identify(odd_texts, nothing).collect()} == {"und"}
 
 
+def test_rare_languages_are_known(spark, monkeypatch):
+    rng = random.Random(8)
+    # a long tail of words in the hot language; eight documents of the rare one, half of them learned from
+    words = {"hot": ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)], "rare": ["".join(rng.choices("mnopqrstuv", k=6)) for _ in range(60)]}
+    rows = [(i, " ".join(rng.choices(words[lang], k=30)), lang) for i in range(4000) for lang in ["rare" if i % 500 == 3 else "hot"]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for name, most in (("WORDS", 400), ("GRAMS", 400), ("LEAST_ROWS", 20), ("LEAST_ITEMS", 100)):
+        monkeypatch.setattr(f"casework.llm.language.{name}", most, raising=False)
+    model = language.fit(docs, F.col("doc_id") % 1000 < 500, rows=100)
+    assert model.langs == ["hot", "rare"]
+    found = language.identify(docs, model).where("doc_id % 1000 >= 500 and (doc_id < 1000 or lang = 'rare')")
+    assert found.where("lang != lang_pred").count() == 0 and found.where("lang = 'rare'").count() == 4
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang")
     found = QUERIES["op3_language_id"](spark, SMALL).join(docs, "doc_id").where("held_out")
