@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -110,21 +111,19 @@ def pack(
 
     Columns: key, piece, start, length, ids_crc32, sequence_id, offset. Each text is its ids and
     ``end_id``; a null or empty text is ``end_id`` alone. The default document and attention capacities
-    are those that no sequence of ``size`` tokens can pass; set lower ones to bind. A single piece whose
-    own cost passes ``attention`` cannot be placed and is an error.
+    are those that no sequence of ``size`` tokens can pass; set lower ones to bind. Pieces are cut so
+    that none costs more than ``attention`` alone; one below 1 is an error.
 
     Pieces are dealt by a hash of key, piece and ids into groups of about ``ROWS_PER_GROUP`` input rows;
     each group is packed on its own, from lengths alone, so no task grows with the table and a hot
     source is spread. The price is about one half-filled sequence per group. Repeated rows are packed
     each; null keys stay null; further columns are ignored; an empty table gives no rows.
     """
-    if attention < size * size:
-        docs_limit = "a piece's squared length may not pass the attention capacity"
-        size = int(min(size, attention**0.5))
-        if size < 1:
-            raise ValueError(docs_limit)
+    longest = size if attention >= size * size else isqrt(int(attention))
+    if longest < 1:
+        raise ValueError("a piece's squared length may not pass the attention capacity")
     groups = max(1, -(-docs.count() // ROWS_PER_GROUP))
-    cut = pieces(docs, size, end_id, path, key, text)
+    cut = pieces(docs, longest, end_id, path, key, text)
     cut = cut.withColumn("_group", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(groups)))
 
     def place(table: pa.Table) -> pa.Table:

@@ -76,6 +76,21 @@ def test_packing_round_trip(spark, library, odd_texts, no_docs):
     assert pack(no_docs).count() == 0
 
 
+def test_attention_binds_beside_the_token_capacity(spark):
+    def costs(n, attention):
+        rows = [(i, "word " * n) for i in range(4)]
+        found = pack(spark.createDataFrame(rows, "doc_id long, text string"), attention=attention).collect()
+        sequences = defaultdict(list)
+        for r in found:
+            sequences[r["sequence_id"]].append(r["length"])
+        return list(sequences.values())
+
+    long = costs(489, 700 * 700)  # pieces of about 490 tokens: two fit by tokens and by cost
+    assert len(long) == 2 and all(sum(x) > 700 for x in long)
+    tight = costs(489, 600 * 600)  # two fit by tokens, not by cost
+    assert len(tight) == 4 and all(sum(n * n for n in x) <= 600 * 600 for x in tight)
+
+
 @pytest.mark.parametrize("select", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(select):
     lengths = np.random.default_rng(1).integers(1, 101, 700)
