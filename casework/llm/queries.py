@@ -12,6 +12,7 @@ from casework.llm.hard_negatives import hard_negatives
 from casework.llm.mixing import mix
 from casework.llm.packing import pack
 from casework.llm.passages import digests, repeated_spans
+from casework.llm.periodic_runs import periodic_runs, repeated_tails, run_digests
 from casework.llm.sampling import remainder
 from casework.llm.simhash import near_duplicates
 from casework.llm.token_counts import token_counts
@@ -81,6 +82,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"), label)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(repeated_tails(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mixing": op9_source_mixing,
     "op10_warc": op10_warc,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {

@@ -78,7 +78,7 @@ def test_odd_rows(spark):
     rows = [
         (0, 1, [1.0, 0.0]), (100, 1, [1.0, 0.0]), (1, 1, [0.9, 0.0]), (2, 2, [0.8, 0.0]), (2, 2, [0.8, 0.0]), (3, None, [1.0, 0.0]),
         (4, 2, None), (5, 2, [nan, 1.0]), (6, 2, [inf, 1.0]), (7, 2, [None, 1.0]), (8, 2, [1.0]), (9, 2, []), (None, 2, [0.9, 0.0]),
-        (10, 2, [0.75, 0.5]), (200, 3, [0.0, 1e15]), (11, 3, [0.0, 2e15]), (12, 2, [0.0, 1.9e15]), (300, 4, [-1.0, 0.0]), (13, 2, [1e308, 0.0]),
+        (10, 2, [0.75, 0.0]), (200, 3, [0.0, 1e15]), (11, 3, [0.0, 2e15]), (12, 2, [0.0, 1.9e15]), (300, 4, [-1.0, 0.0]), (13, 2, [1e308, 0.0]),
     ]
     df = spark.createDataFrame([(i, lab, v, "x", 1, 0.5) for i, lab, v in rows], SCHEMA)
     found = sorted(tuple(r) for r in hard_negatives(df).collect())
