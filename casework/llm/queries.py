@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casework.llm import language
+from casework.llm import quality as good
 from casework.llm import toxicity as toxic
 from casework.llm.embeddings import near_vectors
 from casework.llm.hard_negatives import hard_negatives
@@ -86,6 +87,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(repeated_tails(table(spark, sf_dir, "documents"))))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 5) == 0
+    model = good.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    held_out = F.coalesce(held_out, F.lit(False)).alias("held_out")
+    return good.quality(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -99,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_quality": op13_quality,
 }
 
 ORACLES: dict[str, str] = {
