@@ -11,7 +11,7 @@ from casework.llm.sampling import STEPS, bounded
 from casework.session import remove, written
 
 #: Labelled rows that the model is fitted on at most, about; the share of them kept for calibration.
-FIT_ROWS, CALIBRATION = 20_000, 0.25
+FIT_ROWS, CALIBRATION = 16_000, 0.25
 #: Texts of each label that calibration needs; where it would have fewer, all texts serve both steps.
 LEAST_APART = 8
 #: Places that n-grams are hashed to; n-grams in fewer taught texts than LEAST_TEXTS are left out; smoothing of counts.
@@ -22,6 +22,8 @@ BYTES, WORDS, SHAPES = (1, 2, 3), (1, 2), (1, 2, 3)
 COST, PASSES, ENOUGH = 1.0, 30, 1e-3
 #: Bytes of a text that are read at once, up to a blank; n-grams do not go across.
 BLOCK = 1 << 20
+#: Texts whose n-grams a task holds at once.
+TEXTS = 512
 PARTS = 8
 
 _RNG = np.random.default_rng(13)
@@ -112,36 +114,34 @@ def log_ratios(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
     return np.where(good + bad >= LEAST_TEXTS, ratio, 0.0)
 
 
-def scaled(places: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places with a ratio and the values there: ratios as a vector of length 1."""
-    values = ratios[places]
-    kept = values != 0
-    values = values[kept]
-    return places[kept], values / np.sqrt(np.square(values).sum()) if len(values) else values
+def dual_coordinate_descent(
+    rows: list[np.ndarray], signs: np.ndarray, ratios: np.ndarray, cost: np.ndarray, seed: int = 13
+) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights (times ratios), bias and dual variables of the linear model with least hinge loss.
 
-
-def dual_coordinate_descent(rows: list, signs: np.ndarray, size: int, cost: np.ndarray, seed: int = 13) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights, bias and dual variables of the linear model with least hinge loss.
-
-    ``rows`` are (places, values); ``signs`` are 1 and -1; ``cost`` bounds each row's dual variable. One variable
-    is solved exactly at a time, in a new order for each pass, until no projected gradient of a pass is above
-    ENOUGH or after PASSES passes. The bias is a weight of a constant 1.
+    ``rows`` are places: a row's vector has its places' ratios, scaled to length 1. ``signs`` are 1 and -1; ``cost``
+    bounds each row's dual variable. One variable is solved exactly at a time, in a new order for each pass, until
+    no projected gradient of a pass is above ENOUGH or after PASSES passes. The bias is a weight of a constant 1.
+    Weights are only ever needed times their ratio, so that is what is kept, and rows need no values.
     """
     rng = np.random.default_rng(seed)
-    weights, bias = np.zeros(size), 0.0
+    squares = np.square(ratios)
+    weights, bias = np.zeros(len(ratios)), 0.0
     dual = np.zeros(len(rows))
-    diagonal = np.array([float(v @ v) + 1.0 for _, v in rows])
+    lengths = np.array([float(squares[at].sum()) for at in rows])
+    shrink = np.where(lengths > 0, 1 / np.sqrt(np.where(lengths > 0, lengths, 1.0)), 0.0)
+    diagonal = np.where(lengths > 0, 2.0, 1.0)  # the squared length with the constant
     for _ in range(PASSES):
         worst = 0.0
         for i in rng.permutation(len(rows)):
-            at, values = rows[i]
-            gradient = signs[i] * (float(weights[at] @ values) + bias) - 1.0
+            at = rows[i]
+            gradient = signs[i] * (float(weights[at].sum()) * shrink[i] + bias) - 1.0
             if (dual[i] <= 0 and gradient >= 0) or (dual[i] >= cost[i] and gradient <= 0):
                 continue
             worst = max(worst, abs(gradient))
             new = min(max(dual[i] - gradient / diagonal[i], 0.0), cost[i])
             step = (new - dual[i]) * signs[i]
-            weights[at] += step * values
+            weights[at] += step * shrink[i] * squares[at]
             bias += step
             dual[i] = new
         if worst <= ENOUGH:
@@ -177,23 +177,21 @@ def sigmoid_fit(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 class QualityModel:
-    """Scaled weights by place, the bias and the calibrating curve; or one rate for all."""
+    """Weights times ratios by place, the bias and the calibrating curve; or one rate for all."""
 
     def __init__(self, ratios: np.ndarray | None, weights: np.ndarray | None, bias: float, curve: tuple[float, float], rate: float):
-        self.ratios, self.weights, self.bias, self.curve, self.rate = ratios, weights, bias, curve, rate
+        self.squares = None if ratios is None else np.square(ratios)
+        self.weights, self.bias, self.curve, self.rate = weights, bias, curve, rate
 
-    def margins(self, rows: list[np.ndarray]) -> np.ndarray:
-        out = np.full(len(rows), self.bias)
-        for i, places in enumerate(rows):
-            at, values = scaled(places, self.ratios)
-            out[i] += float(self.weights[at] @ values)
-        return out
+    def margin(self, places: np.ndarray) -> float:
+        length = float(self.squares[places].sum())
+        return self.bias + (float(self.weights[places].sum()) / np.sqrt(length) if length > 0 else 0.0)
 
-    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+    def score(self, places: np.ndarray) -> float:
         if self.weights is None:
-            return np.full(len(rows), self.rate)
+            return self.rate
         slope, offset = self.curve
-        return 1 / (1 + np.exp(-(slope * self.margins(rows) + offset)))
+        return float(1 / (1 + np.exp(-(slope * self.margin(places) + offset))))
 
 
 def fit(
@@ -222,10 +220,12 @@ def fit(
 
     def read(batches):
         reader = Reader()
-        for batch in batches:
-            found = [reader.places(x).astype(np.int32) for x in batch.column(0).to_pylist()]
-            columns = [batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.int32()))]
-            yield pa.record_batch(columns, names=["label", "later", "places"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                found = [reader.places(x).astype(np.int32) for x in batch.column(0).to_pylist()]
+                columns = [batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.int32()))]
+                yield pa.record_batch(columns, names=["label", "later", "places"])
 
     sample = sample.dropDuplicates(["digest", "size", "label"]).select("text", "label", later.alias("later"))
     sample, path = written(sample.mapInArrow(read, "label int, later boolean, places array<int>").coalesce(PARTS), "grams")
@@ -247,10 +247,10 @@ def fit(
     ratios = log_ratios(in_good, in_bad)
 
     def solve(table: pa.Table) -> pa.Table:
-        places = [np.asarray(x.values, np.int64) for x in table.column("places")]
+        places = [x.values.to_numpy() for x in table.column("places")]  # views, no copies
         signs = np.where(table.column("label").to_numpy() > 0, 1.0, -1.0)
         cost = COST * len(signs) / np.where(signs > 0, 2 * good, 2 * bad)
-        weights, bias, _ = dual_coordinate_descent([scaled(x, ratios) for x in places], signs, GRAMS, cost)
+        weights, bias, _ = dual_coordinate_descent(places, signs, ratios, cost)
         return pa.table({"weights": pa.array([weights.tobytes()]), "bias": [bias]})
 
     row = first.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(solve, "weights binary, bias double").first()
@@ -258,8 +258,8 @@ def fit(
 
     def margins(batches):
         for batch in batches:
-            places = [np.asarray(x, np.int64) for x in batch.column(0).to_pylist()]
-            yield pa.record_batch([pa.array(model.margins(places)), batch.column(1)], names=["margin", "label"])
+            found = [model.margin(x.values.to_numpy()) for x in batch.column(0)]
+            yield pa.record_batch([pa.array(found, pa.float64()), batch.column(1)], names=["margin", "label"])
 
     seen = rest.select("places", "label").mapInArrow(margins, "margin double, label int").collect()
     model.curve = sigmoid_fit(np.array([r["margin"] for r in seen]), np.array([r["label"] for r in seen], float))
@@ -279,8 +279,8 @@ def quality(docs: DataFrame, model: QualityModel, least: float = 0.3, key: str =
     def run(batches):
         reader = Reader()
         for batch in batches:
-            scores = shared.value.scores([reader.places(x) for x in batch.column(1).to_pylist()])
-            yield pa.record_batch([batch.column(0), pa.array(scores)], names=[key, "score"])
+            scores = [shared.value.score(reader.places(x)) for x in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], names=[key, "score"])
 
     kind = docs.schema[key].dataType.simpleString()
     scored = docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casework.llm import quality as module
-from casework.llm.quality import Reader, dual_coordinate_descent, fit, log_ratios, quality, scaled, sigmoid_fit
+from casework.llm.quality import Reader, dual_coordinate_descent, fit, log_ratios, quality, sigmoid_fit
 from casework.llm.queries import QUERIES
 from casework.llm.sampling import remainder
 from conftest import SMALL
@@ -54,24 +54,22 @@ def test_ratios():
     good, bad = np.array([8.0, 0, 1, 3]), np.array([0.0, 8, 1, 3])
     expected = np.log((good + 1) / 16) - np.log((bad + 1) / 16)
     assert log_ratios(good, bad).tolist() == np.where(good + bad >= 4, expected, 0).tolist()
-    at, values = scaled(np.array([0, 2, 1]), log_ratios(good, bad))
-    assert at.tolist() == [0, 1] and np.isclose(values @ values, 1) and values[0] == -values[1]
 
 
-def test_solver_finds_the_least_loss():
+def test_solver_finds_the_least_loss(monkeypatch):
+    monkeypatch.setattr(module, "PASSES", 5000)
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(60, 4))
-    signs = np.where(x[:, 0] + rng.normal(size=60) > 0.3, 1.0, -1.0)
+    ratios = np.append(rng.normal(size=12), 0.0)
+    has = rng.random((60, 13)) < 0.4
+    has[0] = False  # a row without n-grams has the bias only
+    x = has * ratios
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    signs = np.where(x[:, 0] + rng.normal(size=60) * 0.3 > 0.1, 1.0, -1.0)
     cost = np.where(signs > 0, 0.5, 0.8)
-    rows = [(np.arange(4), v) for v in x]
-    old = module.PASSES
-    module.PASSES = 5000
-    try:
-        weights, bias, dual = dual_coordinate_descent(rows, signs, 4, cost)
-    finally:
-        module.PASSES = old
+    scaled, bias, dual = dual_coordinate_descent([np.flatnonzero(h) for h in has], signs, ratios, cost)
     assert (dual >= 0).all() and (dual <= cost).all()
-    assert np.allclose(weights, (dual * signs) @ x) and np.isclose(bias, dual @ signs)
+    weights = (dual * signs) @ x
+    assert np.allclose(scaled, weights * ratios) and np.isclose(bias, dual @ signs)
     # without a gap between the primal and the dual value both are at their best
     loss = np.maximum(0, 1 - signs * (x @ weights + bias))
     norm = weights @ weights + bias * bias
