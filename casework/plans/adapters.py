@@ -118,6 +118,25 @@ def literal_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases(spark, sf_dir).drop("EVIDENCES_JSON", "DIFFERENTIAL_JSON")
 
 
+def printed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases whose lists are as Python prints them: lists, tuples, names, ``None`` and last commas by key."""
+    ranks = "filter(sequence(0L, (o_orderkey + o_custkey) % 8), j -> j > 0)"
+    name, one = f"concat(chr(39), {_nation('j')}, chr(39))", "', 0.'"
+    item = f"""case (o_custkey + j) % 5 when 0 then concat('[', {name}, {one}, j, ']') when 1 then concat('(', {name}, {one}, j, ')')
+        when 2 then {name} when 3 then 'None' else concat('[', {name}, ',]') end"""
+    comma = "if(o_orderkey % 2 = 0 and (o_orderkey + o_custkey) % 8 > 0, ',', '')"
+    listed = f"concat('[', array_join(transform({ranks}, j -> {item}), ', '), {comma}, ']')"
+    codes = "filter(sequence(0L, o_orderkey % 7), i -> i > 0)"
+    code = f"if((o_orderkey + i) % 4 = 0, 'True', concat(chr(39), 'E_', {_part('i')}, chr(39)))"
+    evidences = f"concat('(', array_join(transform({codes}, i -> {code}), ', '), if(o_orderkey % 7 > 0, ',', ''), ')')"
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("case_id"),
+        case_columns()["PATHOLOGY"].alias("PATHOLOGY"),
+        F.expr(f"if(o_orderkey % 43 = 42, '(1', {evidences})").alias("EVIDENCES"),
+        F.expr(f"if(o_orderkey % 41 = 40, '[(1]', {listed})").alias("DIFFERENTIAL_DIAGNOSIS"),
+    )
+
+
 def gap_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases with missing labels, sexes and evidences."""
     key = F.col("case_id")

@@ -54,6 +54,17 @@ DX_TEXT = (
 )
 ONE, TWO = "chr(39)", "chr(34)"
 
+# The items behind the printed lists: what kind each is, and its name.
+PRINTED = f"""
+printed AS (
+  SELECT o_orderkey AS k, o_orderkey % 43 <> 42 AS ev_ok, o_orderkey % 41 <> 40 AS dx_ok,
+    list_transform(range(1, k % 7 + 1), lambda i: CASE WHEN (k + i) % 4 = 0 THEN 'True' ELSE 'E_' || ((k * 7 + o_custkey * i) % 2200) END) AS ev,
+    list_transform(range(1, (k + o_custkey) % 8 + 1),
+      lambda j: {{'kind': (o_custkey + j) % 5, 'name': 'NATION_' || ((k * 3 + o_custkey + j * 7) % 25)}}) AS dx,
+    CASE WHEN k % 3 = 0 THEN 'NATION_' || (o_custkey % 25) ELSE 'NATION_' || ((k * 3 + o_custkey + 7) % 25) END AS truth
+  FROM orders
+)"""
+
 GAPS = f"""{CASES},
 gaps AS (
   SELECT case_id, CASE WHEN k % 19 <> 0 THEN truth END AS truth,
@@ -370,6 +381,19 @@ SELECT case_id, n - 1 AS pos, dx[n] AS disease, substr(px[n], 3) || '.00%' AS pr
 FROM (SELECT *, unnest(range(1, least(len(dx), 3) + 1)) AS n FROM cases)""",
     "d5_clean_differential": f"""WITH {CASES}
 SELECT case_id, CASE WHEN dx_ok THEN array_to_string(dx, '|') ELSE 'not a list' END AS names FROM cases""",
+    "d2_printed_list": f"""WITH {PRINTED}
+SELECT k AS case_id, CASE WHEN ev_ok THEN len(ev) END::bigint AS n,
+  CASE WHEN ev_ok THEN array_to_string(ev, '|') END AS codes FROM printed""",
+    "d4b_printed_differential": f"""WITH {PRINTED},
+named AS (
+  SELECT *, CASE WHEN dx_ok THEN list_transform(list_filter(dx, lambda x: x.kind IN (0, 2)), lambda x: x.name) ELSE [] END AS names
+  FROM printed
+)
+SELECT k AS case_id, array_to_string(CASE WHEN list_contains(names, truth) THEN names ELSE list_append(names, truth) END, '|') AS names,
+  NOT dx_ok AS unreadable FROM named""",
+    "d5_printed_differential": f"""WITH {PRINTED}
+SELECT k AS case_id, CASE WHEN dx_ok THEN array_to_string(list_transform(dx, lambda x: CASE WHEN x.kind = 3 THEN 'None' ELSE x.name END), '|')
+  ELSE '[(1]' END AS names FROM printed""",
     "d6a_decode_name": f"""WITH {CASES}, {CODES}
 SELECT case_id, initial AS "INITIAL_EVIDENCE",
   coalesce(CASE WHEN plain THEN p_name END, name, initial) AS complaint

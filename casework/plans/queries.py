@@ -228,6 +228,30 @@ def d5_clean_differential(spark, sf_dir):
     return df.select("case_id", _joined(names).alias("names"))
 
 
+@query
+def d2_printed_list(spark, sf_dir):
+    """D2 on tuples with ``True`` and last commas."""
+    codes = lists.parse_list(F.col("EVIDENCES"), "literal")
+    df = adapters.printed_cases(spark, sf_dir).select("case_id", codes.alias("l"))
+    return df.select("case_id", F.size("l").cast("long").alias("n"), _joined(F.col("l")).alias("codes"))
+
+
+@query
+def d4b_printed_differential(spark, sf_dir):
+    """D4b on lists, tuples, names and ``None`` in one cell."""
+    df = adapters.printed_cases(spark, sf_dir)
+    items = lists.differential_items(F.col("DIFFERENTIAL_DIAGNOSIS"), "literal")
+    names = lists.differential_names(items, F.col("PATHOLOGY"))
+    return df.select("case_id", _joined(names).alias("names"), items.isNull().alias("unreadable"))
+
+
+@query
+def d5_printed_differential(spark, sf_dir):
+    """D5 on the same cells."""
+    names = lists.clean_differential(F.col("DIFFERENTIAL_DIAGNOSIS"))
+    return adapters.printed_cases(spark, sf_dir).select("case_id", _joined(names).alias("names"))
+
+
 @query
 def d6a_decode_name(spark, sf_dir):
     cases = adapters.cases(spark, sf_dir).select("case_id", "INITIAL_EVIDENCE")

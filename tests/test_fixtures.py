@@ -1,5 +1,6 @@
 """Small tables with expected values worked out by hand, one test per trap."""
 
+import ast
 import json
 import math
 
@@ -144,6 +145,58 @@ def test_list_modes(mapped):
         lists.parse_list(X, "other")
 
 
+PRINTED = [
+    "[('Flu', 0.4), ['Cold', 0.2], 'Gout', None, True, 7]", "[('Flu',), ()]", "('Flu', ['Cold', 1])", "['Flu',]", "[['Flu', 0.4],]",
+    "[('Flu')]", "['a, (b', ('c]', 1)]", "['it\\'s', \"say \\\\ \\\"x\\\" \", '\\x41\\u00e9\\n\\q']", "[(1, 2), [None, 3], [['a'], 1]]",
+    "[(]", "[)", "('Flu']", "[,]", "(,)", "['a' 'b']", "[1,,2]", "['a'] ['b']", "{'a': 1}", "[a]", "[01]", "[1.5, -2, +3, .5, 1e5]", "()", "[()]",
+    " ['x', ('y',)]", "['x']\n", "[null, 'x']", "['\t', ('\xe9\U0001f600', 1)]", "('a', 'b'), ('c',)", "['unclosed", "5", "''", "[True, ]", "((('a'),),)",
+]
+
+
+def python_value(text):
+    try:
+        value = ast.literal_eval(text.lstrip(" \t"))
+    except (ValueError, SyntaxError):
+        return None
+    return list(value) if isinstance(value, (list, tuple)) else None
+
+
+# Python reads these; a joined string, and a tuple without its parentheses, stay unreadable here.
+NOT_READ = {"['a' 'b']", "('a', 'b'), ('c',)"}
+
+
+def test_printed_lists_agree_with_python(mapped):
+    expected = {t: None if t in NOT_READ else python_value(t) for t in PRINTED}
+    found = dict(zip(PRINTED, mapped(PRINTED, lists.parse_list(X, "literal"))))
+    # lists in lists are printed only where they hold scalars
+    flat = {t: v for t, v in expected.items() if not (v and any(isinstance(x, list) and any(isinstance(y, list) for y in x) for x in v))}
+    same = {"+3": "3", ".5": "0.5", "1e5": "100000.0"}  # numbers keep their spelling
+    assert {t: v and [same.get(x, x) for x in v] for t, v in found.items() if t in flat} == {t: v if v is None else [*map(str, v)] for t, v in flat.items()}
+
+    def names(items):
+        kept = [x[0] if isinstance(x, list) else x for x in items or [] if isinstance(x, str) or isinstance(x, list) and len(x) > 1]
+        return [str(x) if not isinstance(x, list) else x for x in kept] + ["Flu"] * ("Flu" not in kept)
+
+    truth = mapped(PRINTED, lists.differential_names(lists.differential_items(X, "literal"), F.lit("Flu")))
+    nested = {t for t in PRINTED if t not in flat}
+    assert {t: n for t, n in zip(PRINTED, truth) if t not in nested} == {t: names(v) for t, v in expected.items() if t not in nested}
+
+    def clean(items):
+        return [str(x[0]) if isinstance(x, (list, tuple)) and x else str(x) for x in items]
+
+    cleaned = dict(zip(PRINTED, mapped(PRINTED, lists.clean_differential(X))))
+    for t, v in expected.items():
+        if t not in nested and t != "((('a'),),)":  # the first part is a tuple there
+            assert [same.get(x, x) for x in cleaned[t]] == ([t] if v is None else clean(v)), t
+
+
+def test_very_long_printed_lists(mapped):
+    many = "[" + ", ".join(f"('a\\'{i}', {i})" for i in range(20_000)) + ", 'x' ]"
+    quoted = "['" + "\\'" * 60_000 + "', (1,)]"
+    assert mapped([many, quoted], F.size(lists.parse_list(X, "literal"))) == [20_001, 2]
+    assert mapped([quoted], F.length(F.get(lists.parse_list(X, "literal"), F.lit(0)))) == [60_000]
+
+
 def test_differentials(mapped):
     values = [
         "[['Flu', 0.4], ['Cold', 1]]", "['Flu','Cold']", "[['Flu'],'Cold']", "[[],'x']", "oops",
