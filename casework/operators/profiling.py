@@ -8,6 +8,7 @@ from casework import fixed_values as fixed
 from casework.functions.lists import normalise_evidence
 from casework.functions.text import is_blank, strip, substring_occurrences, word_count
 from casework.operators.dimension import join_groups
+from casework.operators.quantiles import exact_quantiles
 from casework.operators.ranking import first_rows, quantile, ranked_values
 from casework.operators.totals import totals
 from casework.session import checkpoint
@@ -135,8 +136,8 @@ def evidence_counts(
 def numeric_stats(
     df: DataFrame, column: str, by: list[str] = (), approx: bool = False
 ) -> DataFrame:
-    """Q6: mean, median, smallest and largest value, NULLs left out. The exact median is taken from
-    counted, range-partitioned values; ``approx`` takes Spark's sketch in one pass."""
+    """Q6: mean, median, smallest and largest value, NULLs left out. The exact median is counted between the
+    bounds that a sketch gives it; ``approx`` takes Spark's sketch in one pass."""
     by = list(by)
     if approx:
         return df.groupBy(*by).agg(
@@ -145,13 +146,13 @@ def numeric_stats(
             F.min(column).alias("min"),
             F.max(column).alias("max"),
         )
-    v, n = F.col(column), F.col("n")
-    return ranked_values(df.select(*by, column), column, by).groupBy(*by).agg(
-        (F.sum(v * n) / F.sum(n)).alias("mean"),
-        quantile(column, 0.5).alias("median"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-    )
+    simple = [F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max")]
+    found = exact_quantiles(df.select(*by, column), column, by, {"median": 0.5}, simple)
+    found = found.select(*by, "mean", "median", "min", "max")
+    if by:
+        return found
+    # One row for the whole, also where there is nothing in it.
+    return found.agg(*[F.first(c).alias(c) for c in found.columns])
 
 
 def category_share(df: DataFrame, column: str, denominator: str = "all") -> DataFrame:
@@ -459,22 +460,19 @@ def box_summary(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Q18: quartiles, whiskers at the furthest value within 1.5 times the box, and the number of values
     beyond them, per group."""
     by = list(by)
-    values = ranked_values(df.select(*by, column), column, by)
-    quartiles = values.groupBy(*by).agg(
-        quantile(column, 0.25).alias("q1"),
-        quantile(column, 0.5).alias("median"),
-        quantile(column, 0.75).alias("q3"),
-    )
+    values = df.select(*by, column).where(F.col(column).isNotNull())
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    quartiles = exact_quantiles(values, column, by, shares).drop("total")
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    v, n = F.col(column), F.col("n")
+    v = F.col(column)
     low_side = v >= F.col("q1") - reach
     high_side = v <= F.col("q3") + reach
-    boxed = join_groups(values, quartiles, by)
+    boxed = join_groups(values, checkpoint(quartiles), by)
     return boxed.groupBy(*by, "q1", "median", "q3").agg(
         F.least(F.min(F.when(low_side, v)), F.col("q1")).alias("whisker_low"),
         F.greatest(F.max(F.when(high_side, v)), F.col("q3")).alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~low_side | ~high_side, n)), F.lit(0)).alias("outliers"),
-        F.sum("n").alias("rows"),
+        F.count_if(~low_side | ~high_side).alias("outliers"),
+        F.count(F.lit(1)).alias("rows"),
     )
 
 

@@ -54,6 +54,11 @@ def ranked_values(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     the group's ``total``. Equal values are counted before the shuffle, so a hot value is one row."""
     by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    return ranked_counts(counts, value, by)
+
+
+def ranked_counts(counts: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``ranked_values`` of values that are counted already: one row with ``n`` for each group and value."""
     ranged = counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id())
     cut = checkpoint(ranged)
     sizes = cut.groupBy(*by, "_part").agg(F.sum("n").alias("_size"))

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casework.operators.ranking import first_rows, first_rows_per_group, ranked_rows
+from casework.operators.selection import rows_at
 
 # Hex digits of the hash by which rows are counted, and numbered apart from each other.
 CUT_DIGITS = 4
@@ -56,11 +57,15 @@ def take_first(df: DataFrame, n: int, order_key: str) -> DataFrame:
 
 
 def take_positions(df: DataFrame, order_key: str, positions: list[int]) -> DataFrame:
-    """The rows at the listed positions (from 0) by ``order_key``; those out of range are skipped."""
-    wanted = ranked_rows(df.select(order_key), [order_key]).select(
-        order_key, (F.col("rank") - 1).alias("position")
-    )
-    wanted = wanted.where(F.col("position").isin(list(positions)))
+    """The rows at the listed positions (from 0) by ``order_key``; those out of range are skipped.
+
+    Counts narrow down where they are; keys of other types than numbers, times and texts are ranked whole.
+    """
+    keys = df.select(order_key)
+    wanted = rows_at(keys, [order_key], list(positions))
+    if wanted is None:
+        ranks = ranked_rows(keys, [order_key]).select(order_key, (F.col("rank") - 1).alias("position"))
+        wanted = ranks.where(F.col("position").isin(list(positions)))
     return df.join(F.broadcast(wanted), order_key)  # at most len(positions) rows
 
 
@@ -93,12 +98,19 @@ def filter_groups(df: DataFrame, group: str, names: list[str] | None = None) ->
 
 def quantile_exemplars(df: DataFrame, metric: str, order_key: str) -> DataFrame:
     """P5: the rows at n//4, n//2 and 3n//4 by ``metric``, ties by ``order_key``. Adds ``exemplar``."""
-    ranks = ranked_rows(df.select(order_key, metric), [metric, order_key])
-    size, at = F.col("group_size"), F.col("rank") - 1
-    names = F.array(
-        F.when(at == F.floor(size / 4), F.lit("short")),
-        F.when(at == F.floor(size / 2), F.lit("medium")),
-        F.when(at == F.floor(size * 3 / 4), F.lit("long")),
-    )
-    picked = ranks.select(order_key, F.explode(F.array_compact(names)).alias("exemplar"))
+    names: dict[int, list[str]] = {}
+
+    def positions(n: int) -> list[int]:
+        for name, at in (("short", n // 4), ("medium", n // 2), ("long", n * 3 // 4)):
+            names.setdefault(at, []).append(name)
+        return list(names)
+
+    keys = df.select(metric, order_key)
+    picked = rows_at(keys, [metric, order_key], positions)
+    if picked is None:
+        ranks = ranked_rows(keys, [metric, order_key])
+        positions(ranks.count())
+        picked = ranks.withColumn("position", F.col("rank") - 1).where(F.col("position").isin(list(names)))
+    named = df.sparkSession.createDataFrame([(at, n) for at, some in names.items() for n in some], "position long, exemplar string")
+    picked = picked.join(F.broadcast(named), "position").select(order_key, "exemplar")
     return df.join(F.broadcast(picked), order_key)  # three rows at most
