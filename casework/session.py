@@ -1,6 +1,7 @@
 """Session settings, the shared folder and tables written to it."""
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is the one the cluster names in ``spark.checkpoint.dir``; where none is named, a folder of the
-    warehouse, which is shared as well. It is never a machine's own temporary folder.
+    warehouse. Off local mode that must not be a folder of the driver's machine: then this is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_casework"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.sparkContext.master.startswith("local") and re.match(r"(file:|(?![A-Za-z][A-Za-z0-9+.-]*:))", warehouse):
+        raise ValueError("name a folder that the driver and all executors share in spark.checkpoint.dir")
+    return warehouse.rstrip("/") + "/_casework"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
