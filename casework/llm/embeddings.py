@@ -113,9 +113,8 @@ def _links(classes: DataFrame, dim: int, cosine: float, rows: int, reach: float
             own = quantiser.value.nearest(unit_of(batch.column(1)))
             yield pa.record_batch([*batch.columns, pa.array(own.astype(np.int32))], names=["node", "v", "copies", "list"])
 
-    listed = classes.select("node", "v", "copies").mapInArrow(
-        own_list, "node long, v array<float>, copies long, list int"
-    )
+    kind = classes.schema["v"].dataType.simpleString()
+    listed = classes.select("node", "v", "copies").mapInArrow(own_list, f"node long, v {kind}, copies long, list int")
     sizes = dict(listed.groupBy("list").count().collect())  # at most MOST_LISTS rows
     chunks = np.array([max(1, -(-sizes.get(i, 0) // CHUNK)) for i in range(lists)])
 
@@ -178,7 +177,7 @@ def _links(classes: DataFrame, dim: int, cosine: float, rows: int, reach: float
         )
 
     dealt = listed.mapInArrow(
-        deal, "at int, chunk int, member boolean, node long, v array<float>, copies long, list int"
+        deal, f"at int, chunk int, member boolean, node long, v {kind}, copies long, list int"
     )
     return dealt.groupBy("at", "chunk").applyInArrow(search, "a long, b long, n long")
 
@@ -205,7 +204,9 @@ def near_vectors(
     A list with many vectors is cut into chunks of CHUNK members. Counting the links of a group whose
     vectors all differ takes the square of its size in comparisons, but never in rows.
     """
-    rows_ = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    given = vectors.schema[vector].dataType.simpleString()
+    kind = given if given in ("array<float>", "array<double>") else "array<double>"  # floats are half the size
+    rows_ = vectors.select(F.col(key).alias("id"), F.col(vector).cast(kind).alias("v"))
     valid = whole("v") & F.col("id").isNotNull() & F.exists("v", lambda x: x != 0)
     used = rows_.where(valid)
     classes = used.groupBy("v").agg(F.min("id").cast("long").alias("node"), F.count("*").alias("copies"))

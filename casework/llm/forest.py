@@ -30,30 +30,3 @@ class Forest:
         """One edge for each row that is not the smallest of its tree: fewer edges than rows."""
         child = np.flatnonzero(self.label != np.arange(len(self.label)))
         return child, self.label[child]
-
-
-class PairForest(Forest):
-    """A forest that keeps the linked pairs themselves: one for each join of two trees."""
-
-    def __init__(self, n: int):
-        super().__init__(n)
-        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            x, y = self.label[a], self.label[b]
-            apart = np.flatnonzero(x != y)
-            if not len(apart):
-                return
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            # Each larger root joins its smallest partner, by the first pair that links the two.
-            order = np.lexsort((np.minimum(x, y), np.maximum(x, y)))
-            root = np.maximum(x, y)[order]
-            first = order[np.concatenate([[True], root[1:] != root[:-1]])]
-            self.pairs.append((a[first], b[first]))
-            super().link(np.maximum(x, y)[first], np.minimum(x, y)[first])
-
-    def edges(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.pairs:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return tuple(np.concatenate(side) for side in zip(*self.pairs, strict=True))

@@ -26,7 +26,9 @@ LONGEST = 5
 HELD, REMEMBERED, WORD_LETTERS = 200_000, 200_000, 64
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Characters that count as a part of a word for the regex engine without being a letter: powers, fractions, numerals.
+_NO_LETTERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NO_LETTERS}]+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -170,7 +172,7 @@ def fit(
     even = max(1, len(counts))
     sample = bounded_each(labelled, key, lang, counts, max(LEAST_ROWS, rows // even)).select(text, lang)
     schema = "item string, lang string, n long"
-    words = sample.mapInArrow(_count_words, schema).groupBy("item", "lang").agg(F.sum("n").alias("n"))
+    words, _ = written(sample.mapInArrow(_count_words, schema).groupBy("item", "lang").agg(F.sum("n").alias("n")), "words")
     grams = words.mapInArrow(_count_grams, schema)
 
     def commonest(items: DataFrame, most: int) -> list:
@@ -193,8 +195,8 @@ def fit(
 def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score`` for every whole text; no row moves.
 
-    A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing was
-    learned. Equal scores go to the language that comes first by name. A text whose letters are all
+    A null text, or one without a letter (``str.isalpha``), is ``und`` with score 0; so is every text if nothing was
+    learned. Texts of any length are read whole; a run of over WORD_LETTERS letters is read in parts. Equal scores go to the language that comes first by name. A text whose letters are all
     unknown scores alike for every language. Columns of those two names in ``docs`` are replaced.
     """
     docs = docs.drop("lang_pred", "score")

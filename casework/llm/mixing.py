@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casework.llm.names import set_apart
 from casework.session import scratch_path
 
 #: Slots of a period, for schedules that are to repeat.
@@ -134,6 +135,14 @@ def mix(
     driver holds a count for each source and PLANNED blocks, and takes a step for each block.
     """
     docs = docs.drop("mix_block", "mix_slot", "mix_place", "in_mix")
+    docs, given = set_apart(docs, ["_name", "_none", "_hash", "_range", "_within", "_before", "_number", "_n"])
+    key, source = given.get(key, key), given.get(source, source)
+    mixed = _mixed(docs, weights, temperature, block, seed, period, key, source)
+    return mixed.withColumnsRenamed({new: old for old, new in given.items()})
+
+
+def _mixed(docs, weights, temperature, block, seed, period, key, source) -> DataFrame:
+    """``mix`` of a table without columns of the names that it works with."""
     counts = dict(map(tuple, docs.groupBy(source).count().collect()))
     if weights is None:
         weights = {s: n**temperature for s, n in counts.items()}

@@ -16,33 +16,39 @@ from casework.llm.token_counts import vocabulary
 ROWS_PER_GROUP = 4_096
 
 
-def pieces(docs: DataFrame, size: int, end_id: int, path: str | None, key: str, text: str) -> DataFrame:
-    """Token pieces of whole texts: at most ``size`` ids each, only the first of a text may be shorter."""
+def pieces(
+    docs: DataFrame, size: int, end_id: int, path: str | None, key: str, text: str, place: str | None = None
+) -> DataFrame:
+    """Token pieces of whole texts: at most ``size`` ids each, only the first of a text may be shorter.
+
+    ``place`` is a whole-number column that goes with them as ``_place``.
+    """
 
     def cut(batches):
         words = vocabulary(path)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            out = ([], [], [], [], [])
-            keys = batch.column(0).to_pylist()
-            for name, ids in zip(keys, words.encode(batch.column(1).to_pylist()), strict=True):
+            out = ([], [], [], [], [], [])
+            keys, places = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for name, ids, at in zip(keys, words.encode(batch.column(1).to_pylist()), places, strict=True):
                 ids = memoryview(ids + end)
                 total = len(ids) // 4
                 first = total % size or size
                 bounds = [0, *range(first, total + 1, size)]
                 for number, (start, stop) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                    row = name, number, start, stop - start, zlib.crc32(ids[start * 4 : stop * 4])
+                    row = name, number, start, stop - start, zlib.crc32(ids[start * 4 : stop * 4]), at
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-            kinds = batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()
+            kinds = batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()
             yield pa.record_batch(
                 [pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)],
-                names=[key, "piece", "start", "length", "ids_crc32"],
+                names=[key, "piece", "start", "length", "ids_crc32", "_place"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long"
-    return docs.select(key, text).mapInArrow(cut, schema)
+    schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, _place long"
+    at = F.col(place).cast("long") if place else F.lit(None).cast("long")
+    return docs.select(F.col(key), F.col(text), at.alias("_place")).mapInArrow(cut, schema)
 
 
 def best_fit(
@@ -106,6 +112,8 @@ def pack(
     path: str | None = None,
     key: str = "doc_id",
     text: str = "text",
+    place: str | None = None,
+    stretch: int = 256,
 ) -> DataFrame:
     """Pieces of all texts with their place in sequences of at most ``size`` tokens.
 
@@ -117,25 +125,40 @@ def pack(
     Pieces are dealt by a hash of key, piece and ids into groups of about ``ROWS_PER_GROUP`` input rows;
     each group is packed on its own, from lengths alone, so no task grows with the table and a hot
     source is spread. The price is about one half-filled sequence per group. Repeated rows are packed
-    each; null keys stay null; further columns are ignored; an empty table gives no rows.
+    each; null keys stay null; further columns are ignored; an empty table gives no rows. Texts of any length are
+    cut whole. Pieces of one length go by key, piece and ids, so the result does not depend on the order of rows.
+
+    With ``place``, a whole-number column such as a mixture's slot, a group holds the pieces of a stretch of
+    ``stretch`` places instead, so sequences in the order of their ids follow the places; a stretch should hold a
+    few thousand rows. Sequences of a group are numbered by their first place.
     """
     longest = size if attention >= size * size else isqrt(int(attention))
     if longest < 1:
         raise ValueError("a piece's squared length may not pass the attention capacity")
     groups = max(1, -(-docs.count() // ROWS_PER_GROUP))
-    cut = pieces(docs, longest, end_id, path, key, text)
-    cut = cut.withColumn("_group", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(groups)))
-
-    def place(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+    cut = pieces(docs, longest, end_id, path, key, text, place)
+    if place:
+        group = F.floor(F.coalesce("_place", F.lit(0)) / stretch).cast("long")
+    else:
+        group = F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(groups))
+    cut = cut.withColumn("_group", group)
+
+    def fit(table: pa.Table) -> pa.Table:
+        order = [("length", "descending"), *((c, "ascending") for c in (key, "piece", "ids_crc32", "_place"))]
+        table = table.combine_chunks().sort_by(order).combine_chunks()
         lengths = table.column("length").to_numpy()
         sequence, offset = best_fit(lengths, size, documents, attention, select=select)
+        if place:
+            at = table.column("_place").fill_null(0).to_numpy()
+            first = np.full(sequence.max(initial=-1) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(first, sequence, at)
+            sequence = np.argsort(np.argsort(first, kind="stable"), kind="stable")[sequence]
         group = table.column("_group").to_numpy()
         return (
-            table.drop_columns(["_group"])
+            table.drop_columns(["_group", "_place"])
             .append_column("sequence_id", pa.array(group * 2**32 + sequence))
             .append_column("offset", pa.array(offset))
         )
 
-    schema = cut.drop("_group").schema.add("sequence_id", "long").add("offset", "long")
-    return cut.groupBy("_group").applyInArrow(place, schema)
+    schema = cut.drop("_group", "_place").schema.add("sequence_id", "long").add("offset", "long")
+    return cut.groupBy("_group").applyInArrow(fit, schema)

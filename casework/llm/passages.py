@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from casework.llm.collection_bwt import repeated_starts
+from casework.llm.names import free
 from casework.session import written
 
 #: Bytes of an anchor, and positions that are worked on at once.
@@ -248,10 +249,10 @@ def repeated_spans(docs: DataFrame, length: int = 200, key: str = "doc_id", text
     begun = begun.withColumn("_run", F.expr(f"sum(_new) {own} rows between unbounded preceding and current row)"))
     runs = begun.groupBy("text_id", "tag", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     spans = runs.groupBy("text_id", "tag").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    all_ = docs.select("*", ids[0].alias("_text_id"), ids[1].alias("_tag"))
-    same = (F.col("_text_id") == F.col("text_id")) & (F.col("_tag") == F.col("tag"))
+    own = free(docs, "text_id", "tag", "found")
     none = F.array().cast(spans.schema["spans"].dataType)
-    return all_.join(spans, same, "left").select(*docs.columns, F.coalesce("spans", none).alias("spans"))
+    all_ = docs.select("*", ids[0].alias(own[0]), ids[1].alias(own[1]))
+    return all_.join(spans.toDF(*own), own[:2], "left").select(*docs.columns, F.coalesce(own[2], none).alias("spans"))
 
 
 def kept_bytes(text: str | None, spans: list[dict]) -> bytes:

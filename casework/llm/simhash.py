@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,17 +9,13 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from casework.llm.components import components
-from casework.llm.forest import PairForest
-from casework.llm.gray_index import GrayIndex, gray_rank, hamming_links
+from casework.llm.gray_index import hamming_links
+from casework.llm.names import free
 from casework.session import written
 
 SEED = 42
 #: Shingles whose bits are added up at once.
 BLOCK = 1 << 16
-MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Of the wide fingerprint: lanes, documents that a task's node should hold, bits of a node's prefix, and
-#: share of the pairs at the asked similarity that the tables find.
-LANES, NODE, PREFIX, FOUND = 4, 512, (8, 24), 0.98
 
 
 def _shingles(text: str | None, words: int) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -35,46 +29,50 @@ def _shingles(text: str | None, words: int) -> tuple[bytes, np.ndarray, np.ndarr
     return joined, starts[: len(found) - words + 1], ends[words - 1 :]
 
 
-def shingle_set(text: str | None, words: int) -> list[int]:
-    """Distinct 64-bit hashes of the shingles that ``fingerprint`` is made of."""
-    joined, first, last = _shingles(text, words)
-    return [*{xxh64_intdigest(joined[i:j], SEED) for i, j in zip(first.tolist(), last.tolist(), strict=True)}]
-
-
-def fingerprint(text: str | None, words: int, lanes: int = 1) -> list[int]:
-    """The fingerprint of one text, in lanes of 64 bits: a bit is 1 if over half of its shingles' hashes set it.
+def fingerprint(text: str | None, words: int) -> int:
+    """The fingerprint of one text: a bit is 1 if over half of its shingles' hashes set it.
 
     A-Z are lower-cased; words are parted by blanks and control characters 9 to 13; a text of fewer words
-    than a shingle has is one shingle; a text without words (or null) has fingerprint 0. The first lane takes
-    the hashes themselves, each further one their next mixing.
+    than a shingle has is one shingle; a text without words (or null) has fingerprint 0.
     """
     joined, first, last = _shingles(text, words)
     if not len(first):
-        return [0] * lanes
-    total = np.zeros((lanes, 64), np.int64)
+        return 0
+    total = np.zeros(64, np.int64)
     for at in range(0, len(first), BLOCK):
         spans = zip(first[at : at + BLOCK].tolist(), last[at : at + BLOCK].tolist(), strict=True)
         hashes = np.array([xxh64_intdigest(joined[i:j], SEED) for i, j in spans], "<u8")
-        for lane in range(lanes):
-            if lane:
-                hashes = (hashes ^ (hashes >> np.uint64(29))) * MIX + np.uint64(lane)
-                hashes ^= hashes >> np.uint64(32)
-            ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            total[lane] += ones.sum(0, dtype=np.int64)
-    return np.packbits(total * 2 > len(first), axis=1, bitorder="little").view("<u8").ravel().tolist()
+        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(first), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, code long`` of every whole text; no row moves."""
+    """``key, code long, digest long`` (of the text itself) of every whole text; no row moves."""
 
     def run(batches):
         for batch in batches:
-            codes = [fingerprint(x, words)[0] for x in batch.column(1).to_pylist()]
-            yield pa.record_batch(
-                [batch.column(0), pa.array(np.array(codes, np.uint64).view(np.int64))], names=[key, "code"]
-            )
+            codes = [fingerprint(x, words) for x in batch.column(1).to_pylist()]
+            codes = pa.array(np.array(codes, np.uint64).view(np.int64))
+            yield pa.record_batch([batch.column(0), codes, batch.column(2)], names=["key", "code", "digest"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` long, code long")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("digest"))
+    return rows.mapInArrow(run, "key long, code long, digest long")
+
+
+def _grouped(docs: DataFrame, words: int, distance: int, key: str, text: str) -> DataFrame:
+    """``fingerprints`` with the ``component_id`` of each row."""
+    prints, _ = written(fingerprints(docs, words, key, text), "prints")
+    # A print is a node under its own name, whatever keys have it: a key with two texts links nothing.
+    nodes = prints.where("key is not null").groupBy("code").agg(F.min("key").alias("least"))
+    nodes, _ = written(nodes.select("code", F.col("code").alias("node"), "least"), "codes")
+    found = components(hamming_links(nodes, distance))
+    linked, _ = written(nodes.join(found, "node").select("code", "component", "least"), "linked")
+    # Prints without a link, the usual case, stand for themselves and need no grouping.
+    names = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = linked.join(names, "component").select("code", "component_id")
+    alone = nodes.join(linked, "code", "left_anti").select("code", F.col("least").alias("component_id"))
+    # One row for each code: a code with a third of all rows is a skewed join, which Spark splits.
+    return prints.join(named.unionAll(alone), "code", "left")
 
 
 def near_duplicates(
@@ -85,108 +83,31 @@ def near_duplicates(
     Links are transitive; ``component_id`` is the smallest key that links reach. Equal fingerprints are one
     node from the start, so copies cost one grouping whatever their number. ``key`` is an integer; rows
     with a null key get a fingerprint and a component of their fingerprint's links, null if no keyed row
-    is in it. Null and empty texts have fingerprint 0 and link like any other. Rows that repeat stay;
-    further columns are ignored; an empty table gives no rows.
+    has it. Null and empty texts have fingerprint 0 and link like any other. Rows that repeat stay, and texts that
+    share a key link only by their fingerprints; further columns are ignored; an empty table gives no rows.
     """
-    prints, _ = written(fingerprints(docs, words, key, text), "prints")
-    # Rows without a key take no part in naming; a print that only they have stands for itself.
-    nodes = prints.where(F.col(key).isNotNull()).groupBy("code").agg(F.min(key).alias("node"))
-    nodes, _ = written(nodes, "codes")
-    found = components(hamming_links(nodes, distance))
-    named = nodes.join(found, "node", "left")
-    named = named.select("code", F.coalesce("component", "node").alias("component_id"))
-    # One row for each code: a code with a third of all rows is a skewed join, which Spark splits.
-    return prints.join(named, "code", "left").select(
-        key, F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id"
-    )
-
+    fingerprint_ = F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint")
+    return _grouped(docs, words, distance, key, text).select(F.col("key").alias(key), fingerprint_, "component_id")
 
-def _tables(similarity: float, count: int) -> tuple[int, int, int, int, int]:
-    """Prefix bits, tables, and the limits of a word and of all bits (mean, loose) for a similarity of shingle sets."""
-    cosine = 2 * similarity / (1 + similarity)
-    differ = math.acos(min(1.0, cosine)) / math.pi  # the share of bits expected to differ
-    bits = min(PREFIX[1], max(PREFIX[0], math.ceil(math.log2(max(1, count) / NODE))))
-    tables = math.ceil(math.log(1 - FOUND) / math.log(1 - (1 - differ) ** bits)) if differ else 1
 
-    def limit(n, deviations):
-        return math.floor(n * differ + deviations * math.sqrt(n * differ * (1 - differ)))
-
-    return bits, max(1, tables), limit(64, 3), limit(64 * LANES, 0), limit(64 * LANES, 3)
-
-
-def _alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``a, b`` of the pairs whose shingle sets have at least that Jaccard similarity."""
-
-    def sets_of(batches):
-        for batch in batches:
-            sets = [np.array(shingle_set(x, words), np.uint64).view(np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = docs.join(asked, "node", "left_semi").mapInArrow(sets_of, "node long, shingles array<long>")
-    # Of rows that repeat a key with other texts, any that is alike links.
-    sets, _ = written(sets.distinct(), "shingles")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(F.try_divide(shared, F.size("x") + F.size("y") - shared) >= similarity).select("a", "b")
-
-
-def similar_documents(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text"
+def without_near_duplicates(
+    docs: DataFrame, words: int = 5, distance: int = 3, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``key, component_id`` of documents, linked where their shingle sets are ``similarity`` alike or more.
-
-    Fingerprints have LANES * 64 bits and only find candidates: pairs with no more differing bits than at
-    ``similarity``, give or take three deviations. Each of several tables takes 64 other bits of them as
-    its word, sorted in Gray order under its first bits, and searches the hierarchical index with a limit
-    that three deviations would not pass. Tables are as many as find a share FOUND of the pairs at
-    ``similarity`` itself; pairs more alike are found more surely. A task passes on a forest of candidate pairs,
-    the closer ones first, and a pair links if the Jaccard similarity of its shingle sets says so. Equal
-    fingerprints are one node; nulls, empty texts and repeated rows are as in ``near_duplicates``.
-    """
-    lanes = [f"f{i}" for i in range(LANES)]
+    """The rows of ``docs``, one of each group of ``near_duplicates``: that with the smallest key.
 
-    def prints_of(batches):
-        for batch in batches:
-            codes = [fingerprint(x, words, LANES) for x in batch.column(1).to_pylist()]
-            codes = np.array(codes, np.uint64).reshape(-1, LANES).view(np.int64)
-            yield pa.record_batch([batch.column(0), *map(pa.array, codes.T.copy())], names=[key, *lanes])
-
-    prints = docs.select(key, text).mapInArrow(prints_of, f"`{key}` long, {', '.join(f'{c} long' for c in lanes)}")
-    prints, _ = written(prints, "prints")
-    nodes = prints.where(F.col(key).isNotNull()).groupBy(*lanes).agg(F.min(key).alias("node"))
-    nodes, _ = written(nodes, "codes")
-    bits, tables, word_limit, close, loose = _tables(similarity, nodes.count())
-
-    def deal(batches):
-        rng = np.random.default_rng(SEED)
-        chosen = [rng.permutation(64 * LANES)[:64] for _ in range(tables)]
-        for batch in batches:
-            wide = np.column_stack([batch.column(i).to_numpy().view(np.uint64) for i in range(LANES)])
-            set_ = np.unpackbits(wide.view(np.uint8).reshape(len(wide), -1), axis=1, bitorder="little")
-            for table, places in enumerate(chosen):
-                word = np.packbits(np.ascontiguousarray(set_[:, places]), axis=1).view(">u8").ravel().astype(np.uint64)
-                at = (gray_rank(word) >> np.uint64(64 - bits)).astype(np.int64) | table << 32
-                columns = [pa.array(at), pa.array(word.view(np.int64)), *batch.columns]
-                yield pa.record_batch(columns, names=["at", "word", *lanes, "node"])
-
-    def search(table: pa.Table) -> pa.Table:
-        word = table.column("word").to_numpy().view(np.uint64)
-        wide = np.column_stack([table.column(c).to_numpy().view(np.uint64) for c in lanes])
-        node = table.column("node").to_numpy()
-        forest, rows = PairForest(len(word)), np.arange(len(word))
-        if len(word) > 1:
-            index = GrayIndex(word, wide, close)
-            for index.wide_limit in (close, loose):
-                index.search(word[index.order], word_limit, forest, rows[index.order], rows, wide[index.order])
-        a, b = forest.edges()
-        return pa.table({"a": node[a], "b": node[b]})
-
-    dealt = nodes.select(*lanes, "node").mapInArrow(
-        deal, f"at long, word long, {', '.join(f'{c} long' for c in lanes)}, node long"
-    )
-    pairs = dealt.groupBy("at").applyInArrow(search, "a long, b long")
-    pairs, _ = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    found = components(_alike(pairs, docs.select(F.col(key).alias("node"), F.col(text).alias("text")), words, similarity))
-    named = nodes.join(found, "node", "left").select(*lanes, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, lanes, "left").select(key, "component_id")
+    Where a key repeats with other texts of its group, that with the smallest fingerprint stays; of rows equal in key
+    and text, one. Texts that share a key with a removed one stay if their own group has them first. Rows without a
+    key are all kept; all columns stay, whatever their names; an empty table gives no rows.
+    """
+    rows = _grouped(docs, words, distance, key, text).where("key is not null")
+    rows, _ = written(rows.groupBy("component_id", "key", "code", "digest").agg(F.count("*").alias("n")), "groups")
+    first = rows.groupBy("component_id").agg(F.min(F.struct("key", "code", "digest")).alias("first"))
+    first = first.select("first.*")
+    gone = rows.select("key", "digest").distinct().join(first, ["key", "digest"], "left_anti")
+    own = free(docs, "kept_key", "kept_digest")
+    marked = docs.withColumns({own[0]: F.col(key).cast("long"), own[1]: F.xxhash64(text)})
+    kept = marked.join(gone.toDF(*own), own, "left_anti")
+    if not rows.where("n > 1").join(first, ["key", "code", "digest"], "left_semi").isEmpty():
+        keyed = kept.where(F.col(own[0]).isNotNull()).dropDuplicates(own)
+        kept = keyed.unionAll(kept.where(F.col(own[0]).isNull()))
+    return kept.select(*docs.columns)

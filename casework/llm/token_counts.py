@@ -60,7 +60,12 @@ class ByteVocabulary:
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
-            added = json.load(file)["added_tokens"]
+            whole = json.load(file)
+        split = whole.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", False)
+        if (whole.get("model") or {}).get("type") != "BPE" or whole.get("normalizer") or not plain:
+            raise ValueError(f"{path} is no byte-level BPE without a normaliser, whose splits this operator knows")
+        added = whole["added_tokens"]
         self.special = {token["content"]: token["id"] for token in added}
         self._special = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
         # The byte alphabet by its rule: printable bytes stand for themselves, the rest follow 255.

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 from xxhash import xxh64_intdigest
@@ -22,6 +23,9 @@ from casework.session import written
 FIT_ROWS, CALIBRATION = 20_000, 0.3
 #: Entries of the learned lexicon, and labelled toxic texts that an entry has to be in.
 LEXICON, LEAST_TEXTS, LEAST_RATIO = 300, 5, 25.0
+#: Least shingle hashes that texts have to share, all of them, to count as one text for the lexicon: near copies do,
+#: texts with one passage in common hardly ever.
+SIGNS = 4
 #: Letters of the word beginnings that the lexicon may hold next to whole words.
 STEMS = (4, 5, 6)
 #: Words between a lexicon word and a second person that count as near.
@@ -92,19 +96,21 @@ def features(text: str | None, weigh) -> list[float]:
 
 
 def _count_entries(batches):
-    """Labelled texts that hold each entry, by label, passed on whenever many are held."""
+    """Weights of the labelled texts that hold each entry, by label, passed on whenever many are held."""
     held: dict[bool, Counter] = {True: Counter(), False: Counter()}
 
     def passed():
         names = [*(held[True].keys() | held[False].keys())]
         columns = [pa.array(names, pa.string())]
-        columns += [pa.array([held[k][w] for w in names], pa.int64()) for k in (True, False)]
+        columns += [pa.array([held[k][w] for w in names], pa.float64()) for k in (True, False)]
         return pa.record_batch(columns, names=["entry", "toxic", "clean"])
 
     for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text, label, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = set(_WORD.findall((text or "").lower()))
-            held[label == 1].update({e for w in words for e in entries(w)})
+            counts = held[label == 1]
+            for entry in {e for w in words for e in entries(w)}:
+                counts[entry] += weight
             if len(held[True]) + len(held[False]) >= HELD:
                 yield passed()
                 held[True].clear()
@@ -113,23 +119,25 @@ def _count_entries(batches):
 
 
 def _signed(batches):
-    """Key, label and signature of labelled texts: the least hash of their three-word shingles."""
+    """Key, label, hash of all words, and signature of labelled texts: the SIGNS least hashes of three-word shingles."""
     for batch in batches:
-        signs = []
+        whole, signs = [], []
         for text in batch.column(1).to_pylist():
             words = (text or "").encode().lower().split()
-            shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
-            signs.append(min(map(xxh64_intdigest, shingles)) >> 1)
-        columns = [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(signs, pa.int64())]
-        yield pa.record_batch(columns, names=["id", "label", "signature"])
+            shingles = {b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+            least = nsmallest(SIGNS, map(xxh64_intdigest, shingles))
+            whole.append(xxh64_intdigest(b" ".join(words)) >> 1)
+            signs.append(xxh64_intdigest(str(least)) >> 1)
+        columns = [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(whole, pa.int64()), pa.array(signs, pa.int64())]
+        yield pa.record_batch(columns, names=["id", "label", "whole", "signature"])
 
 
-def lexicon(labelled: DataFrame, toxic: int, clean: int) -> dict[str, float]:
-    """The LEXICON entries that tell toxic texts best, with the log of how much commoner they are there.
+def lexicon(labelled: DataFrame, toxic: float, clean: float) -> dict[str, float]:
+    """From ``text, label, weight``: the LEXICON entries that tell toxic texts best, with the log of how much commoner they are there.
 
     Ordered by the likelihood ratio of their counts, of which LEAST_RATIO is more than chance gives.
     """
-    found = labelled.select("text", "label").mapInArrow(_count_entries, "entry string, toxic long, clean long")
+    found = labelled.select("text", "label", "weight").mapInArrow(_count_entries, "entry string, toxic double, clean double")
     found = found.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     texts, share = F.col("toxic") + F.col("clean"), toxic / (toxic + clean)
@@ -200,35 +208,44 @@ def fit(
 ) -> ToxicityModel:
     """A model from labelled documents where ``learn`` (over the key) holds.
 
-    At most about ``rows`` labelled documents are read, chosen by a hash of the key; of those that share the
-    least hash of their shingles, as copies do, one teaches, as toxic if one of them is. The trees see
-    1 - CALIBRATION of them, the calibration the rest. A document labelled twice is toxic if one label says
-    so; null labels and null keys teach nothing. With one label only, the score is that label's rate (0 if
-    there is none) for all.
+    At most about ``rows`` labelled documents are read, chosen by a hash of the key. Of those that are equal word for
+    word one teaches, the one with the smallest key, a toxic one if there is one. All others teach; in the counts of
+    the lexicon near copies of one label (SIGNS) weigh as one text together. Lexicon and trees see 1 - CALIBRATION of
+    the texts, the calibration the rest, near copies on one side. A document labelled twice is toxic if one label
+    says so; null labels and null keys teach nothing; null and empty texts are texts without words; long texts are
+    read whole. With one label only, the score is that label's rate (0 if there is none) for all.
     """
     taught = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & learn)
     taught = taught.groupBy(key).agg(F.max((F.col(label) > 0).cast("int")).alias("label"))
     taught = bounded(taught, key, rows)  # so many rows at most, so it can be sent to all
     docs = docs.select(key, F.col(text).alias("text"))
     # Copies teach once, or all words of a text that is copied often would look toxic.
-    marked = docs.join(F.broadcast(taught), key).mapInArrow(_signed, "id long, label int, signature long")
-    taught = marked.groupBy("signature").agg(F.min("id").alias(key), F.max("label").alias("label"))
-    taught, _ = written(taught.drop("signature").coalesce(PARTS), "taught")
+    marked = docs.join(F.broadcast(taught), key).mapInArrow(_signed, "id long, label int, whole long, signature long")
+    one = F.max_by(F.struct("id", "label", "signature"), F.struct("label", -F.col("id"))).alias("one")
+    taught = marked.groupBy("whole").agg(one).select(F.col("one.id").alias(key), "one.label", "one.signature")
+    alike = Window.partitionBy("signature", "label")  # of so many rows at most
+    part = F.pmod(F.xxhash64("signature", F.lit("calibrate")), F.lit(STEPS)) < int(STEPS * CALIBRATION)
+    taught = taught.withColumns({"weight": 1.0 / F.count("*").over(alike), "later": part}).drop("signature")
+    # A key that has several texts teaches with one of them, or with its label for each.
+    taught, _ = written(taught.dropDuplicates([key]).coalesce(PARTS), "taught")
     sample = docs.join(F.broadcast(taught), key)  # no more rows than before
-    count = dict(taught.groupBy("label").count().collect())
-    toxic, clean = count.get(1, 0), count.get(0, 0)
-    if not toxic or not clean:
-        return ToxicityModel({}, None, None, float(bool(toxic)))
-    known = lexicon(sample, toxic, clean)
-    part = F.pmod(F.xxhash64(key, F.lit("calibrate")), F.lit(STEPS)) < int(STEPS * CALIBRATION)
-    dense = _with_features(sample.withColumn("later", part), known)
+    count = {(later, label): (n, total) for later, label, n, total in taught.groupBy("later", "label").agg(F.count("*"), F.sum("weight")).collect()}
+    sums = {label: [count.get((side, label), (0, 0.0)) for side in (False, True)] for label in (1, 0)}
+    if any(not first[0] + later[0] for first, later in sums.values()):
+        return ToxicityModel({}, None, None, float(bool(sums[1][0][0] + sums[1][1][0])))
+    if any(not first[0] for first, _ in sums.values()) or not sum(later[0] for _, later in sums.values()):
+        sample = sample.withColumn("later", F.lit(False))  # too few to keep some apart
+        toxic, clean = (sums[n][0][1] + sums[n][1][1] for n in (1, 0))
+    else:
+        toxic, clean = (sums[n][0][1] for n in (1, 0))
+    known = lexicon(sample.where("not later"), toxic, clean)
+    dense = _with_features(sample.drop("weight"), known)
     dense, _ = written(dense.select("features", F.col("label").cast("double"), "later").coalesce(PARTS), "features")
     booster = GBTClassifier(
         featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed
     )
     first, later = dense.where("not later"), dense.where("later")
-    if first.select("label").distinct().count() < 2 or later.isEmpty():
-        first = later = dense
+    later = first if later.isEmpty() else later
     model = booster.fit(first)
     margin = model.transform(later).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
     curve = IsotonicRegression(featuresCol="margin", labelCol="label").fit(margin)

@@ -18,7 +18,7 @@ from casework.llm.gray_index import GrayIndex, hamming_links
 from casework.llm.packing import best_fit, pack
 from casework.llm.queries import QUERIES
 from casework.llm.sampling import remainder
-from casework.llm.simhash import fingerprint, near_duplicates, similar_documents
+from casework.llm.simhash import fingerprint, near_duplicates, without_near_duplicates
 from casework.llm.token_counts import token_counts, vocabulary
 from conftest import SMALL
 from odd_tables import no_docs, odd_texts, workers  # noqa: F401  fixtures
@@ -183,7 +183,7 @@ def test_fingerprints():
     rng = random.Random(1)
     for _ in range(200):
         text = "".join(rng.choices("ab \n\tÉX\x0b\x1f\x85", k=rng.randint(0, 40)))
-        assert fingerprint(text, 3) == [brute_print(text, 3)]
+        assert fingerprint(text, 3) == brute_print(text, 3)
 
 
 def clustered_codes(seed=0):
@@ -237,37 +237,26 @@ def test_near_duplicates(spark, odd_texts, no_docs):
     assert near_duplicates(no_docs).count() == 0
 
 
-def test_similar_documents(spark, odd_texts, no_docs):
-    rng = random.Random(2)
-    word = lambda: "".join(rng.choices("abcdefgh", k=5))
-    base = [[word() for _ in range(300)] for _ in range(30)]
-    rows = [(i, " ".join(b)) for i, b in enumerate(base)]
-    for i, b in enumerate(base):  # 4 words of 300: a similarity of about 0.87
-        copy = list(b)
-        for at in (20, 90, 160, 230):
-            copy[at] = word()
-        rows.append((100 + i, " ".join(copy)))
-        rows.append((200 + i, " ".join(b[:100] + [word() for _ in range(200)])))  # about 0.2
-    found = dict(similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert all(found[i] == i and found[100 + i] == i and found[200 + i] == 200 + i for i in range(30))
-    assert similar_documents(odd_texts).count() == odd_texts.count()
-    assert similar_documents(no_docs).count() == 0
-
-
-def test_similar_documents_are_verified(spark):
-    rng = random.Random(3)
-    word = lambda: "".join(rng.choices("abcdefgh", k=5))
-    rows, alike = [], {}
-    # words, words changed at the end: similarities of 6/8, 4/6, 36/48 below 0.8; 8/10, 16/20, 90/102 not below
-    for kind, (n, changed) in enumerate([(11, 1), (9, 1), (46, 6), (13, 1), (22, 2), (100, 6)]):
-        shared, own = n - 4 - changed, changed
-        alike[kind] = shared / (shared + 2 * own) >= 0.8
-        for i in range(40):
-            text = [word() for _ in range(n)]
-            at = 1000 * kind + 2 * i
-            rows += [(at, " ".join(text)), (at + 1, " ".join(text[:-changed] + [word() for _ in range(changed)]))]
-    assert alike == {0: False, 1: False, 2: False, 3: True, 4: True, 5: True}
-    found = dict(similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    for kind, right in alike.items():
-        linked = sum(found[1000 * kind + 2 * i + 1] == 1000 * kind + 2 * i for i in range(40))
-        assert linked >= 36 if right else linked == 0, (kind, linked)
+def test_a_key_with_two_texts_links_nothing(spark):
+    texts = {"A": "one two three four five six", "B": "quite another text of eight words that stands", "C": "nothing like the others here at all", "D": "one two three four five six"}
+    rows = [(1, "A"), (2, "A"), (2, "B"), (3, "C"), (4, "B"), (5, "D"), (5, "D"), (6, "C"), (6, "C"), (None, "A"), (None, "A"), (3, "C")]
+    docs = spark.createDataFrame([(k, texts[t], t, "x", 1) for k, t in rows], "doc_id long, text string, kept_key string, _text string, code int")
+    found = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in near_duplicates(docs.where("doc_id is not null"), words=3).collect()}
+    print_of = {t: f"{brute_print(x, 3):016x}" for t, x in texts.items()}
+    assert found == {(k, print_of[t]): {"A": 1, "B": 2, "C": 3, "D": 1}[t] for k, t in rows if k}
+    kept = without_near_duplicates(docs, words=3)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["kept_key"]) for r in kept.collect()) == [(0, "A"), (0, "A"), (1, "A"), (2, "B"), (3, "C")]
+
+
+def test_kept_documents_against_brute_force(spark, odd_texts, no_docs):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    labels = brute_labels(np.array([brute_print(r["text"], 3) for r in rows], np.uint64), 3)
+    first = {min(rows[j]["doc_id"] for j in np.flatnonzero(labels == label)) for label in np.unique(labels)}
+    kept = without_near_duplicates(docs, words=3)
+    assert kept.schema == docs.schema and sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(first)
+    odd = without_near_duplicates(odd_texts, words=3)
+    assert odd.where("doc_id is null").count() == 2 and odd.where("doc_id in (1, 2, 3)").count() == 1
+    assert odd.where("doc_id = 5").count() == 0 and odd.where("doc_id = 4").count() == 1
+    assert without_near_duplicates(no_docs).count() == 0
