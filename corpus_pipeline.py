@@ -14,17 +14,22 @@ from casework.llm.mixing import mix
 from casework.llm.packing import pack
 from casework.llm.passages import repeated_spans, without_spans
 from casework.llm.sampling import remainder
-from casework.llm.simhash import similar_documents
+from casework.llm.simhash import without_near_duplicates
 from casework.session import let_workers_import, written
 
 #: Documents whose best language is less likely than this go; texts in one language score close to 1.
 LEAST_SCORE = 0.5
-#: Sources are mixed in proportion to their sizes to this power.
-TEMPERATURE = 0.9
+#: Words of a shingle, and bits in which the fingerprints of near-duplicates differ at most.
+WORDS, DISTANCE = 3, 3
+#: Sources are mixed in proportion to their sizes to this power; slots of 16 documents that are packed together.
+TEMPERATURE, STRETCH = 0.9, 256
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told: those without a letter and undecided ones go."""
+    """Keeps documents whose language is told: those without a letter (null and empty ones too) and undecided ones go.
+
+    It is learned from the documents themselves, bounded for each language; long texts are read whole.
+    """
     model = language.fit(docs, remainder("doc_id", 4) != 2)
     found = language.identify(docs, model)
     kept = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
@@ -32,38 +37,41 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates (five words, 0.8).
+    """Keeps one document of each group of near-duplicates (three-word shingles, three bits): the smallest doc_id.
 
-    Of rows that repeat with that doc_id and text one stays; documents without a doc_id are all kept.
+    Texts without a word are one group; of rows that repeat one stays, and another text of the same doc_id stays if
+    it is first in a group of its own. Documents without a doc_id are all kept.
     """
-    groups = similar_documents(docs)
-    gone = groups.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    if not repeated.isEmpty():
-        keyed = kept.where("doc_id is not null").withColumn("_text", F.xxhash64("text"))
-        kept = keyed.dropDuplicates(["doc_id", "_text"]).unionByName(
-            kept.where("doc_id is null").withColumn("_text", F.lit(None).cast("long"))
-        )
-    return kept.select(*docs.columns)
+    return without_near_duplicates(docs, words=WORDS, distance=DISTANCE)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes passages of 200 bytes and more that occur more than once out of the texts."""
+    """Takes passages of 200 bytes and more that occur more than once out of the texts, wherever they occur.
+
+    Null, empty and shorter texts stay as they are; rows that repeat are copies of each other.
+    """
     return without_spans(repeated_spans(docs)).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture: any stretch of it holds the sources in their weights.
 
-    Sources that run out leave the schedule and the others go on in proportion, so no document is left out.
+    Sources that run out leave the schedule and the others go on in proportion, so no document is left out. A null
+    source is a source; documents with equal or null keys follow one another in their source's order. The next
+    stage reads the order from the documents again (``mix``), as rows in files have none of their own.
     """
     return mix(docs, temperature=TEMPERATURE).orderBy("mix_slot", "mix_place").select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: token pieces with their place in sequences."""
-    return pack(docs)
+    """The last stage: token pieces with their place in sequences, which follow the mixture.
+
+    Pieces of a stretch of STRETCH slots are packed together and sequences numbered by stretch, so every run of
+    sequences holds the sources in their weights. Slots depend on keys and sources alone, which no stage between
+    changes. Null and empty texts are one piece, the end id; longer texts than a sequence are cut.
+    """
+    slots = mix(docs, temperature=TEMPERATURE).select("doc_id", "text", "mix_slot")
+    return pack(slots, place="mix_slot", stretch=STRETCH)
 
 
 STAGES = [
