@@ -26,14 +26,14 @@ LONGEST = 5
 HELD, REMEMBERED, WORD_LETTERS = 200_000, 200_000, 64
 UNKNOWN = "und"
 
-#: Characters that count as a part of a word for the regex engine without being a letter: powers, fractions, numerals.
-_NO_LETTERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NO_LETTERS}]+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters; a run of over WORD_LETTERS letters is parted, never cut off."""
     found = _WORD.findall((text or "").lower())
+    if not all(map(str.isalpha, found)):  # powers, fractions and numerals are parts of a word for the regex engine
+        found = [w for whole in found for w in "".join(c if c.isalpha() else " " for c in whole).split()]
     if any(len(w) > WORD_LETTERS for w in found):
         found = [w[i : i + WORD_LETTERS] for w in found for i in range(0, len(w), WORD_LETTERS)]
     return found
