@@ -69,17 +69,18 @@ def decide(df: DataFrame, severe: Severe = SEVERE_DEFAULT, missing: str = "pass"
     ).drop("_is_severe")
 
 
+def refer_reason(is_severe: Column, missing: str = "pass") -> Column:
+    """L4: why a row of ``predicted_rank1_confidence`` and ``threshold`` is referred, severity first, or ``none``."""
+    low = _refers_low(F.col("predicted_rank1_confidence"), F.col("threshold"), missing)
+    return F.when(is_severe, F.lit("severity")).when(low, F.lit("low_confidence")).otherwise(F.lit("none"))
+
+
 def decide_with_reason(
     df: DataFrame, severe: Severe = SEVERE_DEFAULT, missing: str = "pass", **join
 ) -> DataFrame:
     """L4: as ``decide``, with ``is_severe``, ``decision`` and ``refer_reason`` (severity first)."""
     marked = mark_severe(df, "predicted_rank1_disease", severe, **join)
-    low = _refers_low(F.col("predicted_rank1_confidence"), F.col("threshold"), missing)
-    reason = (
-        F.when(F.col("is_severe"), F.lit("severity"))
-        .when(low, F.lit("low_confidence"))
-        .otherwise(F.lit("none"))
-    )
+    reason = refer_reason(F.col("is_severe"), missing)
     return marked.withColumn("refer_reason", reason).withColumn(
         "decision",
         F.when(F.col("refer_reason") == "none", F.col("predicted_rank1_disease")).otherwise(
@@ -101,15 +102,19 @@ def to_scoring(
         decided = mark_severe(decided.drop("is_severe"), truth, severe, **join)
     elif severe_of != "predicted":
         raise ValueError(f"unknown severity source {severe_of!r}")
-    refer = F.col("refer_reason") != "none"
+    return decided.select("case_id", *scoring_columns(correct, F.col("is_severe"), F.col("refer_reason")))
+
+
+def scoring_columns(correct: Column, is_severe: Column, reason: Column) -> list[Column]:
+    """What scoring reads of a row, besides its id."""
+    refer = reason != "none"
     confidence = F.col("predicted_rank1_confidence")
-    return decided.select(
-        "case_id",
+    return [
         F.coalesce(correct, F.lit(False)).alias("correct"),
         confidence.alias("confidence"),
         F.col("number_of_options").alias("num_options"),
         F.when(refer, F.lit("REFER")).otherwise(F.lit("DIAGNOSE")).alias("action"),
-        "is_severe",
+        is_severe.alias("is_severe"),
         F.coalesce(confidence > F.col("threshold"), F.lit(False)).alias("high_confidence"),
-        F.when(refer, F.col("refer_reason")).alias("refer_reason"),
-    )
+        F.when(refer, reason).alias("refer_reason"),
+    ]

@@ -306,6 +306,27 @@ def compare_phases(runs: dict[str, DataFrame]) -> DataFrame:
     return passk_summary(passk_flags(reduce(DataFrame.unionByName, parts)), by="phase")
 
 
+MARGINS = ("phase", "is_referral", "refer_reason", "is_severe")
+
+
+def outcome_margins(flags: DataFrame, by: tuple[str, ...] = MARGINS) -> DataFrame:
+    """E4-E9 and E13 over every combination of the ``by`` columns: cases, correct ones, outcomes and Pass@1.
+
+    ``margin`` is the grouping id: its bit is set (the first column's highest) where a column is summed over, and
+    that column is NULL. The flags are counted once per full combination; the margins are sums of those few rows.
+    """
+    counted = ("total", "correct", "successes", *FAILURES)
+    cells = flags.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("correct").alias("correct"),
+        F.count_if("pass_at_1_success").alias("successes"), *[F.count_if(name).alias(name) for name in FAILURES],
+    )
+    sums = cells.cube(*by).agg(F.grouping_id().alias("margin"), *[F.sum(name).alias(name) for name in counted])
+    total = F.col("total")
+    return sums.withColumns(
+        {"accuracy": _share(F.col("correct"), total), "pass_at_1": _share(F.col("successes"), total)}
+    )
+
+
 def run_report(df: DataFrame) -> DataFrame:
     """The key metrics of a run (normalised rows) as one row from one pass."""
     return (

@@ -89,6 +89,21 @@ def to_messages(df: DataFrame, roles: dict[str, Column], out: str = "messages")
     return df.withColumn(out, F.array(*parts))
 
 
+def conversation_messages(
+    turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", size: int = 1000
+) -> DataFrame:
+    """F6 of conversations with several turns: ``key, part, messages`` in the order of their turns.
+
+    A part holds the turns of one stretch of ``size`` numbers, so that a conversation of any length is no one row;
+    one of up to ``size`` turns is one part. Equal turns go by role and text. Rows without a key or turn are no messages.
+    """
+    at = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("content"))
+    parts = turns.where(F.col(key).isNotNull() & F.col(turn).isNotNull())
+    parts = parts.groupBy(key, F.floor(F.col(turn) / size).alias("part")).agg(F.array_sort(F.collect_list(at)).alias("_m"))
+    message = lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))
+    return parts.select(key, "part", F.transform("_m", message).alias("messages"))
+
+
 def _first(items: Column, n: int | None) -> Column:
     """The first ``n`` items, or all."""
     return items if n is None else F.slice(items, 1, n)

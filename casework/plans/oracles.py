@@ -594,10 +594,10 @@ scores AS (
 # The four runs of the comparison, by severe set and treatment of a missing confidence.
 PHASES = f"""{DECIDED},
 variants AS (
-  SELECT 'no severe set' AS phase, correct, false AS is_severe, low AS referred, above FROM flags
-  UNION ALL SELECT 'missing passes', correct, is_severe, referred, above FROM flags
-  UNION ALL SELECT 'missing refers', correct, is_severe, referred OR confidence IS NULL, above FROM flags
-  UNION ALL SELECT 'severe truth', correct, truth IN (SELECT disease FROM severe), referred, above FROM flags),
+  SELECT 'no severe set' AS phase, correct, false AS is_severe, low AS referred, above, false AS for_severity FROM flags
+  UNION ALL SELECT 'missing passes', correct, is_severe, referred, above, is_severe FROM flags
+  UNION ALL SELECT 'missing refers', correct, is_severe, referred OR confidence IS NULL, above, is_severe FROM flags
+  UNION ALL SELECT 'severe truth', correct, truth IN (SELECT disease FROM severe), referred, above, is_severe FROM flags),
 passing AS (
   SELECT *, (above AND correct AND NOT (is_severe AND NOT referred)) OR (is_severe AND referred)
     OR (NOT above AND referred) AS passed
@@ -651,6 +651,20 @@ UNION ALL SELECT 'fail_low_conf_not_referred', fail_low_conf_not_referred, fail_
 FROM summary""",
     "e13_compare_phases": f"""WITH {PHASES}
 SELECT phase, {OUTCOMES} FROM passing GROUP BY phase""",
+    "e13_outcome_margins": f"""WITH {PHASES},
+cells AS (
+  SELECT *, referred AS is_referral, CASE WHEN for_severity THEN 'severity' WHEN referred THEN 'low_confidence' END AS refer_reason
+  FROM passing)
+SELECT phase, is_referral, refer_reason, is_severe, GROUPING(phase, is_referral, refer_reason, is_severe)::bigint AS margin,
+  count(*) AS total, count(*) FILTER (correct) AS correct, count(*) FILTER (passed) AS successes,
+  count(*) FILTER (NOT passed AND NOT (is_severe AND NOT referred) AND (above OR referred)) AS fail_wrong_dx,
+  count(*) FILTER (is_severe AND NOT referred) AS fail_severe_not_referred,
+  count(*) FILTER (NOT above AND NOT referred AND NOT is_severe) AS fail_low_conf_not_referred,
+  count(*) FILTER (correct) / count(*) * 100 AS accuracy, count(*) FILTER (passed) / count(*) * 100 AS pass_at_1
+FROM cells GROUP BY CUBE (phase, is_referral, refer_reason, is_severe)""",
+    "f6_conversation_messages": """SELECT conv_id, turn // 4 AS part, count(*) AS turns,
+  string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn, role, text) AS messages
+FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL""",
     "e14_run_report": f"""WITH {DECIDED}, {PASSED},
 summary AS (
   SELECT {OUTCOMES}, min(threshold) AS threshold_min, max(threshold) AS threshold_max, avg(threshold) AS tm,

@@ -634,17 +634,34 @@ def e12_outcome_table(spark, sf_dir):
     return evaluation.outcome_table(summary)
 
 
-@query
-def e13_compare_phases(spark, sf_dir):
-    run = adapters.run_results(spark, sf_dir)
+def _phases(spark, sf_dir):
     severe = adapters.severe(spark, sf_dir)
     phases = {
-        "no severe set": scoring_run.scored_run(run, severe=[]),
-        "missing passes": scoring_run.scored_run(run, severe=severe),
-        "missing refers": scoring_run.scored_run(run, severe=severe, missing="refer"),
-        "severe truth": scoring_run.scored_run(run, severe=severe, severe_of="true"),
+        "no severe set": {"severe": []},
+        "missing passes": {"severe": severe},
+        "missing refers": {"severe": severe, "missing": "refer"},
+        "severe truth": {"severe": severe, "severe_of": "true"},
     }
-    return evaluation.compare_phases(phases)
+    return evaluation.passk_flags(scoring_run.scored_phases(adapters.run_results(spark, sf_dir), phases))
+
+
+@query
+def e13_compare_phases(spark, sf_dir):
+    return evaluation.passk_summary(_phases(spark, sf_dir), by="phase")
+
+
+@query
+def e13_outcome_margins(spark, sf_dir):
+    """Phase, decision, reason and severity, with all margins."""
+    return evaluation.outcome_margins(_phases(spark, sf_dir))
+
+
+@query
+def f6_conversation_messages(spark, sf_dir):
+    """Chats of several turns, which the given table holds."""
+    chats = records.conversation_messages(adapters.table(spark, sf_dir, "conversations"), size=4)
+    said = F.transform("messages", lambda m: F.concat_ws(": ", m["role"], m["content"]))
+    return chats.select("conv_id", "part", F.size("messages").cast("long").alias("turns"), _joined(said, "\n").alias("messages"))
 
 
 @query

@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casework.operators.decision import (
-    SEVERE_DEFAULT, Severe, count_options, decide_with_reason, dynamic_threshold, to_scoring,
+    SEVERE_DEFAULT, Severe, count_options, decide_with_reason, dynamic_threshold, mark_severe, refer_reason,
+    scoring_columns, to_scoring,
 )
 from casework.operators.decoding import severe_block
 from casework.operators.dimension import fits_in_memory
@@ -55,17 +56,21 @@ def score_run(asked: DataFrame, responses: DataFrame, few: bool = False) -> Data
     return assemble_results(score_match(flatten_top3(parse_response(answered))))
 
 
+def _extracted(results: DataFrame) -> DataFrame:
+    n = count_options(F.col("diagnosis_options"))
+    counted = results.withColumn("number_of_options", n).withColumn(
+        "threshold", dynamic_threshold(F.col("number_of_options"))
+    )
+    return extract_regex(counted)
+
+
 def decide_run(
     results: DataFrame, severe: Severe = SEVERE_DEFAULT, missing: str = "pass",
     severe_of: str = "predicted",
 ) -> DataFrame:
     """The decision layer on results rows (case_id, true_diagnosis, diagnosis_options,
     raw_model_response), in the columns that scoring reads. Projections only, besides the severe set."""
-    n = count_options(F.col("diagnosis_options"))
-    counted = results.withColumn("number_of_options", n).withColumn(
-        "threshold", dynamic_threshold(F.col("number_of_options"))
-    )
-    decided = decide_with_reason(extract_regex(counted), severe, missing)
+    decided = decide_with_reason(_extracted(results), severe, missing)
     right = matches(F.col("predicted_rank1_disease"), F.col("true_diagnosis"))
     return to_scoring(decided, right, severe_of, severe)
 
@@ -73,3 +78,31 @@ def decide_run(
 def scored_run(results: DataFrame, **options) -> DataFrame:
     """``decide_run`` with the types that the evaluation expects."""
     return normalise_scored(decide_run(results, **options))
+
+
+def scored_phases(results: DataFrame, phases: dict[str, dict]) -> DataFrame:
+    """``scored_run`` of one run under several options (name -> options), with a ``phase`` column, from one scan.
+
+    Responses are read and severe sets looked up once, each phase is an element of a row's outcomes.
+    """
+    right = matches(F.col("predicted_rank1_disease"), F.col("true_diagnosis"))
+    rows = _extracted(results).withColumn("_right", right)
+    columns = {"predicted": "predicted_rank1_disease", "true": "true_diagnosis"}
+    marks: dict[tuple, str] = {}
+    outcomes = []
+    for phase, options in phases.items():
+        severe, names = options.get("severe", SEVERE_DEFAULT), {}
+        for of in ("predicted", options.get("severe_of", "predicted")):
+            if of not in columns:
+                raise ValueError(f"unknown severity source {of!r}")
+            known = id(severe), of
+            if known not in marks:
+                marks[known] = f"_severe_{len(marks)}"
+                rows = mark_severe(rows, columns[of], severe, marks[known])
+            names[of] = F.col(marks[known])
+        reason = refer_reason(names["predicted"], options.get("missing", "pass"))
+        is_severe = names[options.get("severe_of", "predicted")]
+        scored = scoring_columns(F.col("_right"), is_severe, reason)
+        outcomes.append(F.struct(F.lit(phase).alias("phase"), *scored))
+    each = rows.select("case_id", F.explode(F.array(*outcomes)).alias("o")).select("case_id", "o.*")
+    return normalise_scored(each)

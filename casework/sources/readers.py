@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from casework import fixed_values as fixed, schema
 from casework.functions.json_text import STRICT
 from casework.functions.text import is_blank, strip
-
-CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+from casework.sources.split_csv import read_csv
 
 
 def _require(found: list[str], wanted: list[str], path: str) -> None:
@@ -20,10 +19,9 @@ def _require(found: list[str], wanted: list[str], path: str) -> None:
 
 def _by_name(spark: SparkSession, path: str, form: str, declared, optional: tuple = ()) -> DataFrame:
     """The declared columns of a table by their names, whatever their order; others are left out."""
-    reader = spark.read.options(**CSV) if form == "csv" else spark.read
     if form == "json":  # read by name already; nested types cannot be told from the rows
-        return reader.schema(declared).json(path)
-    df = reader.format(form).load(path)
+        return spark.read.schema(declared).json(path)
+    df = read_csv(spark, path) if form == "csv" else spark.read.format(form).load(path)
     _require(df.columns, [f.name for f in declared if f.name not in optional], path)
     columns = []
     for field in declared:
@@ -34,23 +32,27 @@ def _by_name(spark: SparkSession, path: str, form: str, declared, optional: tupl
             columns.append(cell.cast(field.dataType).alias(field.name))
     if form == "parquet":
         columns += [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    if form == "csv":
+        columns += ["_file", "_block", F.col("_at").alias("_row")]
     return df.select(*columns)
 
 
 def _numbered(df: DataFrame, key: str) -> DataFrame:
     """Rows numbered from 0 in the order of files and of rows in them, where ``key`` is not given.
 
-    Only the number of rows before each file, or each read piece of other forms, is added up: one row per file.
+    Only the number of rows before each file, byte range of a CSV file, or read piece of other forms is added up:
+    one row for each.
     """
     if "_file" not in df.columns:
         place = F.monotonically_increasing_id()
         df = df.withColumn("_row", place).withColumn("_file", F.shiftright("_row", 33).cast("string"))
         df = df.withColumn("_row", F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)))
         df = df.withColumn("_file", F.lpad("_file", 12, "0"))
-    sizes = df.groupBy("_file").agg((F.max("_row") + 1).alias("_size"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_file", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    return df.join(starts, "_file").withColumn(key, F.col("_before") + F.col("_row")).drop("_before")
+    parts = ["_file", "_block"] if "_block" in df.columns else ["_file"]
+    sizes = df.groupBy(*parts).agg((F.max("_row") + 1).alias("_size"))
+    before = Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*parts, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    return df.join(starts, parts).withColumn(key, F.col("_before") + F.col("_row")).drop("_before")
 
 
 def load_cases(
@@ -181,8 +183,8 @@ def load_corpus(
 
 def read_results(spark: SparkSession, path: str, declared=schema.RESULTS) -> DataFrame:
     """A results CSV with quoted multi-line cells, columns by header name; the usual tokens for "missing"
-    become NULL. A missing column is an error."""
-    text = spark.read.options(**CSV).csv(path)
+    become NULL. A missing column is an error. A file is read by many tasks (``split_csv``)."""
+    text = read_csv(spark, path)
     _require(text.columns, [field.name for field in declared], path)
     columns = []
     for field in declared:

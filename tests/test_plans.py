@@ -69,3 +69,16 @@ def test_samples_are_not_sorted_in_one_task(spark):
 def test_histograms_shuffle_bins(spark):
     text = plan(spark, "q17_histogram")
     assert "Scan ExistingRDD" not in text and not re.findall(r"hashpartitioning\([^)]*_v#", text)
+
+
+@pytest.mark.parametrize("name", ["e13_compare_phases", "e13_outcome_margins"])
+def test_phases_are_one_scan_of_the_run(spark, name):
+    df = QUERIES[name](spark, SMALL)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("o_orderkey#") > 0
+    scans = [line for line in plan(spark, name).splitlines() if "FileScan" in line and "o_orderkey" in line]
+    assert len(scans) == 1
+
+
+@pytest.mark.parametrize("name", ["p3_take_positions", "p5_quantile_exemplars", "q6_numeric_stats", "q18_box_summary"])
+def test_no_range_sort_of_all_rows(spark, name):
+    assert "rangepartitioning" not in plan(spark, name)

@@ -2,15 +2,17 @@
 
 import json
 import os
+import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from casework import fixed_values as fixed, schema
 from casework.operators import profiling
 from casework.plans import scoring_run
 from casework.plans.adapters import cases, code_map, literal_cases, responses
 from casework.sources import readers, writers
+from casework.sources.split_csv import read_csv
 from conftest import SMALL
 
 
@@ -195,3 +197,44 @@ def test_dictionary_comes_back_whole(spark, tmp_path):
         map(tuple, readers.load_code_map(spark, str(source)).collect()), key=str
     )
     assert "extra" in {r["code"]: r["entry_text"] for r in readers.read_code_entries(spark, str(tmp_path / "out")).collect()}["E_1"]
+
+
+CELLS = ['plain', 'two\nlines', 'a "quote"', '"', '""', '\n', ', comma', 'x\r\ny', '', None, ' blanks ', 'é日本', '\n\n"\n', 'end"', "it's", '"\n"']
+
+
+def _csv_text(rows, end):
+    def cell(v):
+        v = "" if v is None else str(v)
+        return '"' + v.replace('"', '""') + '"' if any(c in v for c in ',"\r\n') or v != v.strip() else v
+
+    return end.join(",".join(map(cell, r)) for r in rows) + end
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("size", ["150", "100000"])
+def test_csv_is_the_same_however_it_is_cut(spark, tmp_path, end, size):
+    rng = random.Random(5)
+    for name in ("a.csv", "b.csv"):
+        rows = [[i, rng.choice(CELLS), rng.choice(CELLS) if i % 5 else "long\n" * 30] for i in range(30)]
+        text = _csv_text([["i", "x", "y"], *rows], end).replace(end, end + end, 1)  # a blank line behind the header
+        (tmp_path / name).write_bytes(text.encode())
+    whole = spark.read.options(header="true", quote='"', escape='"', multiLine="true").csv(str(tmp_path))
+    expected = sorted(map(repr, map(tuple, whole.collect())))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        cut = read_csv(spark, str(tmp_path))
+        assert sorted(map(repr, map(tuple, cut.select("i", "x", "y").collect()))) == expected and len(expected) == 60
+        tasks = cut.select("_file", "_block").distinct().count()
+        assert tasks > (1 if size == "100000" else 12)
+        loaded = readers.load_cases(spark, {"all": str(tmp_path)}, "csv", T.StructType.fromDDL("case_id long, i string"), "case_id")
+        assert [int(r["i"]) for r in loaded.orderBy("case_id").collect()] == [*range(30), *range(30)]
+        assert sorted(r["case_id"] for r in loaded.collect()) == [*range(60)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_without_rows(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("a,b\n")
+    assert read_csv(spark, str(tmp_path)).count() == 0
