@@ -222,20 +222,21 @@ def assemble_results(scored: DataFrame) -> DataFrame:
     )
 
 
-def running_accuracy(
-    df: DataFrame, order: str = "case_num", right: str = "is_correct", every: int = 50,
-    blocks_per_span: int = 10_000,
+def block_totals(
+    df: DataFrame, order: str = "case_num", right: str = "is_correct", every: int = 50
 ) -> DataFrame:
-    """(cases, correct, accuracy) after each block of ``every`` case numbers; ``order`` counts from 1.
-
-    A block holds the cases whose numbers are in it, however many are missing; the last may be unfinished.
-    Blocks are summed, then spans of blocks; only the span totals, one row per ``every * blocks_per_span``
-    case numbers, are added up in one task.
-    """
+    """Cases and correct ones of each block of ``every`` case numbers, from 1; sums that may be added to."""
     block = F.floor((F.col(order) - 1) / every)
-    blocks = df.groupBy(block.alias("block")).agg(
+    return df.groupBy(block.alias("block")).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col(right)).alias("_right")
     )
+
+
+def accumulated(blocks: DataFrame, blocks_per_span: int = 10_000) -> DataFrame:
+    """(cases, correct, accuracy) up to each block of ``block_totals``.
+
+    Spans of blocks are summed first; only their totals, one row per ``blocks_per_span`` blocks, are added up in one task.
+    """
     blocks = blocks.withColumn("_span", F.floor(F.col("block") / blocks_per_span))
     before = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     spans = blocks.groupBy("_span").agg(F.sum("_n").alias("_sn"), F.sum("_right").alias("_sr"))
@@ -249,3 +250,14 @@ def running_accuracy(
         (F.col("_n_before") + F.sum("_n").over(upto)).alias("cases"),
         (F.col("_right_before") + F.sum("_right").over(upto)).alias("correct"),
     ).withColumn("accuracy", F.col("correct") / F.col("cases") * 100)
+
+
+def running_accuracy(
+    df: DataFrame, order: str = "case_num", right: str = "is_correct", every: int = 50,
+    blocks_per_span: int = 10_000,
+) -> DataFrame:
+    """(cases, correct, accuracy) after each block of ``every`` case numbers; ``order`` counts from 1.
+
+    A block holds the cases whose numbers are in it, however many are missing; the last may be unfinished.
+    """
+    return accumulated(block_totals(df, order, right, every), blocks_per_span)

@@ -34,3 +34,16 @@ def write_code_map(entries: DataFrame, path: str, mode: str = "errorifexists") -
     entry = F.coalesce(entry, F.to_json(F.struct(*fields)) if fields else F.lit("null"))
     line = F.concat(F.lit("{"), quoted("code"), F.lit(": "), entry, F.lit("}"))
     entries.select(line.alias("value")).write.mode(mode).text(path)
+
+
+def write_bucketed(
+    df: DataFrame, table: str, path: str | None = None, key: str = "case_id", buckets: int = 200, mode: str = "errorifexists"
+) -> None:
+    """A stored layout of cases: a table in ``buckets`` files of whole ``key`` values, sorted by it.
+
+    Decoding, records and results group and join by that key (D6c, D7, F1, F4, R7) and then move no case rows; so do
+    joins with another table of as many buckets. With ``path`` the files lie there, else in the warehouse.
+    """
+    # Each task holds one bucket, so there is one file for each.
+    writer = df.repartition(buckets, key).write.mode(mode).bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)

@@ -3,8 +3,13 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from casework.operators import records
+from casework.plans import adapters, scoring_run
 from casework.plans.queries import QUERIES
+from casework.session import checkpoint
+from casework.sources.writers import write_bucketed
 from conftest import SMALL
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas")
@@ -82,3 +87,24 @@ def test_phases_are_one_scan_of_the_run(spark, name):
 @pytest.mark.parametrize("name", ["p3_take_positions", "p5_quantile_exemplars", "q6_numeric_stats", "q18_box_summary"])
 def test_no_range_sort_of_all_rows(spark, name):
     assert "rangepartitioning" not in plan(spark, name)
+
+
+def test_a_stored_layout_moves_no_case_rows(spark, tmp_path):
+    cases = adapters.literal_cases(spark, SMALL)
+    write_bucketed(cases, "stored_cases", str(tmp_path / "cases"), buckets=4)
+    responses = adapters.responses(spark, SMALL).select("case_id", "raw_model_response")
+    write_bucketed(responses, "stored_responses", str(tmp_path / "responses"), buckets=4)
+    try:
+        codes = checkpoint(adapters.code_map(spark, SMALL))
+        stored = spark.table("stored_cases")
+        asked = {"case_num": F.col("case_id"), "severe_disease_list": F.lit("")}
+        prepared = records.prepare_cases(stored, codes).withColumns(asked)
+        scored = scoring_run.score_run(prepared, spark.table("stored_responses"))
+        given = scoring_run.score_run(records.prepare_cases(cases, codes).withColumns(asked), responses)
+        for df in (prepared, scored):
+            text = df._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(case_id" not in text and "Bucketed: true" in text
+        assert scored.exceptAll(given).count() == 0 and scored.count() == given.count()
+    finally:
+        spark.sql("drop table stored_cases")
+        spark.sql("drop table stored_responses")
