@@ -1,5 +1,6 @@
 """Lists, texts, patterns and limits whose exact content the results depend on."""
 
+# Texts of decisions, defaults and marks.
 REFER = "Refer to specialist"
 DEFAULT_COMPLAINT = "patient presents with medical complaint"
 UNKNOWN = "Unknown"
@@ -40,6 +41,7 @@ YES_NO_WORDS = ("do you have ", "have you ", "are you ", "did you ", "?")
 VALUED_WORDS = ("do you ", "have you ")
 # Value texts that say nothing.
 EMPTY_VALUES = ("", "N", "NA")
+# What parts a code from its value, and codes of a case that are told.
 CODE_SEPARATOR = "_@_"
 SYMPTOM_CAP = 12
 
@@ -50,6 +52,7 @@ CORPUS_TERMS = (
     "protein", "study", "research", "medical", "health", "chronic", "acute",
 )
 
+# Answers and fields of a multiple-choice question.
 ANSWERS = ("A", "B", "C", "D")
 QA_FIELDS = ("question", "options", "answer_idx")
 
