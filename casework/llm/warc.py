@@ -3,8 +3,8 @@
 A payload is a run of rows (record, chunk number, bytes), so that no step past the page table holds a whole
 one: oversized payloads become WARC segments, a first record and its continuations. Digests go along
 incrementally: the hash of a payload takes chunk after chunk. The version line is what parts records when
-archives are read, so a payload that holds it is cut inside of it; then every archive can be read in
-splits of any size.
+archives are read, so a payload that holds it is cut inside of it. Archives are gzip files, each written and read
+by one task, a record at a time.
 """
 
 from __future__ import annotations
