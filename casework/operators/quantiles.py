@@ -6,6 +6,8 @@ thousand of the ranks. The counts prove that the wanted ranks lie inside; where
 then by its nature, all values of that group are counted.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casework.operators.dimension import join_groups
@@ -38,6 +40,13 @@ def _bounded(df: DataFrame, value: str, by: list[str], shares: dict[str, float],
     return groups.withColumn("_asked", F.array(*asked)).drop("_sketch", "_least", "_most")
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys that may be NULL; sides are counts, whose sizes adaptive execution sees."""
+    right = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return left.join(right, same, how).drop(*[f"_of_{k}" for k in keys])
+
+
 def exact_quantiles(
     df: DataFrame, value: str, by: list[str], shares: dict[str, float], extra: list[Column] = ()
 ) -> DataFrame:
@@ -65,21 +74,19 @@ def exact_quantiles(
     )
     ranks = groups.select(*keys, "_total", F.explode("_asked").alias("_a"))
     ranks = ranks.select(*keys, "_total", F.col("_a.name").alias("_name"), "_a.low_rank", "_a.high_rank")
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in of]
-    checked = ranks.alias("r").join(sides.alias("s"), same, "left").select("r.*", "s._below", "s._inside")
     sound = (F.col("_below") <= F.col("low_rank")) & (F.col("high_rank") < F.col("_below") + F.col("_inside"))
-    checked = checkpoint(checked.withColumn("_sound", F.coalesce(sound, F.lit(False))))
+    checked = _joined(ranks, sides, of, "left").withColumn("_sound", F.coalesce(sound, F.lit(False)))
     ranked = ranked_counts(counts.where(F.col(value).isNotNull()), value, of).drop("total")
-    known = join_groups(ranked, checked.where("_sound").select(*of, "_below", F.col("_total").alias("total")), of)
+    known = _joined(ranked, checked.where("_sound").select(*of, "_below", F.col("_total").alias("total")), of)
     known = known.withColumn("below", F.col("below") + F.col("_below")).drop("_below")
     missed = checked.where("not _sound").select(*keys).distinct()
     if not missed.isEmpty():
-        again = ranked_values(join_groups(rows.select(*keys, value), missed, keys), value, keys)
+        again = ranked_values(_joined(rows.select(*keys, value), missed, keys), value, keys)
         names = F.explode(F.array(*[F.lit(name) for name in shares])).alias("_name")
-        left = join_groups(again.select("*", names), checked.where("not _sound").select(*of), of)
+        left = _joined(again.select("*", names), checked.where("not _sound").select(*of), of)
         known = known.unionByName(left.select(*known.columns))
     found = known.groupBy(*of).agg(*[quantile(value, q).alias(f"_{name}") for name, q in shares.items()])
     # Each quantile has rows of its own, so of all these only the one of its name means something.
     wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col(f"_{name}"))).alias(name) for name in shares])
-    out = join_groups(groups.drop("_asked"), checkpoint(wide), keys).withColumnRenamed("_total", "total")
+    out = _joined(groups.drop("_asked"), wide, keys).withColumnRenamed("_total", "total")
     return out if by else out.drop(one)
