@@ -24,14 +24,15 @@ def join_dimension(
 ) -> DataFrame:
     """Left join of ``df`` to ``dim`` on ``key``, which is unique in ``dim``.
 
-    Above the size limit, rows with one hot key are spread over ``SALTS`` tasks by ``spread_by``.
+    Above the size limit, rows with one hot key are spread over ``SALTS`` tasks by ``spread_by``. Spark sizes the
+    copies by the files that they come from, so it is told not to broadcast them after all.
     """
     if fits_in_memory(dim, max_rows):
         return df.join(F.broadcast(dim), key, "left")
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))
     salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
     copies = dim.withColumn("_salt", F.explode(salts))
-    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+    return salted.join(copies.hint("merge"), [key, "_salt"], "left").drop("_salt")
 
 
 def join_groups(

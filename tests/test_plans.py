@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from casework.operators import records
+from casework.operators import dimension, records
 from casework.plans import adapters, scoring_run
 from casework.plans.queries import QUERIES
 from casework.session import checkpoint
@@ -108,3 +108,18 @@ def test_a_stored_layout_moves_no_case_rows(spark, tmp_path):
     finally:
         spark.sql("drop table stored_cases")
         spark.sql("drop table stored_responses")
+
+
+#: Queries that look codes up in a dictionary that can be beyond the size limit.
+DICTIONARY_QUERIES = ["a1_messages"]
+
+
+@pytest.mark.parametrize("name", DICTIONARY_QUERIES)
+def test_a_dictionary_beyond_the_size_limit_is_not_broadcast(spark, monkeypatch, name):
+    """Spark's own estimate, which counts neither rows nor salts, would broadcast it."""
+    within = QUERIES[name](spark, SMALL).collect()
+    monkeypatch.setattr(dimension, "fits_in_memory", lambda *args: False)
+    beyond = QUERIES[name](spark, SMALL)
+    joins = [line for line in beyond._jdf.queryExecution().executedPlan().toString().splitlines() if "_salt#" in line and "Join" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    assert sorted(beyond.collect(), key=str) == sorted(within, key=str)
