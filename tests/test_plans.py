@@ -111,7 +111,9 @@ def test_a_stored_layout_moves_no_case_rows(spark, tmp_path):
 
 
 #: Queries that look codes up in a dictionary that can be beyond the size limit.
-DICTIONARY_QUERIES = ["a1_messages"]
+DICTIONARY_QUERIES = [
+    "a1_messages", "a1_sampled_run",
+]
 
 
 @pytest.mark.parametrize("name", DICTIONARY_QUERIES)
