@@ -112,7 +112,7 @@ def test_a_stored_layout_moves_no_case_rows(spark, tmp_path):
 
 #: Queries that look codes up in a dictionary that can be beyond the size limit.
 DICTIONARY_QUERIES = [
-    "a1_messages", "a1_sampled_run",
+    "a1_messages", "a1_sampled_run", "d6a_decode_name",
 ]
 
 
