@@ -113,7 +113,7 @@ def test_a_stored_layout_moves_no_case_rows(spark, tmp_path):
 #: Queries that look codes up in a dictionary that can be beyond the size limit.
 DICTIONARY_QUERIES = [
     "a1_messages", "a1_sampled_run", "d6a_decode_name", "d6b_decode_question", "d6c_decode_list", "d7_decode_symptoms",
-    "f1_training_record_a", "f3_user_prompt", "f4_user_prompt_rules",
+    "f1_training_record_a", "f3_user_prompt", "f4_user_prompt_rules", "r7_assemble_results",
 ]
 
 
