@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from casework import fixed_values as fixed
 from casework.functions.text import strip
-from casework.operators.dimension import MAX_ROWS, join_dimension
+from casework.operators.dimension import MAX_ROWS, join_dimension, join_rows
 
 
 def _other_entry(code_map: DataFrame) -> Column:
@@ -88,7 +88,7 @@ def decode_list(
     left = F.greatest(F.coalesce(F.size(codes), F.lit(0)) - cap, F.lit(0))
     listed = df.select(key, codes, left.alias(more))
     texts = listed_texts(listed, code_map, codes, cap, out, key, variant, [more], max_rows)
-    return df.join(texts, key).select(*df.columns, out, more)
+    return join_rows(df, texts, key).select(*df.columns, out, more)
 
 
 def _without(text: Column, words: tuple[str, ...]) -> Column:

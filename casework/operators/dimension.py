@@ -35,6 +35,15 @@ def join_dimension(
     return salted.join(copies.hint("merge"), [key, "_salt"], "left").drop("_salt")
 
 
+def join_rows(df: DataFrame, other: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join of two tables with a row per ``key``, both as large as the data.
+
+    Spark sizes them by the files that they come from, which says little of parsed cells, and would broadcast
+    millions of rows; so it is told to merge. Sides that are stored by ``key`` do not move.
+    """
+    return df.join(other.hint("merge"), key, how)
+
+
 def join_groups(
     df: DataFrame, groups: DataFrame, by: list[str], max_rows: int = MAX_ROWS
 ) -> DataFrame:

@@ -126,3 +126,14 @@ def test_a_dictionary_beyond_the_size_limit_is_not_broadcast(spark, monkeypatch,
     joins = [line for line in beyond._jdf.queryExecution().executedPlan().toString().splitlines() if "_salt#" in line and "Join" in line]
     assert joins and all("SortMergeJoin" in line for line in joins)
     assert sorted(beyond.collect(), key=str) == sorted(within, key=str)
+
+
+#: Queries that join tables with a row per case.
+CASE_JOINS = ["d6c_decode_list"]
+
+
+@pytest.mark.parametrize("name", CASE_JOINS)
+def test_cases_are_not_broadcast(spark, name):
+    """Spark's own estimate, by the files, says nothing of how many rows a file holds or of parsed cells."""
+    joins = [line for line in plan(spark, name).splitlines() if "Join [case_id#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
