@@ -148,7 +148,7 @@ def decode_symptoms(
     anything gets a fixed complaint. ``key`` is unique.
     """
     lines = symptom_lines(df.select(key, codes), code_map, codes, cap, out, key, max_rows=max_rows)
-    return df.join(lines, key).select(*df.columns, out)
+    return join_rows(df, lines, key).select(*df.columns, out)
 
 
 def sex_text(c: Column) -> Column:

@@ -129,7 +129,7 @@ def test_a_dictionary_beyond_the_size_limit_is_not_broadcast(spark, monkeypatch,
 
 
 #: Queries that join tables with a row per case.
-CASE_JOINS = ["d6c_decode_list"]
+CASE_JOINS = ["d6c_decode_list", "d7_decode_symptoms"]
 
 
 @pytest.mark.parametrize("name", CASE_JOINS)
