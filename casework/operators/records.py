@@ -10,6 +10,7 @@ from casework.functions.lists import (
 from casework.functions.text import fill, strip
 from casework.operators.decision import dynamic_threshold
 from casework.operators.decoding import MAX_ROWS, listed_texts, sex_text, symptom_lines
+from casework.operators.dimension import join_rows
 
 
 def prepare_cases(df: DataFrame, code_map: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -123,7 +124,7 @@ def training_record_a(
     listed = df.select("case_id", list_column(df, "EVIDENCES", "json").alias("_codes"))
     texts = listed_texts(listed, code_map, "_codes", decoded_codes, "_texts", max_rows=max_rows)
     items = differential_items(F.col("DIFFERENTIAL_DIAGNOSIS"), "json")
-    decoded = df.withColumn("_items", items).join(texts, "case_id")
+    decoded = join_rows(df.withColumn("_items", items), texts, "case_id")
     more = F.size("_texts") - (named if named is not None else F.size("_texts"))
     symptoms = F.concat(
         F.array_join(_first(F.col("_texts"), named), ", "),

@@ -129,7 +129,9 @@ def test_a_dictionary_beyond_the_size_limit_is_not_broadcast(spark, monkeypatch,
 
 
 #: Queries that join tables with a row per case.
-CASE_JOINS = ["d6c_decode_list", "d7_decode_symptoms"]
+CASE_JOINS = [
+    "d6c_decode_list", "d7_decode_symptoms", "f1_training_record_a",
+]
 
 
 @pytest.mark.parametrize("name", CASE_JOINS)
