@@ -45,7 +45,7 @@ def prepare_cases(df: DataFrame, code_map: DataFrame, max_rows: int = MAX_ROWS)
             ),
         }
     ).drop("_items")
-    return parsed.join(lines, "case_id")
+    return join_rows(parsed, lines, "case_id")
 
 
 def _case_fields() -> dict[str, Column]:
