@@ -7,7 +7,7 @@ from casework.operators.decision import (
     scoring_columns, to_scoring,
 )
 from casework.operators.decoding import severe_block
-from casework.operators.dimension import fits_in_memory
+from casework.operators.dimension import fits_in_memory, join_rows
 from casework.operators.evaluation import normalise_scored
 from casework.operators.records import (
     prepare_cases, system_prompt, to_messages, user_prompt, user_prompt_rules,
@@ -51,7 +51,7 @@ def score_run(asked: DataFrame, responses: DataFrame, few: bool = False) -> Data
         ids = asked.select("case_id")
         if fits_in_memory(ids):
             responses = responses.join(F.broadcast(ids), "case_id", "left_semi")
-    answered = asked.join(responses.select("case_id", "raw_model_response"), "case_id", "left")
+    answered = join_rows(asked, responses.select("case_id", "raw_model_response"), "case_id", "left")
     answered = answered.withColumn("true_diagnosis", F.col("PATHOLOGY"))
     return assemble_results(score_match(flatten_top3(parse_response(answered))))
 

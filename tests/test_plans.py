@@ -130,7 +130,7 @@ def test_a_dictionary_beyond_the_size_limit_is_not_broadcast(spark, monkeypatch,
 
 #: Queries that join tables with a row per case.
 CASE_JOINS = [
-    "d6c_decode_list", "d7_decode_symptoms", "f1_training_record_a", "f3_user_prompt", "f4_user_prompt_rules",
+    "d6c_decode_list", "d7_decode_symptoms", "f1_training_record_a", "f3_user_prompt", "f4_user_prompt_rules", "r7_assemble_results",
 ]
 
 
